@@ -13,6 +13,12 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import digest, find_contamination
 
@@ -25,6 +31,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {"op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
+QUERIES = {"op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
 
 ORACLE_SQL: dict[str, str] = {}
