@@ -13,6 +13,12 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -31,6 +37,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {"op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
+QUERIES = {"op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
 
 ORACLE_SQL: dict[str, str] = {}
