@@ -43,6 +43,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select("row.doc_id", "source", "block", "slot", "position")
+
+
+QUERIES = {"op10_mixing": op10_mixing, "op1_ngram_join": op1_ngram_join, "op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
 
 ORACLE_SQL: dict[str, str] = {}
