@@ -25,6 +25,12 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -49,6 +55,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select("row.doc_id", "source", "block", "slot", "position")
 
 
-QUERIES = {"op10_mixing": op10_mixing, "op1_ngram_join": op1_ngram_join, "op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
+QUERIES = {"op4_html_text": op4_html_text, "op10_mixing": op10_mixing, "op1_ngram_join": op1_ngram_join, "op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
 
 ORACLE_SQL: dict[str, str] = {}
