@@ -37,6 +37,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import digest, find_contamination
 
@@ -55,6 +61,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select("row.doc_id", "source", "block", "slot", "position")
 
 
-QUERIES = {"op4_html_text": op4_html_text, "op10_mixing": op10_mixing, "op1_ngram_join": op1_ngram_join, "op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
+QUERIES = {"op6_toxicity": op6_toxicity, "op4_html_text": op4_html_text, "op10_mixing": op10_mixing, "op1_ngram_join": op1_ngram_join, "op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
 
 ORACLE_SQL: dict[str, str] = {}
