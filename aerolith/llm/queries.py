@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
 from .common import table
 
 
@@ -19,6 +20,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_recurring_lines
+
+    return drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import encode_documents
 
@@ -61,6 +68,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select("row.doc_id", "source", "block", "slot", "position")
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op4_html_text": op4_html_text, "op10_mixing": op10_mixing, "op1_ngram_join": op1_ngram_join, "op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op6_toxicity": op6_toxicity, "op4_html_text": op4_html_text, "op10_mixing": op10_mixing, "op1_ngram_join": op1_ngram_join, "op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.oracle_sql()}
