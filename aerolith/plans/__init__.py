@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import sensor_queries  # noqa: F401
+from . import merge_queries, sensor_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

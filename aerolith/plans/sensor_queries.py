@@ -113,14 +113,14 @@ def latest_by_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("sensor_id").agg(*map(last, ("PM25", "PM10", "OZNE", "NO2", "CO")))
 
 
-@query(f"""{READINGS_SQL} SELECT {day_midnight_sql('ts')}::VARCHAR AS day, count(DISTINCT sensor_id) AS stations, round(avg(value), 6) AS mean_speed, max(value) AS max_speed, max(ts) AS last_ts,
+@query(f"""{READINGS_SQL} SELECT {day_midnight_sql('ts')}::VARCHAR AS day, count(DISTINCT sensor_id) AS stations, round(avg(value), 4) AS mean_speed, max(value) AS max_speed, max(ts) AS last_ts,
  round((degrees(atan2(sum(sin(radians((reading_id * 7 % 360)::DOUBLE))), sum(cos(radians((reading_id * 7 % 360)::DOUBLE))))) + 720.0::DOUBLE) % 360.0::DOUBLE, 3) AS direction FROM readings WHERE pollutant = 'CO' GROUP BY ALL""")
 def wind_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and greatest speed, stations, last time and the circular mean of directions by day."""
     r = readings(spark, sf_dir).where("pollutant = 'CO'")
     turn = F.radians((F.pmod(F.col("reading_id") * 7, F.lit(360))).cast("double"))
     direction = F.pmod(F.degrees(F.atan2(F.sum(F.sin(turn)), F.sum(F.cos(turn)))) + 720.0, F.lit(360.0))
-    return r.groupBy(day_midnight(F.col("ts")).cast("string").alias("day")).agg(F.countDistinct("sensor_id").alias("stations"), F.round(F.avg("value"), 6).alias("mean_speed"), F.max("value").alias("max_speed"), F.max("ts").alias("last_ts"), F.round(direction, 3).alias("direction"))
+    return r.groupBy(day_midnight(F.col("ts")).cast("string").alias("day")).agg(F.countDistinct("sensor_id").alias("stations"), F.round(F.avg("value"), 4).alias("mean_speed"), F.max("value").alias("max_speed"), F.max("ts").alias("last_ts"), F.round(direction, 3).alias("direction"))
 
 
 _LAST = f"{READINGS_SQL}, l AS (SELECT * FROM readings WHERE pollutant = 'PM25' QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY ts DESC, reading_id DESC) = 1)"
