@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD = 1024
+#: A source's documents are numbered in so many groups, at least, so that no task numbers a whole source.
+LEAST_GROUPS = 256
 
 
 def shares(weights: dict, period: int) -> dict:
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id",
     # no more rows than pairs of sources, with no more numbers than sources times the period
     phases = spark.createDataFrame(table, "key string, first long, end long, slot0 long, position0 long, slots array<long>")
 
-    buckets = max(1, sum(sizes.values()) // group_rows)
+    buckets = max(LEAST_GROUPS, sum(sizes.values()) // group_rows)
     order = F.xxhash64(F.col(id_col).cast("string"))
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"), order.alias("h"), F.col(id_col).alias("id"))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))

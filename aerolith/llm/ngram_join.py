@@ -21,6 +21,7 @@ Documents with a null id take part; a class of such documents only has a null id
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ TREES, SHALLOW, CROWD = 32, 4, 32
 TARGET_RECALL = 0.9999
 #: Texts and shingles of a block, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 400_000
+#: Bits of the filter that spares texts in no candidate group a shuffle.
+MOST_BITS = 1 << 27
 MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -189,16 +192,35 @@ def compare_blocks(size: int, threshold: tuple[int, int]):
     return run
 
 
-def texts_of(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """key, text; a task returns each key once."""
+def bloom_filter(keys: DataFrame) -> np.ndarray:
+    """Bits that mark the keys: 16 or more for each, up to MOST_BITS (then more keys than these pass, never fewer)."""
+    n = keys.count()
+    bits = min(MOST_BITS, 1 << max(12, (16 * n).bit_length()))
+    part = F.explode(F.array(*(F.conv(F.hex(F.substring("key", 4 * k + 1, 4)), 16, 10).cast("long") for k in range(4)))).alias("h")
+    place = F.col("h") % bits
+    words = keys.select(part).select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(h % {bits} % 64 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    got = words.toArrow()  # no more rows than MOST_BITS / 64
+    out = np.zeros(bits // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("mask").to_numpy()
+    return out.astype("<i8", copy=False).view(np.uint8)
+
+
+def may_have(bits: np.ndarray, key: bytes) -> bool:
+    places = (h % (8 * len(bits)) for h in struct.unpack(">4I", key))
+    return all(bits[p >> 3] >> (p & 7) & 1 for p in places)
+
+
+def texts_of(docs: DataFrame, text_col: str, size: int, keys: DataFrame) -> DataFrame:
+    """key, text of the texts with these keys, and few others; a task returns each key once."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(keys))  # MOST_BITS at most
 
     def run(batches):
-        seen: set = set()
+        bits, seen = sent.value, set()
         for b in small_batches(batches, "text_", 4_000_000):
             keys = [set_key(shingles(t, size)) for t in b.column("text_").to_pylist()]
             new = []
             for i, k in enumerate(keys):
-                if k is not None and k not in seen:
+                if k is not None and k not in seen and may_have(bits, k):
                     seen.add(k)
                     new.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in new], pa.binary()), b.column("text_").take(pa.array(new, pa.int64()))], ["key", "text"])
@@ -220,7 +242,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     members = stored(groups.join(sets, "key").select("key", "group", "copies", "n"), "members")
     sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    with_text = texts_of(docs, text_col, size).join(members, "key")
+    with_text = texts_of(docs, text_col, size, members.select("key")).join(members, "key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = with_text.select("*", other.alias("other")).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "copies", "text")
     found = stored(pairs.groupBy("group", "i", "j").applyInArrow(compare_blocks(size, threshold), "key binary, links long, root binary"), "links")

@@ -95,7 +95,7 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     grid[:, :full] = ids[: full * block].reshape(full, block).T
     if full < lanes:
         grid[: length[-1], -1] = ids[full * block :]
-    rank = np.searchsorted(known, grid)
+    rank = np.searchsorted(known, grid).astype(np.int32)
     start0, freq0 = (np.cumsum(freq) - freq).astype(np.uint64), freq.astype(np.uint64)
     out = np.zeros((lanes, 2 * block + 8), np.uint16)
     pos = np.zeros(lanes, np.int64)

@@ -7,7 +7,8 @@ with a checksum, each decodable without the others (see ``range_coder``). ``read
 
 Texts are cut before each lone space between two other characters: the tokenizer's pattern always starts a new
 pre-token there, so the ids of the pieces, joined, are the ids of the text. Pieces seen before come from a memory of
-bounded size, all others go through the library. Texts with runs of white space or the end marker go through it whole.
+bounded size, all others go through the library, as lines of one text. Texts with white space on both sides of a cut, or
+with a special mark, go through it whole.
 
 Null texts count as empty and have only the end id; empty tables give no segments; documents of the same id stay in the
 order of their texts. Columns other than id, text and the order are ignored.
@@ -15,7 +16,6 @@ order of their texts. Columns other than id, text and the order are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from itertools import chain
 
@@ -30,12 +30,17 @@ from .range_coder import decode, encode
 #: Ids in a segment, at least, unless a task's documents end; ids in a block; pieces remembered by a process.
 SEGMENT_IDS = 8_000_000
 BLOCK_IDS = 4096
-REMEMBERED = 400_000
-WHOLE = re.compile(r"\s\s|^\s|\s$|<\|")
+REMEMBERED = 700_000
 
 SEGMENT = "part int, segment int, first long, doc_ids array<{}>, n_tokens array<long>, header binary, blocks array<binary>"
 
 
+def stands_alone(piece: str) -> bool:
+    """Whether a piece, but for one space before it, begins and ends with other characters and has no special mark."""
+    x = piece[piece.startswith(" ") :]
+    return bool(x) and not x[0].isspace() and not x[-1].isspace() and "<|" not in x
+
+
 class Pieces:
     """Ids of pieces of text, remembered."""
 
@@ -43,52 +48,71 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.count = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64)
+        self.flat, self.count, self.start = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        #: Pieces that don't stand alone: white space at an end (but one space before), or the end mark's beginning.
+        self.bound = np.zeros(1 << 16, bool)
         self.used = 0
 
     def add(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 20_000):
             some = pieces[i : i + 20_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+            alone = list(map(stands_alone, some))
+            # pieces without line breaks go to the library as lines of one text: a line break between two is a token
+            line = [a and "\n" not in p for p, a in zip(some, alone)] if len(self.line_break) == 1 else [False] * len(some)
+            plain, odd = [p for p, x in zip(some, line) if x], [p for p, x in zip(some, line) if not x]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(["\n".join(plain), *odd], add_special_tokens=False)]
+            lines = np.array(ids[0], np.uint32)
+            cuts = np.concatenate([[-1], np.flatnonzero(lines == self.line_break[0]) if plain else [], [len(lines)]]).astype(np.int64)
+            n = np.append(np.diff(cuts)[: len(plain)] - 1, [len(x) for x in ids[1:]]).astype(np.int64)
+            new = np.concatenate([lines[lines != self.line_break[0]] if plain else lines, np.fromiter(chain.from_iterable(ids[1:]), np.uint32)])
+            if len(cuts) != len(plain) + 1 + (not plain) or len(new) != n.sum():
+                raise ValueError("the tokenizer doesn't part its text at line breaks")
             while self.used + len(new) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             k = len(self.index)
             while k + len(n) > len(self.count):
-                self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+                self.count, self.start, self.bound = (np.concatenate([x, np.zeros_like(x)]) for x in (self.count, self.start, self.bound))
             self.flat[self.used : self.used + len(new)] = new
             self.count[k : k + len(n)] = n
+            self.start[k : k + len(n)] = self.used + np.cumsum(n) - n
+            self.bound[k + len(plain) : k + len(n)] = [not a for a, x in zip(alone, line) if not x]
             self.used += len(new)
-            self.index.update(zip(some, range(k, k + len(n))))
+            self.index.update(zip(chain(plain, odd), range(k, k + len(n))))
+
+    def find(self, pieces: list[str]) -> np.ndarray:
+        get = self.index.get
+        at = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        gone = np.flatnonzero(at < 0)
+        if len(gone):
+            self.add(list(dict.fromkeys(pieces[i] for i in gone)))
+            at[gone] = [self.index[pieces[i]] for i in gone]
+        return at
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has."""
-        pieces, n_pieces = [], []
-        for t in texts:
-            # a lone space belongs to what follows it: pieces keep it at their start
-            own = [t] if WHOLE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t]
-            pieces.append(own)
-            n_pieces.append(len(own))
         if len(self.index) > REMEMBERED:
             self.clear()
-        flat = list(chain.from_iterable(pieces))
-        get = self.index.get
-        at = np.fromiter((get(p, -1) for p in flat), np.int64, len(flat))
-        gone = np.flatnonzero(at < 0)
-        if len(gone):
-            self.add(list(dict.fromkeys(flat[i] for i in gone)))
-            at[gone] = [self.index[flat[i]] for i in gone]
-        count = self.count
-        start = np.cumsum(count[: len(self.index)]) - count[: len(self.index)]
-        n = count[at]
+        # a lone space belongs to what follows it: pieces keep it at their start
+        pieces = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
+        at = self.find(list(chain.from_iterable(pieces)))
+        n_pieces = np.array([len(p) for p in pieces], np.int64)
+        tied = np.zeros(len(texts), bool)
+        tied[np.repeat(np.arange(len(texts)), n_pieces)[self.bound[at]]] = True
+        n = self.count[at]
         end = np.cumsum(n)
-        ids = self.flat[np.repeat(start[at] - (end - n), n) + np.arange(int(n.sum()))]
-        by_text = np.add.reduceat(np.append(n, 0), np.cumsum([0, *n_pieces[:-1]])) if n_pieces else np.zeros(0, np.int64)
+        ids = self.flat[np.repeat(self.start[at] - (end - n), n) + np.arange(int(n.sum()))]
+        by_text = np.bincount(np.repeat(np.arange(len(texts)), n_pieces), n, len(texts)).astype(np.int64)
+        if tied.any():  # these go to the library whole
+            parts = np.split(ids, np.cumsum(by_text)[:-1])
+            for i in np.flatnonzero(tied):
+                parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                by_text[i] = len(parts[i])
+            ids = np.concatenate(parts)
         out = np.full(len(ids) + len(texts), end_id, np.uint32)
         own = np.ones(len(out), bool)
         own[np.cumsum(by_text + 1) - 1] = False

@@ -109,3 +109,10 @@ def test_components(spark):
             root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_filter_has_all_keys_and_few_others(spark):
+    keys = [j.set_key(np.array([i], np.uint64)) for i in range(2000)]
+    bits = j.bloom_filter(spark.createDataFrame([(bytearray(k),) for k in keys[:1000]], "key binary"))
+    assert all(j.may_have(bits, k) for k in keys[:1000]) and sum(j.may_have(bits, k) for k in keys[1000:]) < 20
+    assert not j.bloom_filter(spark.createDataFrame([], "key binary")).any()
