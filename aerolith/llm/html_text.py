@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import null_to_empty, ship, small_batches
 
 MANY, SHARE = 4, 0.3
+#: A host's pages are dealt over so many groups when they meet its templates.
+GROUPS = 64
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -206,7 +208,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """One row per page: id, url, text (main text, blocks parted by line breaks), n_chars, n_blocks."""
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id_"), F.col(url_col).alias("url_"), host_of(url_col).alias("host"), null_to_empty(html_col).alias("html_"))
-    rows = rows.join(site_templates(rows), "host", "left").select("id_", "url_", "html_", "templates")
+    templates = site_templates(rows).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("id_", "url_"), F.lit(GROUPS)).cast("int"))
+    rows = rows.join(templates, ["host", "group"], "left").select("id_", "url_", "html_", "templates")
 
     def run(batches):
         for b in small_batches(batches, "html_", 4_000_000):
