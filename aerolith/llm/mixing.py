@@ -1,98 +1,103 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are dealt into blocks of ``block_docs``. Weights are shares of a period of ``PERIOD`` slots; a
-slot takes one block. Block k (from 0) of a source with n of P shares is released at slot floor(k * P / n) and due at
-slot ceil((k + 1) * P / n). In every slot, earliest-deadline-first takes the released block that is due first. As the
-shares sum to the period, every block keeps its window: after any number of slots a source has had its share of them to
-within less than one block. That schedule repeats each period, so one period is computed (from the number of
-sources only), and a block's slot follows from its number by arithmetic, for all documents in parallel.
+Each source's documents are dealt into blocks of ``block_docs``; a slot takes one block. A source's weight w is its exact
+share of all weights, a rational number (of a float, its exact value). Its block k (from 0) is released at slot
+floor(k / w) and due at slot ceil((k + 1) / w). In every slot, earliest-deadline-first takes the released block that is
+due first. As the weights sum to 1, every block keeps its window: after t slots a source has had t * w of them to within
+less than one block, however many slots and sources there are. What a schedule needs to know is one block for each
+source, so a single task writes the blocks in their order to a table, in whole numbers; documents are joined with it.
 
 When a source runs out, a new phase begins: the others share the slots anew, in the proportion of their weights, and
 keep the bound within the phase. No document is dropped or repeated. Inside a source, documents come in an order made
 by hashing their ids.
 
 Default weights are the square roots of the sources' sizes. Null is a source of its own. Rows of equal source and id
-come in any order among themselves. Sources given no weight get the least share, as any source gets one slot of a
-period at least; more sources than slots in a period are an error. An empty table stays empty. All columns are kept.
+come in any order among themselves. Sources given no weight get one of ``period`` slots each (of as many as there are
+sources, if these are more), the others share the rest. An empty table stays empty. All columns are kept.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ship, stored
+
 PERIOD = 1024
 #: A source's documents are numbered in so many groups, at least, so that no task numbers a whole source.
 LEAST_GROUPS = 256
+#: The table of blocks is written in batches of so many.
+BATCH_BLOCKS = 100_000
+
+
+def whole(weights: dict) -> dict:
+    """Whole numbers in the exact proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * unit) for s, x in exact.items()}
+
+
+def parts(weights: dict, period: int) -> tuple[dict, int]:
+    """Each source's part of all slots, and the sum of the parts. weights: whole numbers; without one, 1 of the period."""
+    total, none = sum(weights.values()), sum(not w for w in weights.values())
+    if not total:
+        return dict.fromkeys(weights, 1), len(weights)
+    return {s: w * (period - none) or total for s, w in weights.items()}, total * period
 
 
 def shares(weights: dict, period: int) -> dict:
-    """Whole shares of the period in proportion to the weights, at least 1 each: largest remainders first."""
+    """Exact shares of the period in proportion to the weights; 1 for sources without a weight."""
     if len(weights) > period:
         raise ValueError(f"{len(weights)} sources need a period of as many slots at least")
-    total = sum(weights.values()) or 1
-    exact = {s: w * (period - len(weights)) / total for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    biggest = max(out, key=lambda s: (out[s], s))
-    out[biggest] += period - sum(out.values())
-    return out
-
-
-def one_period(share: dict, period: int) -> dict[object, list[int]]:
-    """The slots of each source in a period, by earliest deadline among the released blocks."""
-    release = [(0, -(-period // n), s, 0) for s, n in share.items()]  # slot, deadline, source, block
-    heapq.heapify(release)
-    ready: list = []
-    out: dict[object, list[int]] = {s: [] for s in share}
-    for slot in range(period):
-        while release and release[0][0] <= slot:
-            _, due, s, k = heapq.heappop(release)
-            heapq.heappush(ready, (due, s, k))
-        due, s, k = heapq.heappop(ready)
-        if slot >= due:
-            raise AssertionError("a block missed its deadline")
-        out[s].append(slot)
-        if k + 1 < share[s]:
-            heapq.heappush(release, ((k + 1) * period // share[s], -(-(k + 2) * period // share[s]), s, k + 1))
-    return out
-
-
-@dataclass
-class Phase:
-    """From a slot on, the sources that have blocks left: their first block, one past the last, slots in a period."""
-
-    slot: int
-    position: int
-    first: dict
-    end: dict
-    slots: dict
-
-
-def plan(sizes: dict, weights: dict, block_docs: int, period: int = PERIOD) -> list[Phase]:
+    part, of = parts(whole(weights), period)
+    return {s: Fraction(n * period, of) for s, n in part.items()}
+
+
+def schedule(sizes: dict, weights: dict, block_docs: int, period: int = PERIOD):
+    """Source, block (in its source), slot and first position of all blocks, slot by slot."""
     left = {s: -(-n // block_docs) for s, n in sizes.items() if n}
-    done = dict.fromkeys(left, 0)
-    phases, slot, position = [], 0, 0
+    weights, period = whole({s: weights[s] for s in left}), max(period, len(left))
+    done, slot, position = dict.fromkeys(left, 0), 0, 0
     while left:
-        slots = one_period(shares({s: weights[s] for s in left}, period), period)
-        # the slot in which each source would place its last block
-        last = {s: (n - 1) // len(slots[s]) * period + slots[s][(n - 1) % len(slots[s])] for s, n in left.items()}
-        out = min(last, key=last.get)
-        length = last[out] + 1
-        used = {s: min(left[s], length // period * len(slots[s]) + sum(x < length % period for x in slots[s])) for s in left}
-        phases.append(Phase(slot, position, {s: done[s] for s in left}, {s: done[s] + used[s] for s in left}, slots))
-        slot, position = slot + length, position + length * block_docs - (-sizes[out] % block_docs)
-        for s in list(left):
-            done[s] += used[s]
-            left[s] -= used[s]
-            if not left[s]:
-                del left[s]
-    return phases
+        part, of = parts({s: weights[s] for s in left}, period)
+        had = dict.fromkeys(left, 0)
+        ready = [(-(-of // part[s]), s) for s in left]  # deadline, source
+        heapq.heapify(ready)
+        release: list = []  # slot, deadline, source
+        for t in range(sum(left.values())):
+            while release and release[0][0] <= t:
+                heapq.heappush(ready, heapq.heappop(release)[1:])
+            due, s = heapq.heappop(ready)
+            if t >= due:
+                raise AssertionError("a block missed its deadline")
+            yield s, done[s] + had[s], slot + t, position
+            position += min(block_docs, sizes[s] - (done[s] + had[s]) * block_docs)
+            had[s] += 1
+            if had[s] == left[s]:
+                break
+            heapq.heappush(release, (had[s] * of // part[s], -(-(had[s] + 1) * of // part[s]), s))
+        slot += t + 1
+        done = {s: done[s] + had[s] for s in left}
+        left = {s: n - had[s] for s, n in left.items() if n > had[s]}
+
+
+def blocks_of(spark, sizes: dict, weights: dict, block_docs: int, period: int) -> DataFrame:
+    """key_, block, slot, first (position) of all blocks: one task, whose memory doesn't grow with their number."""
+    ship(spark)
+
+    def run(batches):
+        for b in batches:
+            rows = schedule(sizes, weights, block_docs, period) if b.num_rows else iter(())
+            while batch := list(islice(rows, BATCH_BLOCKS)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*batch), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["key_", "block_", "slot", "first"])
+
+    return stored(spark.range(0, 1, 1, 1).mapInArrow(run, "key_ string, block_ long, slot long, first long"), "blocks")
 
 
 def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 16, period: int = PERIOD, group_rows: int = 20_000) -> DataFrame:
@@ -102,9 +107,7 @@ def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id",
     sizes = {r.key: r["count"] for r in docs.groupBy(key.alias("key")).count().collect()}  # a row for each source
     wanted = None if weights is None else {"null" if s is None else f"={s}": w for s, w in weights.items()}
     weight = {s: math.sqrt(n) if wanted is None else wanted.get(s, 0) for s, n in sizes.items()}
-    table = [(s, p.first[s], p.end[s], p.slot, p.position, p.slots[s]) for p in plan(sizes, weight, block_docs, period) for s in p.first]
-    # no more rows than pairs of sources, with no more numbers than sources times the period
-    phases = spark.createDataFrame(table, "key string, first long, end long, slot0 long, position0 long, slots array<long>")
+    placed = blocks_of(spark, sizes, weight, block_docs, period)
 
     buckets = max(LEAST_GROUPS, sum(sizes.values()) // group_rows)
     order = F.xxhash64(F.col(id_col).cast("string"))
@@ -116,8 +119,5 @@ def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id",
     number = F.row_number().over(Window.partitionBy("key", "bucket").orderBy("h", "id"))
     rows = rows.withColumn("number", number).join(counts, ["key", "bucket"]).withColumn("at", F.col("before") + F.col("number") - 1)
     rows = rows.withColumn("block", F.floor(F.col("at") / block_docs))
-    rows = rows.join(F.broadcast(phases.withColumnRenamed("key", "key_")), (F.col("key") == F.col("key_")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
-    k, n = F.col("block") - F.col("first"), F.size("slots")
-    within = F.floor(k / n) * period + F.element_at("slots", (k % n + 1).cast("int"))
-    return rows.select("row", F.col(f"row.{source_col}").alias("source"), "block", (F.col("slot0") + within).alias("slot"),
-                       (F.col("position0") + within * block_docs + F.col("at") % block_docs).alias("position"))
+    rows = rows.join(placed, (F.col("key") == F.col("key_")) & (F.col("block") == F.col("block_")))
+    return rows.select("row", F.col(f"row.{source_col}").alias("source"), "block", "slot", (F.col("first") + F.col("at") % block_docs).alias("position"))

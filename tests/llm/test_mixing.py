@@ -1,4 +1,6 @@
 import random
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 
@@ -58,3 +60,22 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     got = m.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=4, period=16).collect()
     assert sorted(r.position for r in got) == list(range(22))
     assert m.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 1 - 1e-3 - 1e-6, "b": 1e-3, "c": 1e-6}, {f"s{k}": k + 1 for k in range(30)}])
+def test_bound_holds_against_the_target_weights(weights):
+    total = sum(map(Fraction, weights.values()))
+    w, had = {s: Fraction(x) / total for s, x in weights.items()}, dict.fromkeys(weights, 0)
+    for s, block, slot, position in islice(m.schedule(dict.fromkeys(weights, 10**7), weights, 16), 20_000):
+        assert (block, position) == (had[s], 16 * slot)
+        had[s] += 1
+        assert abs(had[s] - (slot + 1) * w[s]) < 1
+        if slot % 97 == 0:
+            assert all(abs(had[x] - (slot + 1) * w[x]) < 1 for x in w)
+
+
+def test_more_sources_than_slots_in_a_period(spark):
+    rows = [(i, f"s{i % 1100}") for i in range(2300)]
+    for weights in (None, {"s1": 1}):
+        got = m.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_docs=1).collect()
+        assert sorted(r.position for r in got) == list(range(2300)) and {r.row.doc_id for r in got} == set(range(2300))
