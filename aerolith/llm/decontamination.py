@@ -10,8 +10,8 @@ there are then compared one by one.
 The windows of one block of items (at most ``block_windows``, a stated query set) are sent to all tasks; a larger
 benchmark takes several blocks, each against all documents, and the findings are united.
 
-Null texts have no words, items without id or words have no windows, repeated items give their windows once more for
-the same id only, empty tables give no findings. Columns other than id and text are ignored.
+Null texts have no words, items without words have no windows; windows of items without id are searched and hit like all
+others, only the list of ids lacks them; repeated items give their windows once more for the same id only, empty tables give no findings. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .common import folded_words, ship, stored
 class Windows:
     """Windows of a block of items as arrays of word ids, and the shingles that occur in them."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int):
+    def __init__(self, items: list[tuple[str | None, str]], size: int):
         self.vocab: dict[bytes, int] = {}
         of: dict[tuple, set] = defaultdict(set)
         for item, text in items:
@@ -39,7 +39,7 @@ class Windows:
             for i in range(max(1, len(ids) - size + 1) if ids else 0):
                 of[tuple(ids[i : i + size])].add(item)
         self.words = list(of)
-        self.items = [sorted(x) for x in of.values()]
+        self.items = [sorted(x - {None}) for x in of.values()]
         self.base = len(self.vocab) + 1
         #: A pair's key is first * base + second + 1; a single word's is word * base.
         self.shingles = np.unique(np.array([k for w in self.words for k in self.keys(w)], np.int64))
@@ -169,13 +169,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     """One row per document: id, n_words, hit_from/hit_to (hit word spans, end excluded), items (ids as strings)."""
     spark = docs.sparkSession
     ship(spark)
-    items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     # a word needs two bytes with what parts it from the next, so this bounds the number of windows
     bytes_ = items.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("n")).first()["n"]
     n_blocks = int(bytes_ // 2 // block_windows) + 1
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))
     for k in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k)
+        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
         windows = Windows([(r.item, r.text) for r in block.toLocalIterator()], size)
         windows.plan(counted(windows, docs, text_col))
         more = k + 1 < n_blocks

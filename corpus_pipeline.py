@@ -1,15 +1,15 @@
 """A corpus from raw documents to token files: five stages, each over all that the one before has kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-one's documents. All stages but the last return the columns of documents. Documents of one id share a verdict, and so do
-those without an id.
+one's documents. All stages but the last return the columns of documents. Verdicts are carried by row, never by id alone,
+as ids may be missing or shared: what follows from a text goes by the text's hash, and copies are told apart by id and hash.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.llm.common import shared_dir, table
@@ -21,24 +21,34 @@ from aerolith.llm.queries import public_tokenizer
 from aerolith.llm.token_output import encode_documents
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+def _text_key() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The text's hash in place of the id, for verdicts that follow from the text: it is never null, and of one text only."""
+    return docs.withColumn("doc_id", _text_key())
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    gone = keys.select(F.col("doc_id").alias("gone_key")).distinct()
+    return docs.join(gone, _text_key() == F.col("gone_key"), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return _without(docs, quality(docs).where(~F.col("kept")))
+    return _without(docs, quality(_keyed(docs)).where(~F.col("kept")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return keep_one(docs)
+    """One document of each group of near copies stays: the one of the smallest id, or any if none has an id."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", _text_key().alias("text_key"))
+    return keep_one(docs.withColumn("row_id", row), id_col="row_id").drop("row_id")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    return _without(docs, digest(find_contamination(docs, table(spark, sf_dir, "benchmark"))).where("contaminated"))
+    return _without(docs, digest(find_contamination(_keyed(docs), table(spark, sf_dir, "benchmark"))).where("contaminated"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

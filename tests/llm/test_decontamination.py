@@ -56,3 +56,11 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert rows(find_contamination(docs, items)) == brute([(1, "a b")], [])
     assert rows(find_contamination(docs.limit(0), items)) == {}
+
+
+def test_items_without_id_are_hit(spark):
+    docs = spark.createDataFrame([(1, "x secret answer y"), (2, "x answer secret y"), (3, "x secret answer only four words here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "secret answer"), (2, "only four words here")], "item_id long, text string")
+    for options in ({}, {"block_windows": 4}):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in digest(find_contamination(docs, items, **options)).collect()}
+        assert got == {1: (2, 0, True), 2: (0, 0, False), 3: (6, 1, True)}

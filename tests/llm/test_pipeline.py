@@ -75,6 +75,25 @@ def test_stages_keep_the_columns(spark, tmp_path):
             assert stage(spark, rows, str(tmp_path)).columns == docs.columns, name
 
 
+def test_verdicts_go_by_row_where_ids_are_missing_or_shared(spark, tmp_path):
+    rng = random.Random(4)
+    item = "nine brave sailors crossed the wide river before the morning bell rang twice"
+    good = [rules.prose(rng, 60) for _ in range(40)]
+    rows = [(None if k < 20 else 7, t, "en", "s", 1) for k, t in enumerate(good)]
+    bad = [(i, t, "en", "s", 1) for i in (None, 7) for t in ("too short", rules.prose(rng, 60) + " " + item)]
+    copies_ = [(None, good[1], "en", "s", 1), (None, good[2].upper(), "en", "s", 1), (3, good[3], "en", "s", 1), (7, good[21], "en", "s", 1)]
+    spark.createDataFrame([(None, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows + bad + copies_, DOCS).repartition(3)
+    stages = dict(c.STAGES)
+    docs = stages["quality rules"](spark, docs, str(tmp_path))
+    assert sum(r.text == "too short" for r in docs.collect()) == 0 and docs.count() >= 40
+    docs = stages["n-gram Jaccard join"](spark, spark.createDataFrame(rows + bad[1::2] + copies_, DOCS), str(tmp_path)).localCheckpoint()
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len({t.lower() for _, t in left}) == len(left) and (3, good[3]) in left and (None, good[3]) not in left
+    docs = stages["benchmark decontamination"](spark, docs, str(tmp_path))
+    assert {r.text.lower() for r in docs.collect()} == set(good)
+
+
 def test_the_rest_works_without_this_subpackage():
     code = "import sys; sys.modules['aerolith.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op')] and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], check=True, timeout=120)
