@@ -10,8 +10,11 @@ The ``LANGUAGES - 1`` languages with most documents have a model and a band of t
 A document may change its language, so each run of ``RUN`` characters counts for the language whose model expects it
 most. A language's median log-perplexity comes from all documents mainly in it that pass the plain rules; a document is
 expected at the mean of its characters' medians. Its band reaches ``width`` spreads to either side; the spread is the
-median deviation among documents mainly in its language, of a length within the same power of two, or the language's
-typical deviation at that length if that is larger (as where few documents are so long).
+median deviation among documents mainly in its language, of a length within the same power of two (an octave), or the
+language's typical deviation at that length if that is larger. An octave of fewer than ``ENOUGH`` documents has the spread
+of the next shorter one that has them, as longer texts deviate no more; and no octave's spread is above the language's
+median deviation (raised by the square root of how much shorter than usual it is), so that neither a lone document nor
+an octave full of junk sets its own band. A language of fewer documents takes the pooled deviations of all.
 
 Nulls and texts without words have no counts and fail; ties can't arise; repeated rows count and come back repeatedly.
 """
@@ -30,6 +33,10 @@ BITS = 7
 SYMBOLS = 1 << BITS
 LANGUAGES = 16
 RUN = 32
+#: Documents that an octave or a language needs for a spread of its own.
+ENOUGH = 30
+#: A text has fewer than 2 ** 31 bytes.
+MAX_OCTAVE = 31
 #: Texts are worked on in parts of about so many bytes.
 BATCH_BYTES = 3_000_000
 SPACE = b" \t\n\r\x0b\x0c"
@@ -243,6 +250,23 @@ def total(column: str):
     return F.aggregate(column, F.lit(0.0), lambda s, x: s + x)
 
 
+def spreads(near: list, typical: dict) -> list[tuple]:
+    """own, octave, near, scale for all octaves of each language. near: rows own, octave, docs, near. typical: rows docs,
+    near, length, scale by own, and of all documents by None."""
+    by = {(r.own, r.octave): r for r in near}
+    out = []
+    for own in {r.own for r in near}:
+        of = typical[own] if typical[own].docs >= ENOUGH else typical[None]
+        usual, last = int(np.log2(max(of.length, 1.0))), None
+        for octave in range(MAX_OCTAVE + 1):
+            most = of.near * 2 ** (max(0, usual - octave) / 2)
+            here = by.get((own, octave))
+            if here is not None and here.docs >= ENOUGH:
+                last = min(here.near, most)
+            out.append((own, octave, float(most if last is None else min(last, most)), float(of.scale)))
+    return out
+
+
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 10, max_repeat_percent: int = 20, width: float = 6.0) -> DataFrame:
     """One row per document: id, the counts, base_failed, perplexity, its band (lower, upper) and kept."""
     spark = docs.sparkSession
@@ -265,9 +289,13 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = found.withColumns({"expected": expected, "octave": F.floor(F.log2(F.greatest("n", F.lit(1.0)))).cast("int")})
     off = F.abs(F.col("log_ppl") - F.col("expected"))
     good = found.where(~F.col("base_failed") & (F.col("n") > 0))
-    near = good.groupBy("own", "octave").agg(median(off).alias("near"))
-    scale = good.groupBy("own").agg(median(off * F.sqrt("n")).alias("scale"))
-    out = found.join(F.broadcast(near), ["own", "octave"], "left").join(F.broadcast(scale), "own", "left")
+    # no more rows than slots times octaves of a length
+    near = good.groupBy("own", "octave").agg(F.count("*").alias("docs"), median(off).alias("near")).collect()
+    # grouped by all slots and, once more, by none: own is null in the pooled row, and in no other
+    typical = {r.own: r for r in good.rollup("own").agg(F.count("*").alias("docs"), median(off).alias("near"), median(F.col("n")).alias("length"), median(off * F.sqrt("n")).alias("scale")).collect()}
+    spread = spreads(near, typical)
+    octaves = spark.createDataFrame(spread, "own int, octave int, near double, scale double")
+    out = found.join(F.broadcast(octaves), ["own", "octave"], "left")
     reach = width * F.greatest("near", F.col("scale") / F.sqrt("n"))
     out = out.withColumns({"lo": F.col("expected") - reach, "hi": F.col("expected") + reach})
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lo"), F.col("hi")), F.lit(True))

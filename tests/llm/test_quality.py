@@ -76,3 +76,16 @@ def test_surprise_sums_each_text_on_its_own(spark):
     for i, t in enumerate(texts):
         alone = model.surprise([t])
         assert chars[i].sum() == len(t) and math.isclose(sums[i].sum(), alone[1].sum(), rel_tol=1e-5, abs_tol=1e-9)
+
+
+def test_lone_long_gibberish_and_an_octave_of_it_set_no_band(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(60, 200)), "en", "") for i in range(1500)]
+    rows += [(2000, prose(rng, 3000, "qwzvjkpQWZetaoinshr"), "en", ""), (2001, prose(rng, 3000), "en", ""), (2002, prose(rng, 6000), "en", "")]
+    rows += [(3000 + i, prose(rng, 15, "qwzvjkpQWZetaoinshr"), "en", "") for i in range(40)] + [(4000 + i, prose(rng, 15), "en", "") for i in range(20)]
+    got = {r.doc_id: r for r in q.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not got[2000].kept and got[2001].kept and got[2002].kept
+    assert sum(got[i].kept for i in range(4000, 4020)) >= 19 and sum(got[i].kept for i in range(1500)) > 0.97 * 1500
+    # the bounds are no wider where most texts of a length are junk
+    assert got[3000].upper / got[3000].lower < 2
