@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, shared_dir, ship, stored  # noqa: F401
+
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space. Bytes of other characters stay,
 #: so that splitting the result gives the runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` of the lower-cased text.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -26,42 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that tasks can import it on any machine."""
-    sc = spark.sparkContext
-    if getattr(sc, "_aerolith_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp()) / "aerolith_pkg.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(str(out))
-    sc._aerolith_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset on local masters, a new folder."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if got:
-        return got
-    sc = spark.sparkContext
-    if not getattr(sc, "_aerolith_shared", None):
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc._aerolith_shared = tempfile.mkdtemp(prefix="aerolith-")
-        sc.setCheckpointDir(sc._aerolith_shared)
-    return sc._aerolith_shared
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads them back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def null_to_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -2,12 +2,12 @@
 
 1. Every text becomes the set of its ``SHINGLE`` consecutive words (a text with fewer words, but not none, is one
    shingle). Texts with equal sets are one node from here on, with the number of its copies.
-2. A MinHash LSH forest finds candidates: each of ``TREES`` trees is a prefix trie of signatures of ``DEEP`` values.
-   Matched prefixes are shortened from the full depth. At depth d, a pair of similarity s is missed by all trees with
-   probability (1 - s**d) ** TREES, so ``DEEP`` is the greatest depth that keeps the recall at the threshold above the
-   target; trie nodes with no more than ``CROWD`` texts are shortened further, down to ``SHALLOW``, where this costs
-   little. No node is capped: crowded ones merely stay at full depth. Members of a trie node are linked to its smallest
-   member, and the connected components of these links are the candidate groups.
+2. A MinHash LSH forest finds candidates: each of ``TREES`` trees is a prefix trie of signatures. Matched prefixes are
+   shortened from ``DEEP`` values on. At depth d, a pair of similarity s is missed by all trees with probability
+   (1 - s**d) ** TREES, so shortening stops at the first depth where a pair at the threshold is found with the target
+   recall or more. All texts stop there, as a pair has to meet at one depth, and a trie node there holds all deeper ones.
+   No node is capped. Members of a trie node are linked to its smallest member, and the connected components of these
+   links are the candidate groups.
 3. Groups are cut into blocks of bounded size; each pair of blocks of a group is compared exactly in one task, by
    matrix products over shingles. A task returns, for each text, how many documents it is linked with and a
    representative, never the pairs. Links between all texts of a group are found, whatever brought them together.
@@ -16,12 +16,14 @@
 A document's class is the smallest id in it. Its links are the other documents of similarity at or above the threshold,
 copies among them counted singly. Null and wordless texts have no links and are alone. Repeated rows are copies.
 Documents with a null id take part; a class of such documents only has a null id. Other columns are ignored.
+
+Work that remains quadratic: counting the links of a group of m texts that are near each other compares its block pairs,
+in (m / BLOCK_TEXTS) ** 2 / 2 tasks of bounded size, each text going to m / BLOCK_TEXTS of them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +37,24 @@ from .components import connected_components
 SHINGLE = 5
 #: Similarity as a fraction, so that comparisons are exact: 4 / 5.
 THRESHOLD = (4, 5)
-TREES, SHALLOW, CROWD = 32, 4, 32
-TARGET_RECALL = 0.9999
+#: Trees of the forest, values of a whole signature in each.
+TREES, DEEP = 24, 9
+TARGET_RECALL = 0.999
 #: Texts and shingles of a block, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 400_000
-#: Bits of the filter that spares texts in no candidate group a shuffle.
+#: The filter that spares texts in no candidate group a shuffle has 16 bits for each key and this size at most (16 MB);
+#: with more keys the texts are joined without it.
 MOST_BITS = 1 << 27
+#: Keys remembered by a task, so that it sends the text of copies once.
+REMEMBERED = 500_000
 MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def full_depth(threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL) -> int:
-    """The greatest depth at which a pair at the threshold is found in some tree with the target recall, at least."""
-    s, d = threshold[0] / threshold[1], SHALLOW
-    while 1 - (1 - s ** (d + 1)) ** trees >= recall:
-        d += 1
+def stop_depth(threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL) -> int:
+    """Shortens prefixes from DEEP values on until a pair at the threshold is found in some tree with the target recall."""
+    s, d = threshold[0] / threshold[1], DEEP
+    while d > 1 and 1 - (1 - s**d) ** trees < recall:
+        d -= 1
     return d
 
 
@@ -66,12 +72,13 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(g ^ (g >> np.uint64(32)))
 
 
-def set_key(s: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed numbers."""
+    return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
 class Forest:
-    """Signatures of a forest: ``trees * depth`` minima."""
+    """Signatures of a forest, ``trees * depth`` minima, and their hashed prefixes of this depth."""
 
     def __init__(self, trees: int, depth: int):
         self.trees, self.depth = trees, depth
@@ -79,63 +86,50 @@ class Forest:
         self.factor = rng.integers(0, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.tree = np.arange(trees, dtype=np.uint64) + np.uint64(1)
 
-    def prefixes(self, s: np.ndarray) -> np.ndarray:
-        """Hashed prefixes of lengths SHALLOW to depth, a row for each tree."""
+    def minima(self, s: np.ndarray) -> np.ndarray:
         low = np.full(len(self.factor), np.uint64(2**64 - 1))
-        for i in range(0, len(s), 4096):
-            np.minimum(low, np.multiply.outer(self.factor, s[i : i + 4096]).min(1), out=low)
-        value = low.reshape(self.trees, self.depth)
-        out, h = [], self.tree * MULTIPLY[0]
+        for i in range(0, len(s), 2048):
+            np.minimum(low, np.multiply.outer(self.factor, s[i : i + 2048]).min(1), out=low)
+        return low
+
+    def prefixes(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row for each set, a hashed prefix for each tree."""
+        low = np.stack([self.minima(s) for s in sets]) if sets else np.zeros((0, len(self.factor)), np.uint64)
+        value = low.reshape(len(sets), self.trees, self.depth)
+        h = np.broadcast_to(self.tree * MULTIPLY[0], value.shape[:2])
         for d in range(self.depth):
-            x = (value[:, d] ^ (value[:, d] >> np.uint64(29))) * MULTIPLY[1]
+            x = (value[:, :, d] ^ (value[:, :, d] >> np.uint64(29))) * MULTIPLY[1]
             h = (h ^ x ^ (x >> np.uint64(32))) * MULTIPLY[2]
-            if d >= SHALLOW - 1:
-                out.append(h ^ (h >> np.uint64(31)))
-        return np.stack(out, 1)
+        return (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, depth: int, trees: int) -> DataFrame:
-    """id_, key (of the shingle set; null: no words), n (shingles), prefixes (trees times lengths) of each document."""
+    """id_, text_hash, k1, k2 (the set's key; null: no words), n (shingles), prefixes (one for each tree)."""
     forest = Forest(trees, depth)
 
     def run(batches):
-        known: dict[bytes, np.ndarray] = {}
-        for b in small_batches(batches, "text_", 4_000_000):
-            keys, sizes, rows = [], [], []
-            for t in b.column("text_").to_pylist():
-                s = shingles(t, size)
-                key = set_key(s)
-                keys.append(key)
-                sizes.append(len(s))
-                if key is None:
-                    rows.append(None)
-                    continue
-                if key not in known:
-                    if len(known) >= 1000:
-                        known.clear()
-                    known[key] = forest.prefixes(s).view(np.int64).ravel()
-                rows.append(known[key])
-            yield pa.RecordBatch.from_arrays([b.column("id_"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], ["id_", "key", "n", "prefixes"])
-
-    rows = docs.select(F.col(id_col).alias("id_"), null_to_empty(text_col).alias("text_"))
-    return rows.mapInArrow(run, f"id_ {docs.schema[id_col].dataType.simpleString()}, key binary, n int, prefixes array<long>")
-
-
-def candidate_links(nodes: DataFrame, trees: int, depths: int) -> DataFrame:
-    """a, b: each text of a trie node, and the node's smallest text. nodes: key, prefixes."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    rows = nodes.select("key", "prefixes", at).select("key", *(F.element_at("prefixes", F.col("tree") * depths + d + 1).alias(f"p{d}") for d in range(depths)))
-    found = None
-    for d in range(depths):  # from the shortest prefix on: nodes that stay crowded are left to a longer one
-        node = rows.groupBy(f"p{d}").agg(F.count("*").alias("texts"), F.min("key").alias("b")).where("texts > 1")
-        rows = rows.join(node, f"p{d}")
-        done = rows if d == depths - 1 else rows.where(F.col("texts") <= CROWD)
-        links = done.select(F.col("key").alias("a"), "b")
-        found = links if found is None else found.unionByName(links)
-        rows = rows.where(F.col("texts") > CROWD).drop("texts", "b", f"p{d}")
-        if d < depths - 1:
-            rows = stored(rows, "crowded")
-    return found.where("a <> b").distinct()
+        for b in small_batches(batches, "text_", 2_000_000):
+            sets = [shingles(t, size) for t in b.column("text_").to_pylist()]
+            some = {set_key(s): s for s in sets if len(s)}
+            place = dict(zip(some, range(len(some))))
+            keys = [set_key(s) if len(s) else (None, None) for s in sets]
+            at = np.array([place.get(k, -1) for k in keys], np.int64)
+            flat = forest.prefixes(list(some.values()))[at[at >= 0]].ravel()
+            offsets = np.concatenate([[0], np.cumsum((at >= 0) * trees)]).astype(np.int32)
+            prefixes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            k1, k2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("id_"), b.column("text_hash"), k1, k2, pa.array([len(s) for s in sets], pa.int32()), prefixes], ["id_", "text_hash", "k1", "k2", "n", "prefixes"])
+
+    rows = docs.select(F.col(id_col).alias("id_"), null_to_empty(text_col).alias("text_")).withColumn("text_hash", F.xxhash64("text_"))
+    return rows.mapInArrow(run, f"id_ {docs.schema[id_col].dataType.simpleString()}, text_hash long, k1 long, k2 long, n int, prefixes array<long>")
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """a, b: each text of a trie node with several, and the node's smallest text. nodes: node, prefixes."""
+    rows = nodes.select("node", F.explode("prefixes").alias("prefix"))
+    # a common prefix is counted by partial sums, and its rows are split by Spark's skew join
+    tries = rows.groupBy("prefix").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("prefix", "b")
+    return rows.join(tries, "prefix").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
@@ -173,87 +167,103 @@ def smallest_reachable(linked: np.ndarray) -> np.ndarray:
 def compare_blocks(size: int, threshold: tuple[int, int]):
     def run(key, rows):
         _, i, j = (k.as_py() for k in key)
-        seen: dict[bytes, tuple] = {}
-        for k, block, copies, text in zip(*(rows.column(c).to_pylist() for c in ("key", "block", "copies", "text"))):
-            seen.setdefault(k, (block, copies, text))
-        keys = sorted(seen)
-        sets = [shingles(seen[k][2], size) for k in keys]
-        block, copies = (np.array([seen[k][c] for k in keys], np.int64) for c in (0, 1))
+        seen: dict[int, tuple] = {}
+        for node, k1, block, copies, text in zip(*(rows.column(c).to_pylist() for c in ("node", "k1", "block", "copies", "text"))):
+            if node not in seen:
+                s = shingles(text, size)
+                if len(s) and set_key(s)[0] == k1:  # else another text of the same hash
+                    seen[node] = s, block, copies
+        nodes = sorted(seen)
+        sets = [seen[k][0] for k in nodes]
+        block, copies = (np.array([seen[k][c] for k in nodes], np.int64) for c in (1, 2))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        linked = np.zeros((len(keys), len(keys)), bool)
+        linked = np.zeros((len(nodes), len(nodes)), bool)
         if len(left) and len(right):
             linked[np.ix_(left, right)] = compare([sets[x] for x in left], [sets[x] for x in right], threshold)
         linked |= linked.T
         np.fill_diagonal(linked, False)
         links, root = linked @ copies, smallest_reachable(linked)
-        out = np.flatnonzero(links)
-        return pa.table({"key": pa.array([keys[x] for x in out], pa.binary()), "links": pa.array(links[out]), "root": pa.array([keys[root[x]] for x in out], pa.binary())})
+        out, nodes = np.flatnonzero(links), np.array(nodes, np.int64)
+        return pa.table({"node": pa.array(nodes[out], pa.int64()), "links": pa.array(links[out], pa.int64()), "root": pa.array(nodes[root[out]], pa.int64())})
 
     return run
 
 
-def bloom_filter(keys: DataFrame) -> np.ndarray:
-    """Bits that mark the keys: 16 or more for each, up to MOST_BITS (then more keys than these pass, never fewer)."""
-    n = keys.count()
-    bits = min(MOST_BITS, 1 << max(12, (16 * n).bit_length()))
-    part = F.explode(F.array(*(F.conv(F.hex(F.substring("key", 4 * k + 1, 4)), 16, 10).cast("long") for k in range(4)))).alias("h")
-    place = F.col("h") % bits
-    words = keys.select(part).select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(h % {bits} % 64 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    got = words.toArrow()  # no more rows than MOST_BITS / 64
-    out = np.zeros(bits // 64, np.int64)
-    out[got.column("word").to_numpy()] = got.column("mask").to_numpy()
-    return out.astype("<i8", copy=False).view(np.uint8)
-
-
-def may_have(bits: np.ndarray, key: bytes) -> bool:
-    places = (h % (8 * len(bits)) for h in struct.unpack(">4I", key))
-    return all(bits[p >> 3] >> (p & 7) & 1 for p in places)
+def places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Four places of each 64-bit hash among the filter's bits."""
+    u = h.view(np.uint64)
+    return [((u ^ (u >> np.uint64(32))) * MULTIPLY[k] >> np.uint64(20)) & np.uint64(bits - 1) for k in range(4)]
 
 
-def texts_of(docs: DataFrame, text_col: str, size: int, keys: DataFrame) -> DataFrame:
-    """key, text of the texts with these keys, and few others; a task returns each key once."""
-    sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(keys))  # MOST_BITS at most
+def bloom_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bits that mark the hashes (one column, long), united from every task's own."""
 
     def run(batches):
-        bits, seen = sent.value, set()
-        for b in small_batches(batches, "text_", 4_000_000):
-            keys = [set_key(shingles(t, size)) for t in b.column("text_").to_pylist()]
-            new = []
-            for i, k in enumerate(keys):
-                if k is not None and k not in seen and may_have(bits, k):
-                    seen.add(k)
-                    new.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in new], pa.binary()), b.column("text_").take(pa.array(new, pa.int64()))], ["key", "text"])
+        marks = np.zeros(bits, bool)
+        for b in batches:
+            for p in places(b.column(0).to_numpy(), bits):
+                marks[p.astype(np.int64)] = True
+        packed = np.packbits(marks, bitorder="little").view("<i8")
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], ["word", "mask"])
+
+    got = hashes.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)  # no more rows than these came to the driver
+    out[got.column("word").to_numpy()] = got.column("mask").to_numpy()
+    return out.astype("<i8", copy=False).view(np.uint8)
+
 
-    return docs.select(null_to_empty(text_col).alias("text_")).mapInArrow(run, "key binary, text string")
+def texts_of(docs: DataFrame, text_col: str, members: DataFrame) -> DataFrame:
+    """text and members' columns for all texts with the members' text_hash; copies in a task come once, as a rule."""
+    rows = docs.select(null_to_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    bits = max(1 << 12, 1 << (16 * members.count()).bit_length())
+    if bits <= MOST_BITS:
+        sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(members.select("text_hash"), bits))
+
+        def run(batches):
+            marks, seen = sent.value, set()
+            for b in batches:
+                h = b.column("text_hash").to_numpy()
+                ok = np.ones(len(h), bool)
+                for p in places(h, bits):
+                    ok &= (marks[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                some = []
+                for i in np.flatnonzero(ok).tolist():
+                    if h[i] not in seen:
+                        seen.add(h[i])
+                        some.append(i)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                yield b.take(pa.array(some, pa.int64()))
+
+        rows = rows.mapInArrow(run, "text string, text_hash long")
+    return rows.join(members, "text_hash")
 
 
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL) -> DataFrame:
     """One row per document: id, class_id (smallest id of its class), n_links (other documents it is linked with)."""
     ship(docs.sparkSession)
-    depth = full_depth(threshold, trees, recall)
-    depths = depth - SHALLOW + 1
+    depth = stop_depth(threshold, trees, recall)
     signed = stored(signatures(docs, id_col, text_col, size, depth, trees), "signatures")
-    sets = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("id_").alias("id_"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    sets = stored(sets, "sets")
-    # equal sets have equal prefixes: a task passes them on once for each set it has met
-    first = signed.where("key IS NOT NULL").select("key", "prefixes").dropDuplicates(["key"])
-    groups = connected_components(candidate_links(first, trees, depths)).withColumnsRenamed({"node": "key", "component": "group"})
-    members = stored(groups.join(sets, "key").select("key", "group", "copies", "n"), "members")
+    sets = signed.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id_").alias("id_"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("text_hash").alias("text_hash"), F.first("prefixes").alias("prefixes"))
+    # numbers given when the table is written stand for the sets from here on
+    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    groups = connected_components(candidate_links(sets)).withColumnsRenamed({"component": "group"})
+    members = stored(groups.join(sets, "node").select("node", "k1", "text_hash", "group", "copies", "n"), "members")
     sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    with_text = texts_of(docs, text_col, size, members.select("key")).join(members, "key")
+    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")).drop("n")
+    with_text = texts_of(docs, text_col, dealt)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = with_text.select("*", other.alias("other")).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "copies", "text")
-    found = stored(pairs.groupBy("group", "i", "j").applyInArrow(compare_blocks(size, threshold), "key binary, links long, root binary"), "links")
-    classes = connected_components(found, "key", "root").withColumnsRenamed({"node": "key", "component": "class"})
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    linked = classes.join(links, "key").join(sets.select("key", "id_"), "key")
+    pairs = with_text.select("*", other.alias("other")).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "k1", "block", "copies", "text")
+    found = stored(pairs.groupBy("group", "i", "j").applyInArrow(compare_blocks(size, threshold), "node long, links long, root long"), "links")
+    classes = connected_components(found, "node", "root").withColumnsRenamed({"component": "class"})
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    linked = classes.join(links, "node").join(sets.select("node", "id_"), "node")
     lowest = linked.groupBy("class").agg(F.min("id_").alias("class_id"))
-    known = sets.select("key", "copies", "id_").join(linked.join(lowest, "class").select("key", "links", "class_id"), "key", "left")
-    known = known.select("key", F.coalesce("class_id", "id_").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("id_", "key").join(known, "key", "left")
-    alone = F.col("key").isNull()
+    known = sets.select("node", "k1", "k2", "copies", "id_").join(linked.join(lowest, "class").select("node", "links", "class_id"), "node", "left")
+    known = known.select("k1", "k2", F.coalesce("class_id", "id_").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = signed.select("id_", "k1", "k2").join(known, ["k1", "k2"], "left")
+    alone = F.col("k1").isNull()
     return out.select(F.col("id_").alias(id_col), F.when(alone, F.col("id_")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -57,10 +57,10 @@ def texts(seed=1, near=60):
     return rows + [rows[3], rows[3], (None, out[5]), (None, "nobody else has this very text here"), (None, None)]
 
 
-@pytest.mark.parametrize("block,crowd", [(256, 32), (16, 4)])
-def test_like_brute_force(spark, monkeypatch, block, crowd):
+@pytest.mark.parametrize("block,bits", [(256, 1 << 27), (16, 0)])
+def test_like_brute_force(spark, monkeypatch, block, bits):
     monkeypatch.setattr(j, "BLOCK_TEXTS", block)
-    monkeypatch.setattr(j, "CROWD", crowd)
+    monkeypatch.setattr(j, "MOST_BITS", bits)  # 0: texts are joined without a filter
     rows = texts()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, links int").repartition(3)
     assert found(j.ngram_join(df)) == brute(rows)
@@ -82,8 +82,8 @@ def test_empty_table(spark):
 
 
 def test_recall_bound():
-    d = j.full_depth()
-    assert 1 - (1 - 0.8**d) ** j.TREES >= j.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** j.TREES
+    d = j.stop_depth()
+    assert d < j.DEEP and 1 - (1 - 0.8**d) ** j.TREES >= j.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** j.TREES
 
 
 def test_compare_is_exact():
@@ -112,7 +112,8 @@ def test_components(spark):
 
 
 def test_filter_has_all_keys_and_few_others(spark):
-    keys = [j.set_key(np.array([i], np.uint64)) for i in range(2000)]
-    bits = j.bloom_filter(spark.createDataFrame([(bytearray(k),) for k in keys[:1000]], "key binary"))
-    assert all(j.may_have(bits, k) for k in keys[:1000]) and sum(j.may_have(bits, k) for k in keys[1000:]) < 20
-    assert not j.bloom_filter(spark.createDataFrame([], "key binary")).any()
+    h, bits = np.random.default_rng(5).integers(-(2**63), 2**63, 2000), 1 << 14
+    marks = j.bloom_filter(spark.createDataFrame([(int(x),) for x in h[:1000]], "h long").repartition(3), bits)
+    has = np.unpackbits(marks, bitorder="little").astype(bool)
+    passes = np.all([has[p.astype(np.int64)] for p in j.places(h, bits)], axis=0)
+    assert passes[:1000].all() and passes[1000:].sum() < 20
