@@ -42,4 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of ``stored`` once its last reader is done."""
+    spark = table.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
