@@ -4,11 +4,11 @@ A segment of ids is cut into blocks; every block starts from the same state, so
 Blocks advance in step: one NumPy operation serves the same place of all blocks.
 
 Each id is predicted by three orders. Order 2 and order 1 remember, for the last two ids and the last id, which id came
-next and how often that held; order 0 has the ids' frequencies in the segment, sent in its header. The predictions are
-mixed: each confidence of order 2 and of order 1 has a probability, adapted after every id, and together they split the
-coding range among "the id of order 2", "the id of order 1" and "another", which is then coded with order 0.
+next and how often that held. Their confidences, and whether they agree, choose a mix: how much of the coding range goes
+to the id of order 2, to the id of order 1, and to all others. Mixes adapt after every id, in each block by itself. The
+others are coded by order 0, the ids' frequencies in the segment, sent once in its header.
 
-The coder is carry-less: 64 bits of range, 16 bits are written whenever they are settled.
+The coder has 64 bits of range and writes 32 bits when less than that many are left; a carry goes back into what is written.
 """
 
 from __future__ import annotations
@@ -17,13 +17,18 @@ import zlib
 
 import numpy as np
 
-U = np.uint64
-#: Contexts are hashed to this many places in each block. Probabilities have 16 bits, order-0 frequencies 20.
-SLOTS = 1 << 11
-CONFIDENCES = 8
-FLAG_BITS, ID_BITS = 16, 20
-WHOLE, TOP, BOTTOM = U(2**64 - 1), U(1 << 48), U(1 << 40)
-SHIFT16, SHIFT48 = U(16), U(48)
+U, W = np.uint64, np.uint32
+#: Contexts are hashed to this many places in each block (a power of 2).
+SLOT_BITS = 9
+#: Bits of a mix's shares, of their adapted values, and of order-0 frequencies.
+MIX_BITS, FINE_BITS, ID_BITS = 12, 16, 18
+#: How fast mixes adapt, and the most that two shares of a mix may reach together.
+RATE, MOST = 4, (1 << FINE_BITS) - 64
+#: Confidences have 2 bits; a mix is kept for each pair of them and agreement.
+MIXES = 32
+SHIFT32, LEAST = U(32), U(1 << 32)
+#: What orders 2 and 1 get at first, by their confidence.
+PRIOR = ((300, 300), (6_000, 3_000), (0, 0), (40_000, 20_000))
 
 
 class CorruptBlock(ValueError):
@@ -39,184 +44,194 @@ def order_0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     freq = 1 + n * free // max(1, int(n.sum()))
     if len(n):
         freq[np.argmax(n)] += (1 << ID_BITS) - int(freq.sum())
-    return known.astype(np.uint32), freq.astype(np.uint32)
+    return known.astype(W), freq.astype(W)
+
+
+def first_mixes() -> tuple[np.ndarray, np.ndarray]:
+    """Shares of order 2 and order 1 that a block begins with, by the two confidences and agreement."""
+    at = np.arange(MIXES)
+    p2 = np.array([p for p, _ in PRIOR])[at >> 3]
+    p1 = np.array([p for _, p in PRIOR])[(at >> 1) & 3]
+    return p2.astype(np.int32), np.minimum(p1, (MOST - p2) // 2).astype(np.int32)
 
 
 class Mixer:
-    """Predictions and their probabilities, for each block in its own row. Before a context is met it predicts id 0."""
+    """What the orders remember and the mixes, for each block in its own row. Before a context is met it predicts id 0."""
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.prob_row = np.arange(lanes, dtype=np.int64) * CONFIDENCES
-        self.seen = np.zeros((2, lanes * SLOTS), np.uint32)  # id << 3 | confidence, by order
-        self.prob = np.full((2, lanes * CONFIDENCES), 1 << (FLAG_BITS - 2), np.int32)
-        self.prob.reshape(2, lanes, CONFIDENCES)[:, :, 0] = 300
-        self.last = np.zeros((2, lanes), np.uint32)
+        self.row = np.arange(lanes, dtype=W) << W(SLOT_BITS)
+        self.mix_row = np.arange(lanes, dtype=W) * W(MIXES)
+        self.seen = np.zeros((2, lanes << SLOT_BITS), W)  # id << 2 | confidence, of order 2 and order 1
+        self.mix = [np.tile(p, lanes) for p in first_mixes()]
+        self.hash, self.before = np.zeros((2, lanes), W)
 
     def predict(self, k: int):
-        """For the first k blocks: the ids of order 2 and 1, and the two widths of the coding range."""
-        h1 = self.last[0, :k] * np.uint32(0x9E3779B1)
-        h2 = (h1 ^ (self.last[1, :k] * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-        self.at = [self.row[:k] + (h >> np.uint32(21)) for h in (h2, h1)]
-        self.val = [seen.take(at) for seen, at in zip(self.seen, self.at)]
-        self.conf = [v & np.uint32(7) for v in self.val]
-        self.guess = [v >> np.uint32(3) for v in self.val]
-        self.pat = [self.prob_row[:k] + c for c in self.conf]
-        self.p = [prob.take(at) for prob, at in zip(self.prob, self.pat)]
-        wide2 = self.p[0]
-        wide1 = (((1 << FLAG_BITS) - wide2) * (self.p[1] >> 2) >> (FLAG_BITS - 2)) * (self.guess[0] != self.guess[1])
-        return self.guess[0], self.guess[1], wide2, wide1
-
-    def update(self, ids: np.ndarray, k: int) -> None:
-        fresh = (ids << np.uint32(3)) | np.uint32(1)
-        for i in (0, 1):
-            hit = self.guess[i] == ids
-            self.prob[i][self.pat[i]] = self.p[i] + ((hit * np.int32(61_700) + np.int32(300) - self.p[i]) >> 4)
-            self.seen[i][self.at[i]] = np.where(hit, self.val[i] + (self.conf[i] < 7), fresh)
-        self.last[1, :k] = self.last[0, :k]
-        self.last[0, :k] = ids
+        """For the first k blocks: the ids of order 2 and 1, and their shares of the range."""
+        h1 = self.hash[:k]
+        h2 = (h1 ^ (self.before[:k] >> W(3))) * W(0xC2B2AE35)
+        self.at2, self.at1 = self.row[:k] + (h2 >> W(32 - SLOT_BITS)), self.row[:k] + (h1 >> W(32 - SLOT_BITS))
+        self.v2, self.v1 = v2, v1 = self.seen[0].take(self.at2), self.seen[1].take(self.at1)
+        self.g2, self.g1 = g2, g1 = v2 >> W(2), v1 >> W(2)
+        agree = g2 == g1
+        self.pat = ((v2 & W(3)) << W(3)) + ((v1 & W(3)) << W(1)) + agree + self.mix_row[:k]
+        self.p2, self.p1 = self.mix[0].take(self.pat), self.mix[1].take(self.pat)
+        shift = FINE_BITS - MIX_BITS
+        return g2, g1, ((self.p2 >> shift) + 1).astype(U), (((self.p1 >> shift) + 1) * ~agree).astype(U)
+
+    def update(self, ids: np.ndarray, k: int, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """hit1: the id of order 1 and not that of order 2."""
+        self.mix[0][self.pat] = self.p2 + ((hit2 * np.int32(MOST) - self.p2) >> RATE)
+        self.mix[1][self.pat] = self.p1 + ((hit1 * np.int32(MOST) - self.p1) >> RATE)
+        fresh = (ids << W(2)) | W(1)
+        # a confidence goes from 0 to 1 and on to 3
+        self.seen[0][self.at2] = np.where(hit2, self.v2 | ((self.v2 << W(1)) & W(2)) | W(1), fresh)
+        self.seen[1][self.at1] = np.where(self.g1 == ids, self.v1 | ((self.v1 << W(1)) & W(2)) | W(1), fresh)
+        self.before[:k] = self.hash[:k]
+        np.multiply(ids + W(1), W(0x9E3779B1), out=self.hash[:k])
 
 
 def _lengths(n: int, block: int) -> np.ndarray:
     return np.array([block] * (n // block) + [n % block] * (n % block > 0), np.int64)
 
 
+def carry(out: np.ndarray, pos: np.ndarray, lanes: np.ndarray) -> None:
+    """Adds one to what these lanes have written."""
+    for i in lanes.tolist():
+        q = int(pos[i]) - 1
+        while out[i, q] == 0xFFFFFFFF:
+            out[i, q] = 0
+            q -= 1
+        out[i, q] += 1
+
+
 def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     """Header and blocks; a block is its checksum (4 bytes, of its ids as little-endian 32-bit numbers) and its code."""
-    ids = np.ascontiguousarray(ids, np.uint32)
+    ids = np.ascontiguousarray(ids, W)
+    if len(ids) and ids.max() >= 1 << 30:
+        raise ValueError("ids must be below 2 ** 30")
     known, freq = order_0(ids)
-    header = zlib.compress(np.array([len(ids), block, len(known)], np.uint32).tobytes() + np.diff(known, prepend=np.uint32(0)).tobytes() + freq.tobytes(), 6)
+    header = zlib.compress(np.array([len(ids), block, len(known)], W).tobytes() + np.diff(known, prepend=W(0)).tobytes() + freq.tobytes(), 6)
     if not len(ids):
         return header, []
     length = _lengths(len(ids), block)
     lanes = len(length)
-    grid = np.zeros((block, lanes), np.uint32)
+    grid = np.zeros((block, lanes), W)
     full = len(ids) // block
     grid[:, :full] = ids[: full * block].reshape(full, block).T
     if full < lanes:
         grid[: length[-1], -1] = ids[full * block :]
-    rank = np.searchsorted(known, grid).astype(np.int32)
-    start0, freq0 = (np.cumsum(freq) - freq).astype(np.uint64), freq.astype(np.uint64)
-    out = np.zeros((lanes, 2 * block + 8), np.uint16)
+    if known[-1] < 1 << 22:
+        rank = np.zeros(int(known[-1]) + 1, np.int32)
+        rank[known] = np.arange(len(known))
+        rank_of = rank.take
+    else:
+        rank_of = lambda x: np.searchsorted(known, x)
+    start0, freq0 = (np.cumsum(freq) - freq).astype(U), freq.astype(U)
+    out = np.zeros((lanes, block + 4), W)
     pos = np.zeros(lanes, np.int64)
-    low, span = np.zeros(lanes, U), np.full(lanes, WHOLE, U)
-    mixer = Mixer(lanes)
-
-    def settle(k: int) -> None:
-        lo, sp = low[:k], span[:k]
-        at = None
-        while True:
-            same = (lo ^ (lo + sp)) < TOP
-            j = np.flatnonzero(same | (sp < BOTTOM))
-            if not len(j):
-                break
-            at = j if at is None else at[j]
-            same, lo, sp = same[j], lo[j], sp[j]
-            sp = np.where(same, sp, (U(0) - lo) & (BOTTOM - U(1))) << SHIFT16
-            out[at, pos[at]] = lo >> SHIFT48
-            pos[at] += 1
-            lo = lo << SHIFT16
-            low[at], span[at] = lo, sp
-
+    low_all, span_all = np.zeros(lanes, U), np.full(lanes, U(2**64 - 1), U)
+    mixer, whole = Mixer(lanes), U(1 << MIX_BITS)
     for t in range(block):
         k = lanes if t < length[-1] else full
         if not k:
             break
+        low, span = low_all[:k], span_all[:k]
         x = grid[t, :k]
         g2, g1, w2, w1 = mixer.predict(k)
         hit2 = g2 == x
-        hit1 = (g1 == x) & ~hit2
+        hit1 = (g1 == x) > hit2
         miss = ~(hit2 | hit1)
-        r = span[:k] >> U(FLAG_BITS)
-        low[:k] += ((w2 + w1 * miss) * ~hit2).astype(U) * r
-        span[:k] = (w2 * hit2 + w1 * hit1 + ((1 << FLAG_BITS) - w2 - w1) * miss).astype(U) * r
+        r = span >> U(MIX_BITS)
+        both = w2 + w1
+        new = low + np.where(miss, both, w2 * hit1) * r
+        np.multiply(np.where(hit2, w2, np.where(hit1, w1, whole - both)), r, out=span)
         m = np.flatnonzero(miss)
-        if len(m):
-            s = rank[t, m]
-            r = span[m] >> U(ID_BITS)
-            low[m] += start0[s] * r
-            span[m] = freq0[s] * r
-        settle(k)
-        mixer.update(x, k)
-    for _ in range(4):
-        out[np.arange(lanes), pos] = low >> SHIFT48
-        pos += 1
-        low = low << SHIFT16
+        s = rank_of(x[m])
+        r = span[m] >> U(ID_BITS)
+        new[m] += start0.take(s) * r
+        span[m] = freq0.take(s) * r
+        over = new < low
+        if over.any():
+            carry(out, pos, np.flatnonzero(over))
+        low[:] = new
+        j = np.flatnonzero(span < LEAST)
+        if len(j):
+            at = pos[j]
+            lo = low[j]
+            out[j, at] = lo >> SHIFT32
+            pos[j] = at + 1
+            low[j] = lo << SHIFT32
+            span[j] <<= SHIFT32
+        mixer.update(x, k, hit2, hit1)
+    # of the numbers in the last range one has only zeros after its first 32 bits
+    last = low_all + (LEAST - U(1))
+    carry(out, pos, np.flatnonzero(last < low_all))
+    out[np.arange(lanes), pos] = last >> SHIFT32
+    pos += 1
     blocks, first = [], np.cumsum(length) - length
     for i in range(lanes):
-        crc = zlib.crc32(ids[first[i] : first[i] + length[i]].astype("<u4").tobytes())
-        blocks.append(crc.to_bytes(4, "little") + out[i, : pos[i]].astype("<u2").tobytes())
+        crc = zlib.crc32(ids[first[i] : first[i] + length[i]].astype("<u4", copy=False).tobytes())
+        blocks.append(crc.to_bytes(4, "little") + out[i, : pos[i]].astype("<u4", copy=False).tobytes())
     return header, blocks
 
 
 def decode(header: bytes, blocks: list[bytes], only: list[int] | None = None) -> np.ndarray:
     """The ids of a segment, or those of some of its blocks; raises CorruptBlock where a checksum doesn't match."""
-    raw = np.frombuffer(zlib.decompress(header), np.uint32)
+    raw = np.frombuffer(zlib.decompress(header), W)
     n, block, n_known = (int(v) for v in raw[:3])
-    known = np.cumsum(raw[3 : 3 + n_known], dtype=np.uint32)
+    known = np.cumsum(raw[3 : 3 + n_known], dtype=W)
     freq = raw[3 + n_known :].astype(np.int64)
     if not n:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, W)
     length = _lengths(n, block)
     if only is not None:
         blocks, length = [blocks[i] for i in only], length[only]
     order = np.argsort(-length, kind="stable")
     sorted_length, lanes = length[order], len(order)
-    words = [np.frombuffer(blocks[i], "<u2")[2:] for i in order]
-    code_in = np.zeros((lanes, max(map(len, words)) + 8), np.uint16)
+    words = [np.frombuffer(blocks[i], "<u4")[1:] for i in order]
+    code = np.zeros((lanes, max(map(len, words)) + 4), W)
     for i, w in enumerate(words):
-        code_in[i, : len(w)] = w
-    start0, freq0 = (np.cumsum(freq) - freq).astype(np.uint64), freq.astype(np.uint64)
-    symbol = np.repeat(np.arange(n_known, dtype=np.uint32), freq)
-    low, span, code = np.zeros(lanes, U), np.full(lanes, WHOLE, U), np.zeros(lanes, U)
-    for k in range(4):
-        code = (code << SHIFT16) | code_in[:, k].astype(U)
-    pos = np.full(lanes, 4, np.int64)
-    end = code_in.shape[1] - 1
-    grid = np.zeros((block, lanes), np.uint32)
-    mixer = Mixer(lanes)
-
-    def settle(k: int) -> None:
-        lo, sp = low[:k], span[:k]
-        at = None
-        while True:
-            same = (lo ^ (lo + sp)) < TOP
-            j = np.flatnonzero(same | (sp < BOTTOM))
-            if not len(j):
-                break
-            at = j if at is None else at[j]
-            same, lo, sp = same[j], lo[j], sp[j]
-            sp = np.where(same, sp, (U(0) - lo) & (BOTTOM - U(1))) << SHIFT16
-            code[at] = (code[at] << SHIFT16) | code_in[at, pos[at]]
-            pos[at] = np.minimum(pos[at] + 1, end)
-            lo = lo << SHIFT16
-            low[at], span[at] = lo, sp
-
+        code[i, : len(w)] = w
+    start0, freq0 = (np.cumsum(freq) - freq).astype(U), freq.astype(U)
+    symbol = np.repeat(np.arange(n_known, dtype=np.int32), freq)
+    #: What is left of the code above the range's lower end.
+    rest_all, span_all = (code[:, 0].astype(U) << SHIFT32) | code[:, 1].astype(U), np.full(lanes, U(2**64 - 1), U)
+    pos, end = np.full(lanes, 2, np.int64), code.shape[1] - 1
+    grid = np.zeros((block, lanes), W)
+    mixer, whole = Mixer(lanes), U(1 << MIX_BITS)
     k = lanes
     for t in range(int(sorted_length[0])):
         while sorted_length[k - 1] <= t:
             k -= 1
+        rest, span = rest_all[:k], span_all[:k]
         g2, g1, w2, w1 = mixer.predict(k)
-        r = span[:k] >> U(FLAG_BITS)
-        v = np.minimum((code[:k] - low[:k]) // r, U((1 << FLAG_BITS) - 1)).astype(np.int32)
-        hit2 = v < w2
-        miss = v >= w2 + w1
-        low[:k] += ((w2 + w1 * miss) * ~hit2).astype(U) * r
-        span[:k] = (w2 * hit2 + w1 * ~(hit2 | miss) + ((1 << FLAG_BITS) - w2 - w1) * miss).astype(U) * r
+        r = span >> U(MIX_BITS)
+        a, b = w2 * r, (w2 + w1) * r
+        hit2 = rest < a
+        miss = rest >= b
+        hit1 = ~(hit2 | miss)
+        rest -= np.where(miss, b, a * hit1)
+        np.multiply(np.where(hit2, w2, np.where(hit1, w1, whole - w2 - w1)), r, out=span)
         x = np.where(hit2, g2, g1)
         m = np.flatnonzero(miss)
         if len(m):
+            q = rest[m]
             r = span[m] >> U(ID_BITS)
-            s = symbol[np.minimum((code[m] - low[m]) // r, U((1 << ID_BITS) - 1)).astype(np.int64)]
-            low[m] += start0[s] * r
-            span[m] = freq0[s] * r
-            x[m] = known[s]
-        settle(k)
+            s = symbol.take(np.minimum(q // r, U((1 << ID_BITS) - 1)).astype(np.int64))
+            rest[m] = q - start0.take(s) * r
+            span[m] = freq0.take(s) * r
+            x[m] = known.take(s)
+        j = np.flatnonzero(span < LEAST)
+        if len(j):
+            at = pos[j]
+            rest[j] = (rest[j] << SHIFT32) | code[j, at]
+            pos[j] = np.minimum(at + 1, end)
+            span[j] <<= SHIFT32
         grid[t, :k] = x
-        mixer.update(x, k)
+        mixer.update(x, k, hit2, hit1)
     parts: list = [None] * lanes
     for lane, i in enumerate(order):
-        parts[i] = grid[: sorted_length[lane], lane]
-        if zlib.crc32(parts[i].astype("<u4").tobytes()) != int.from_bytes(blocks[i][:4], "little"):
+        parts[i] = np.ascontiguousarray(grid[: sorted_length[lane], lane])
+        if zlib.crc32(parts[i].astype("<u4", copy=False).tobytes()) != int.from_bytes(blocks[i][:4], "little"):
             raise CorruptBlock(f"block {i} of {lanes}")
     return np.concatenate(parts)

@@ -5,10 +5,11 @@ Parquet table in a folder that all machines share (so that a lost or repeated ta
 holds whole documents, their ids and numbers of tokens, a header with the order-0 frequencies, and blocks of ids, each
 with a checksum, each decodable without the others (see ``range_coder``). ``read_documents`` decodes the segments.
 
-Texts are cut before each lone space between two other characters: the tokenizer's pattern always starts a new
-pre-token there, so the ids of the pieces, joined, are the ids of the text. Pieces seen before come from a memory of
-bounded size, all others go through the library, as lines of one text. Texts with white space on both sides of a cut, or
-with a special mark, go through it whole.
+Texts are cut before each space and around each line break: the tokenizer's pattern starts a new pre-token there, so the
+ids of the pieces, joined, are the ids of the text. Pieces seen before come from a memory of bounded size, all others go
+through the library, as lines of one text, without a mark that ends them after a letter or digit, as that is a pre-token
+of its own. Texts with longer runs of white space, with white space of other kinds beside a cut, or with a special mark
+go through the library whole.
 
 Null texts count as empty and have only the end id; empty tables give no segments; documents of the same id stay in the
 order of their texts. Columns other than id, text and the order are ignored.
@@ -17,28 +18,48 @@ order of their texts. Columns other than id, text and the order are ignored.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_to_empty, shared_dir, ship
-from .range_coder import decode, encode
+from .common import null_to_empty, shared_dir, ship, small_batches
+from .range_coder import CorruptBlock, decode, encode
 
 #: Ids in a segment, at least, unless a task's documents end; ids in a block; pieces remembered by a process.
-SEGMENT_IDS = 8_000_000
-BLOCK_IDS = 4096
+SEGMENT_IDS = 6_000_000
+BLOCK_IDS = 1024
 REMEMBERED = 700_000
 
-SEGMENT = "part int, segment int, first long, doc_ids array<{}>, n_tokens array<long>, header binary, blocks array<binary>"
+SEGMENT = "part int, segment int, first long, doc_ids array<{}>, n_tokens array<long>, list_check long, header binary, blocks array<binary>"
 
 
-def stands_alone(piece: str) -> bool:
-    """Whether a piece, but for one space before it, begins and ends with other characters and has no special mark."""
-    x = piece[piece.startswith(" ") :]
-    return bool(x) and not x[0].isspace() and not x[-1].isspace() and "<|" not in x
+#: Marks that end a piece after a letter or digit are pre-tokens of their own.
+END_MARKS = ".,;:!?"
+#: Kinds of pieces: none, with a space before, a lone space or line break, only right in its whole text.
+PLAIN, SPACED, BLANK, BOUND = range(4)
+
+
+def kind_of(piece: str) -> int:
+    x = piece[1:] if piece[:1] == " " else piece
+    if not x.isalnum():
+        if piece in (" ", "\n"):
+            return BLANK
+        if not x or x[0].isspace() or x[-1].isspace() or "<|" in x:
+            return BOUND
+    return PLAIN if x is piece else SPACED
+
+
+def marked(piece: str) -> bool:
+    """Whether a mark ends the piece that is a pre-token by itself."""
+    return piece[-1] in END_MARKS and piece[-2:-1].isalnum() and "<|" not in piece
+
+
+def grown(x: np.ndarray, size: int) -> np.ndarray:
+    return x if size <= len(x) else np.concatenate([x, np.zeros(max(len(x), size - len(x)), x.dtype)])
 
 
 class Pieces:
@@ -49,74 +70,99 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        if len(self.line_break) != 1:
+            raise ValueError("a line break must be a token")
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.count, self.start = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        #: Pieces that don't stand alone: white space at an end (but one space before), or the end mark's beginning.
-        self.bound = np.zeros(1 << 16, bool)
-        self.used = 0
-
-    def add(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 20_000):
-            some = pieces[i : i + 20_000]
-            alone = list(map(stands_alone, some))
-            # pieces without line breaks go to the library as lines of one text: a line break between two is a token
-            line = [a and "\n" not in p for p, a in zip(some, alone)] if len(self.line_break) == 1 else [False] * len(some)
-            plain, odd = [p for p, x in zip(some, line) if x], [p for p, x in zip(some, line) if not x]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(["\n".join(plain), *odd], add_special_tokens=False)]
-            lines = np.array(ids[0], np.uint32)
-            cuts = np.concatenate([[-1], np.flatnonzero(lines == self.line_break[0]) if plain else [], [len(lines)]]).astype(np.int64)
-            n = np.append(np.diff(cuts)[: len(plain)] - 1, [len(x) for x in ids[1:]]).astype(np.int64)
-            new = np.concatenate([lines[lines != self.line_break[0]] if plain else lines, np.fromiter(chain.from_iterable(ids[1:]), np.uint32)])
-            if len(cuts) != len(plain) + 1 + (not plain) or len(new) != n.sum():
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.count, self.start, self.kind = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int8)
+
+    def put(self, pieces: list[str], kinds: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        k = len(self.index)
+        self.flat = grown(self.flat, self.used + len(ids))
+        self.count, self.start, self.kind = (grown(x, k + len(n)) for x in (self.count, self.start, self.kind))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.count[k : k + len(n)] = n
+        self.start[k : k + len(n)] = self.used + np.cumsum(n) - n
+        self.kind[k : k + len(n)] = kinds
+        self.used += len(ids)
+        self.index.update(zip(pieces, range(k, k + len(n))))
+
+    def merge(self, pieces: list[str]) -> None:
+        """New pieces through the library, as lines of one text: a line break between two pieces is a token."""
+        kinds = np.fromiter(map(kind_of, pieces), np.int8, len(pieces))
+        lines = np.flatnonzero(kinds < BLANK)
+        for i in range(0, len(lines), 20_000):
+            some = [pieces[x] for x in lines[i : i + 20_000].tolist()]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.line_break[0])
+            n = np.diff(at, prepend=-1, append=len(ids)) - 1
+            if len(n) != len(some):
                 raise ValueError("the tokenizer doesn't part its text at line breaks")
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            k = len(self.index)
-            while k + len(n) > len(self.count):
-                self.count, self.start, self.bound = (np.concatenate([x, np.zeros_like(x)]) for x in (self.count, self.start, self.bound))
-            self.flat[self.used : self.used + len(new)] = new
-            self.count[k : k + len(n)] = n
-            self.start[k : k + len(n)] = self.used + np.cumsum(n) - n
-            self.bound[k + len(plain) : k + len(n)] = [not a for a, x in zip(alone, line) if not x]
-            self.used += len(new)
-            self.index.update(zip(chain(plain, odd), range(k, k + len(n))))
+            self.put(some, kinds[lines[i : i + 20_000]], np.delete(ids, at), n)
+        others = np.flatnonzero(kinds >= BLANK)
+        some = [pieces[x] for x in others.tolist()]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        self.put(some, kinds[others], np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        n = self.count[at]
+        return self.flat[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def find(self, pieces: list[str]) -> np.ndarray:
-        get = self.index.get
-        at = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        """Numbers of different pieces."""
+        known = self.index
+        at = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         gone = np.flatnonzero(at < 0)
         if len(gone):
-            self.add(list(dict.fromkeys(pieces[i] for i in gone)))
-            at[gone] = [self.index[pieces[i]] for i in gone]
+            new = [pieces[i] for i in gone.tolist()]
+            ended = [p for p in new if marked(p)]
+            self.merge([p for p in dict.fromkeys(chain((p for p in new if not marked(p)), (p[:-1] for p in ended), END_MARKS)) if p not in known])
+            ended = [p for p in ended if p not in known]
+            parts = np.fromiter((known[x] for p in ended for x in (p[:-1], p[-1])), np.int64, 2 * len(ended))
+            self.put(ended, self.kind[parts[::2]], self.gather(parts), self.count[parts].reshape(-1, 2).sum(1))
+            at[gone] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
         return at
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has."""
         if len(self.index) > REMEMBERED:
             self.clear()
-        # a lone space belongs to what follows it: pieces keep it at their start
-        pieces = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
-        at = self.find(list(chain.from_iterable(pieces)))
-        n_pieces = np.array([len(p) for p in pieces], np.int64)
-        tied = np.zeros(len(texts), bool)
-        tied[np.repeat(np.arange(len(texts)), n_pieces)[self.bound[at]]] = True
-        n = self.count[at]
-        end = np.cumsum(n)
-        ids = self.flat[np.repeat(self.start[at] - (end - n), n) + np.arange(int(n.sum()))]
-        by_text = np.bincount(np.repeat(np.arange(len(texts)), n_pieces), n, len(texts)).astype(np.int64)
+        odd = pc.match_substring(texts, "\0")
+        cut = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(cut, "\0")
+        flat = lists.flatten().dictionary_encode()
+        own = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        words, place = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        if "" in words:  # no piece
+            none = words.index("")
+            words[none] = " "
+            filled = place != none
+            place, own = place[filled], own[filled]
+        at = self.find(words)[place]
+        kind = self.kind[at]
+        tied = odd.to_numpy(zero_copy_only=False)
+        tied[own[kind == BOUND]] = True
+        # three blanks in a row, or two at the end of a text, belong together
+        two = np.flatnonzero((kind[:-1] == BLANK) & (kind[1:] == BLANK) & (own[:-1] == own[1:]))
+        after = np.minimum(two + 2, len(at) - 1)
+        last = (two + 2 >= len(at)) | (own[after] != own[two]) if len(at) else two.astype(bool)
+        tied[own[two[last | (kind[after] != PLAIN)]]] = True
+        ids = self.gather(at)
+        by_text = np.bincount(own, self.count[at], len(texts)).astype(np.int64)
         if tied.any():  # these go to the library whole
             parts = np.split(ids, np.cumsum(by_text)[:-1])
-            for i in np.flatnonzero(tied):
-                parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            whole = np.flatnonzero(tied)
+            for i, x in zip(whole.tolist(), self.tokenizer.encode_batch_fast([texts[i].as_py() for i in whole.tolist()], add_special_tokens=False)):
+                parts[i] = np.array(x.ids, np.uint32)
                 by_text[i] = len(parts[i])
             ids = np.concatenate(parts)
         out = np.full(len(ids) + len(texts), end_id, np.uint32)
-        own = np.ones(len(out), bool)
-        own[np.cumsum(by_text + 1) - 1] = False
-        out[own] = ids
+        mine = np.ones(len(out), bool)
+        mine[np.cumsum(by_text + 1) - 1] = False
+        out[mine] = ids
         return out, by_text + 1
 
 
@@ -129,9 +175,9 @@ def loaded(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def segment_block(n: int) -> int:
-    """Ids in a block of a segment of n ids: small segments have smaller blocks, to keep many of them in step."""
-    return min(BLOCK_IDS, max(256, 1 << max(0, n // 256).bit_length()))
+def list_check(doc_ids: list, n_tokens: np.ndarray) -> int:
+    """Checksum of a segment's documents and numbers of tokens."""
+    return zlib.crc32("\0".join(map(str, doc_ids)).encode("utf-8", "surrogatepass"), zlib.crc32(n_tokens.astype("<i8").tobytes()))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None, end_id: int = 0) -> None:
@@ -147,7 +193,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col
     def run(batches):
         from pyspark import TaskContext
 
-        from aerolith.llm.token_output import BLOCK_IDS, SEGMENT_IDS, encode, loaded, segment_block  # noqa: F401
+        from aerolith.llm.token_output import BLOCK_IDS, SEGMENT_IDS, encode, list_check, loaded
 
         part, segment, first = TaskContext.get().partitionId(), 0, 0
         pieces = loaded(tokenizer_path)
@@ -156,18 +202,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col
         def flush():
             nonlocal segment, first
             ids = np.concatenate([x[1] for x in held])
-            header, blocks = encode(ids, segment_block(len(ids)))
-            row = {"part": [part], "segment": [segment], "first": [first], "doc_ids": [list(chain.from_iterable(x[0] for x in held))], "n_tokens": [np.concatenate([x[2] for x in held])], "header": [header], "blocks": [blocks]}
+            header, blocks = encode(ids, BLOCK_IDS)
+            doc_ids, n_tokens = list(chain.from_iterable(x[0] for x in held)), np.concatenate([x[2] for x in held])
+            row = {"part": [part], "segment": [segment], "first": [first], "doc_ids": [doc_ids], "n_tokens": [n_tokens], "list_check": [list_check(doc_ids, n_tokens)], "header": [header], "blocks": [blocks]}
             segment, first = segment + 1, first + len(ids)
             held.clear()
-            return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(id_type)), ("n_tokens", pa.list_(pa.int64())), ("header", pa.binary()), ("blocks", pa.list_(pa.binary()))]))
+            return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(id_type)), ("n_tokens", pa.list_(pa.int64())), ("list_check", pa.int64()), ("header", pa.binary()), ("blocks", pa.list_(pa.binary()))]))
 
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                some = b.slice(i, 500)
-                held.append((some.column("id_").to_pylist(), *pieces.encode(some.column("text_").to_pylist(), end_id)))
-                if sum(len(x[1]) for x in held) >= SEGMENT_IDS:
-                    yield flush()
+        for b in small_batches(batches, "text_", 4_000_000):
+            held.append((b.column("id_").to_pylist(), *pieces.encode(b.column("text_"), end_id)))
+            if sum(len(x[1]) for x in held) >= SEGMENT_IDS:
+                yield flush()
         if held:
             yield flush()
 
@@ -189,12 +234,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             for r in b.to_pylist():
                 ids = decode(r["header"], r["blocks"]).astype("<u4", copy=False)
                 n = np.array(r["n_tokens"], np.int64)
+                if list_check(r["doc_ids"], n) != r["list_check"] or int(n.sum()) != len(ids):
+                    raise CorruptBlock("the documents of a segment")
                 end = np.cumsum(n)
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(end.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], id_type), pa.array(base.value[r["part"]] + r["first"] + end - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "first", "doc_ids", "n_tokens", "header", "blocks").mapInArrow(run, f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "first", "doc_ids", "n_tokens", "list_check", "header", "blocks").mapInArrow(run, f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def _running(parts):

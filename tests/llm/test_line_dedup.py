@@ -19,17 +19,32 @@ def test_leaves_of_different_lines_stay(spark):
     assert run(spark, rows) == sorted([(i, 1, 0, t) for i, t in rows], key=repr)
 
 
+def test_two_templates_in_a_leaf(spark):
+    names = "anna boris carl dora emil fritz gerda hugo ida jan".split()
+    rows = [(i, f"New session opened by {'user' if i < 5 else 'admin'} {n} from the web") for i, n in enumerate(names)]
+    assert all(r[1:] == (1, 1, "") for r in run(spark, rows))
+    assert all(r[2] == 1 for r in run(spark, rows[:4] + rows[5:9]))  # the word before the name is variable, too
+    assert all(r[2] == 0 for r in run(spark, rows[:4]))
+
+
+def test_sentences_with_a_common_beginning_stay(spark):
+    towns = "Rome Paris Oslo Bern Wien Riga Kiel".split()
+    rows = [(i, f"the dog went to {t}\nWas he that {t}. Ster.") for i, t in enumerate(towns)]
+    assert run(spark, rows) == sorted([(i, 2, 0, t) for i, t in rows], key=repr)
+
+
 def test_defined_cases(spark):
     long = "\n".join(f"line number one {'q' * k} of its own" for k in range(3000))
     same = "Licensed under the terms\n\n  \nLicensed under the terms"
-    rows = [(i, same) for i in range(5)] + [(0, same)] + [(10, None), (11, ""), (12, "\n\n"), (13, long), (None, same), (None, None), (14, "  Licensed under the terms  \nx")]
+    rows = [(i, f"{same}\n{chr(97 + i)}") for i in range(5)] + [(0, f"{same}\na")]
+    rows += [(10, None), (11, ""), (12, "\n\n"), (13, long), (None, f"{same}\nz"), (None, None), (14, "  Licensed under  the terms  \nx")]
     got = dict((r[0], r[1:]) for r in run(spark, rows) if r[0] is not None)
-    assert got[0] == (2, 2, "\n  ") and got[10] == (0, 0, "") and got[11] == (0, 0, "") and got[12] == (0, 0, "\n\n")
+    assert got[0] == (3, 2, "\n  \na") and got[10] == (0, 0, "") and got[11] == (0, 0, "") and got[12] == (0, 0, "\n\n")
     assert got[13][0] == 3000 and got[14] == (2, 1, "x")
     assert len(run(spark, rows)) == len(rows) and run(spark, []) == []
 
 
-def test_repeated_rows_and_repeats_in_a_document_count_once(spark):
-    rows = [(1, "some line of text\nsome line of text")] * 6 + [(2, "some line of text")]
-    assert all(r[2] == 0 for r in run(spark, rows))
+def test_copies_and_repeats_in_a_document_count_once(spark):
+    rows = [(i, "some line of text\nsome line of text") for i in range(6)] + [(2, "some line of text")]
+    assert all(r[2] == 0 for r in run(spark, rows, min_docs=3))
     assert all(r[2] > 0 for r in run(spark, rows, min_docs=2))

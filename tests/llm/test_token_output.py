@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -55,9 +57,29 @@ def test_memory_starts_afresh(monkeypatch):
     monkeypatch.setattr(o, "REMEMBERED", 3)
     pieces, library = o.Pieces(PATH), tokenizers.Tokenizer.from_file(PATH)
     for texts in (["a b c d e", "f g h"], ["x y", "a b"], []):
-        ids, n = pieces.encode(texts, 0)
+        ids, n = pieces.encode(pa.array(texts, pa.string()), 0)
         assert ids.tolist() == [i for t in texts for i in [*library.encode(t, add_special_tokens=False).ids, 0]] and len(n) == len(texts)
 
 
+def test_odd_texts_like_the_library():
+    rng = random.Random(3)
+    bits = ["a", "word", "Ab", "9", "42", ".", ",", "!", "'s", " ", " ", "\n", "\t", "\r\n", "é", "日本", "\u00a0", "\u3000", "²", "🙂", "<|endoftext|>", "\0", "-", "\u0301"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    library = tokenizers.Tokenizer.from_file(PATH)
+    ids, n = o.Pieces(PATH).encode(pa.array(texts), 0)
+    want = [[*x.ids, 0] for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_lists_are_checked(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "files")
+    o.write_token_files(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"), path, PATH)
+    spark.read.parquet(path).withColumn("n_tokens", F.reverse("n_tokens")).write.parquet(path + "2")
+    with pytest.raises(Exception, match="documents of a segment"):
+        o.read_documents(spark, path + "2").collect()
+
+
 def test_empty_table(spark):
     assert o.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
