@@ -1,4 +1,4 @@
-"""Times of feeds, and the two local days."""
+"""Times of feeds, and the two local days."""
 
 from __future__ import annotations
 
@@ -26,6 +26,23 @@ def _name(c: Column) -> str:
     return c._jc.toString()
 
 
+def millis(ts: Column) -> Column:
+    """Whole milliseconds since 1970 of a UTC time without zone."""
+    return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {_name(ts)})")
+
+
+def iso_ms(ts: Column) -> Column:
+    """'2024-01-01T05:00:00.123Z' of a UTC time."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def utc_ms(text: Column) -> Column:
+    """Whole milliseconds since 1970 of a UTC time in text; null if it can't be read."""
+    t = F.regexp_replace(F.trim(text), r"(?i)\s*(UTC|Z)$", "")
+    good = t.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,3})?$")
+    return millis(F.when(good, F.translate(t, "T", " ").try_cast("timestamp_ntz")))
+
+
 def local(ts: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(ZONE), ts)
 

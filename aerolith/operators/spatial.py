@@ -60,6 +60,31 @@ def spatial_outliers(latest: DataFrame, *, radius_m: float = 15_000.0, max_radiu
     return latest.join(stats, "sensor_id", "left").withColumn("outlier", F.coalesce(flag, F.lit(False)))
 
 
+KM_PER_DEG = (110.57, 111.32 * math.cos(math.radians(40.7)))
+
+
+def community_outliers(latest: DataFrame, *, ladder_km: tuple = (5.0, 10.0, 20.0, 40.0), min_neighbors: int = 3, least: float = 500.0, diff: float = 30.0, ratio: float = 5.0, floor: float = 15.0, agree: int = 2) -> DataFrame:
+    """Sensors (sensor_id, value) with n, med, elevated of their neighbours and whether they are outliers (A5).
+
+    Only values of ``least`` or more are looked at. Distances are on a plane. The radius grows until there are enough
+    neighbours, and only sensors that lack some go on to the next one. The median is the upper one; neighbours that are
+    high as well speak for the value."""
+    high = latest.where(F.col("value") >= least)
+    used = None
+    for r in ladder_km:
+        p = near_pairs(high, latest, r * 1_030.0).where("a.sensor_id <> b.sensor_id")
+        dy, dx = (F.col("b.lat") - F.col("a.lat")) * KM_PER_DEG[0], (F.col("b.lon") - F.col("a.lon")) * KM_PER_DEG[1]
+        p = p.where(dy * dy + dx * dx <= r * r).select(F.col("a.sensor_id").alias("sensor_id"), F.col("a.value").alias("own"), F.col("b.sensor_id").alias("other"), F.col("b.value").alias("v"))
+        w = Window.partitionBy("sensor_id")
+        p = p.withColumns({"k": F.row_number().over(w.orderBy("v", "other")), "n": F.count("*").over(w)}).where(F.col("n") >= min_neighbors)
+        high = high.join(p.select("sensor_id").distinct(), "sensor_id", "left_anti")
+        used = p if used is None else used.unionByName(p)
+    stats = used.groupBy("sensor_id").agg(F.first("n").alias("n"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("v"))).alias("med"), F.count_if(F.col("v") >= F.greatest(F.lit(floor), F.col("own") / ratio)).alias("elevated"))
+    v, m = F.col("value"), F.col("med")
+    flag = (v - m >= diff) & ((m < 1) | (v >= ratio * m)) & (F.col("elevated") < agree)
+    return latest.select("sensor_id", "value").join(stats, "sensor_id", "left").withColumn("outlier", F.coalesce(flag, F.lit(False)))
+
+
 def thinned(df: DataFrame, size: float, value: str = "value", tie: str = "sensor_id") -> DataFrame:
     """The highest value of each grid cell; among equal ones the first."""
     w = Window.partitionBy("cy", "cx").orderBy(F.desc(value), tie)

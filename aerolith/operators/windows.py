@@ -104,6 +104,21 @@ def trend(df: DataFrame, value: str = "value", samples: int = 15) -> DataFrame:
     return df.withColumns({"trend": F.when(known, sign), "delta": F.when(known, shown), "predicted": F.when(known, now + shown)}).drop("_w", "_t")
 
 
+def console_trend(df: DataFrame, value: str = "value", samples: int = 8) -> DataFrame:
+    """symbol: rising, falling or stable by the last samples, 5 at least; stable if the last three are close."""
+    w = in_order(*SERIES).rowsBetween(-(samples - 1), 0)
+    df = df.withColumns({"_w": F.collect_list(value).over(w), "_t": trend_threshold(F.col("key"))})
+    n, t, win = F.size("_w"), F.col("_t"), F.col("_w")
+    last3 = F.slice(win, F.greatest(n - 2, F.lit(1)), 3)
+    moves = F.zip_with(F.slice(win, 2, F.greatest(n - 1, F.lit(0))), F.slice(win, 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)
+    noise = F.greatest(t * 0.2, F.lit(0.1))
+    ups, downs = F.size(F.filter(moves, lambda d: d >= noise)), F.size(F.filter(moves, lambda d: d <= -noise))
+    delta, recent = F.element_at(win, -1) - F.element_at(win, 1), F.element_at(win, -1) - F.get(win, n - 2)
+    calm = (F.array_max(last3) - F.array_min(last3)) < t * 0.5
+    up, down = (delta > t) & (ups > 1) & (recent >= -t * 0.5), (delta < -t) & (downs > 1) & (recent <= t * 0.5)
+    return df.withColumn("symbol", F.when((n < 5) | calm, "-").when(up, "▲").when(down, "▼").otherwise("-")).drop("_w", "_t")
+
+
 def as_of(probes: DataFrame, facts: DataFrame, value: str, *by: str) -> DataFrame:
     """Each probe with the last value at or before its time, and that value's time; null before the first.
     One shuffle by the keys: both sides are put in one order, where a fact comes before a probe of the same time."""

@@ -33,6 +33,27 @@ SPELLINGS = {
 }
 # Which of a sensor's pollutants comes first.
 PRIORITY = ["PM25", "PM2.5", "PM10", "OZNE", "Ozone", "NO2", "CO"]
+# Upper bounds of the categories of fields, by concentration and by index; colours for detecting changes.
+FIELD_TOPS = [2.0, 5.0, 9.0, 35.4, 55.4, 125.4, 225.4]
+AQI_TOPS = [6.0, 19.0, 50.0, 100.0, 150.0, 200.0, 300.0]
+SENTINEL_BANDS = [(2.0, "#00FFFF"), (9.0, "#00E400"), (35.4, "#FFFF00"), (55.4, "#FF7E00"), (125.4, "#FF0000"), (225.4, "#8F3F97")]
+# Stops of the continuous colours, by concentration and by index.
+PM25_RAMP = [
+    (0.0, (0, 255, 255)), (1.0, (0, 255, 255)), (3.5, (0, 204, 255)), (7.0, (0, 228, 0)), (22.2, (255, 255, 0)),
+    (45.4, (255, 126, 0)), (90.4, (255, 0, 0)), (175.4, (143, 63, 151)), (250.0, (126, 0, 35)), (500.0, (126, 0, 35)),
+]
+AQI_RAMP = [
+    (0.0, (0, 255, 255)), (6.0, (0, 255, 255)), (19.0, (0, 204, 255)), (50.0, (0, 228, 0)), (51.0, (255, 255, 0)), (100.0, (255, 255, 0)),
+    (101.0, (255, 126, 0)), (150.0, (255, 126, 0)), (151.0, (255, 0, 0)), (200.0, (255, 0, 0)), (201.0, (143, 63, 151)), (300.0, (143, 63, 151)), (500.0, (126, 0, 35)),
+]
+# Codes of counties; words of the vendor in names.
+COUNTY_FIPS = {
+    "beaver": 49001, "box elder": 49003, "cache": 49005, "carbon": 49007, "daggett": 49009, "davis": 49011, "duchesne": 49013, "emery": 49015,
+    "garfield": 49017, "grand": 49019, "iron": 49021, "kane": 49025, "millard": 49027, "morgan": 49029, "piute": 49031, "rich": 49033,
+    "salt lake": 49035, "san juan": 49023, "sanpete": 49039, "san pete": 49039, "sevier": 49041, "summit": 49043, "tooele": 49045, "uintah": 49047,
+    "utah": 49049, "wasatch": 49051, "washington": 49053, "wayne": 49055, "weber": 49057,
+}
+VENDOR_SUFFIX = r"(?i)(?:\s*-\s*|\s+)power(?:ed)?\s+by\s+uto[pi]{2}a(?:\s+fiber)?"
 
 READINGS = T.StructType([
     T.StructField("sensor_id", T.StringType()), T.StructField("source", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
