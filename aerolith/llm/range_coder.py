@@ -22,11 +22,11 @@ U, W = np.uint64, np.uint32
 SLOT_BITS = 9
 #: Bits of a mix's shares, of their adapted values, and of order-0 frequencies.
 MIX_BITS, FINE_BITS, ID_BITS = 12, 16, 18
-#: How fast mixes adapt, and the most that two shares of a mix may reach together.
-RATE, MOST = 4, (1 << FINE_BITS) - 64
-#: Confidences have 2 bits; a mix is kept for each pair of them and agreement.
+#: How fast mixes adapt, and what a share gets for every hit, so that two shares of a mix stay below the whole.
+RATE, GAIN = 4, np.array([0, 4080], U)
+#: Confidences (0, 1, 3) have 2 bits; a mix is kept for each pair of them and agreement.
 MIXES = 32
-SHIFT32, LEAST = U(32), U(1 << 32)
+SHIFT32, LEAST, LOW32, ZERO = U(32), U(1 << 32), U((1 << 32) - 1), U(0)
 #: What orders 2 and 1 get at first, by their confidence.
 PRIOR = ((300, 300), (6_000, 3_000), (0, 0), (40_000, 20_000))
 
@@ -51,8 +51,8 @@ def first_mixes() -> tuple[np.ndarray, np.ndarray]:
     """Shares of order 2 and order 1 that a block begins with, by the two confidences and agreement."""
     at = np.arange(MIXES)
     p2 = np.array([p for p, _ in PRIOR])[at >> 3]
-    p1 = np.array([p for _, p in PRIOR])[(at >> 1) & 3]
-    return p2.astype(np.int32), np.minimum(p1, (MOST - p2) // 2).astype(np.int32)
+    p1 = np.where(at & 1, 0, np.array([p for _, p in PRIOR])[(at >> 1) & 3])
+    return p2.astype(U), np.minimum(p1, (64_000 - p2) // 2).astype(U)
 
 
 class Mixer:
@@ -72,20 +72,19 @@ class Mixer:
         self.at2, self.at1 = self.row[:k] + (h2 >> W(32 - SLOT_BITS)), self.row[:k] + (h1 >> W(32 - SLOT_BITS))
         self.v2, self.v1 = v2, v1 = self.seen[0].take(self.at2), self.seen[1].take(self.at1)
         self.g2, self.g1 = g2, g1 = v2 >> W(2), v1 >> W(2)
-        agree = g2 == g1
-        self.pat = ((v2 & W(3)) << W(3)) + ((v1 & W(3)) << W(1)) + agree + self.mix_row[:k]
+        # where both predict one id, order 1 is never hit, and its share goes to 0
+        self.pat = ((v2 & W(3)) << W(3)) + ((v1 & W(3)) << W(1)) + (g2 == g1).view(np.uint8) + self.mix_row[:k]
         self.p2, self.p1 = self.mix[0].take(self.pat), self.mix[1].take(self.pat)
-        shift = FINE_BITS - MIX_BITS
-        return g2, g1, ((self.p2 >> shift) + 1).astype(U), (((self.p1 >> shift) + 1) * ~agree).astype(U)
+        shift = U(FINE_BITS - MIX_BITS)
+        return g2, g1, (self.p2 >> shift) + U(1), (self.p1 >> shift) + U(1)
 
     def update(self, ids: np.ndarray, k: int, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """hit1: the id of order 1 and not that of order 2."""
-        self.mix[0][self.pat] = self.p2 + ((hit2 * np.int32(MOST) - self.p2) >> RATE)
-        self.mix[1][self.pat] = self.p1 + ((hit1 * np.int32(MOST) - self.p1) >> RATE)
+        self.mix[0][self.pat] = self.p2 - (self.p2 >> U(RATE)) + GAIN.take(hit2.view(np.uint8))
+        self.mix[1][self.pat] = self.p1 - (self.p1 >> U(RATE)) + GAIN.take(hit1.view(np.uint8))
         fresh = (ids << W(2)) | W(1)
-        # a confidence goes from 0 to 1 and on to 3
-        self.seen[0][self.at2] = np.where(hit2, self.v2 | ((self.v2 << W(1)) & W(2)) | W(1), fresh)
-        self.seen[1][self.at1] = np.where(self.g1 == ids, self.v1 | ((self.v1 << W(1)) & W(2)) | W(1), fresh)
+        self.seen[0][self.at2] = np.where(hit2, self.v2 | W(3), fresh)
+        self.seen[1][self.at1] = np.where(self.g1 == ids, self.v1 | W(3), fresh)
         self.before[:k] = self.hash[:k]
         np.multiply(ids + W(1), W(0x9E3779B1), out=self.hash[:k])
 
@@ -120,13 +119,13 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     grid[:, :full] = ids[: full * block].reshape(full, block).T
     if full < lanes:
         grid[: length[-1], -1] = ids[full * block :]
-    if known[-1] < 1 << 22:
-        rank = np.zeros(int(known[-1]) + 1, np.int32)
-        rank[known] = np.arange(len(known))
-        rank_of = rank.take
+    place = ((np.cumsum(freq) - freq).astype(U) << SHIFT32) | freq.astype(U)
+    if known[-1] < 1 << 22:  # start and frequency of an id, by itself
+        by_id = np.zeros(int(known[-1]) + 1, U)
+        by_id[known] = place
+        place_of = by_id.take
     else:
-        rank_of = lambda x: np.searchsorted(known, x)
-    start0, freq0 = (np.cumsum(freq) - freq).astype(U), freq.astype(U)
+        place_of = lambda x: place.take(np.searchsorted(known, x))
     out = np.zeros((lanes, block + 4), W)
     pos = np.zeros(lanes, np.int64)
     low_all, span_all = np.zeros(lanes, U), np.full(lanes, U(2**64 - 1), U)
@@ -143,13 +142,12 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
         miss = ~(hit2 | hit1)
         r = span >> U(MIX_BITS)
         both = w2 + w1
-        new = low + np.where(miss, both, w2 * hit1) * r
-        np.multiply(np.where(hit2, w2, np.where(hit1, w1, whole - both)), r, out=span)
-        m = np.flatnonzero(miss)
-        s = rank_of(x[m])
-        r = span[m] >> U(ID_BITS)
-        new[m] += start0.take(s) * r
-        span[m] = freq0.take(s) * r
+        new = low + np.where(hit2, ZERO, np.where(hit1, w2, both)) * r
+        wide = np.where(hit2, w2, np.where(hit1, w1, whole - both)) * r
+        other = place_of(x)
+        r = wide >> U(ID_BITS)
+        new += np.where(miss, (other >> SHIFT32) * r, ZERO)
+        span[:] = np.where(miss, (other & LOW32) * r, wide)
         over = new < low
         if over.any():
             carry(out, pos, np.flatnonzero(over))
@@ -210,7 +208,7 @@ def decode(header: bytes, blocks: list[bytes], only: list[int] | None = None) ->
         hit2 = rest < a
         miss = rest >= b
         hit1 = ~(hit2 | miss)
-        rest -= np.where(miss, b, a * hit1)
+        rest -= np.where(miss, b, np.where(hit1, a, ZERO))
         np.multiply(np.where(hit2, w2, np.where(hit1, w1, whole - w2 - w1)), r, out=span)
         x = np.where(hit2, g2, g1)
         m = np.flatnonzero(miss)

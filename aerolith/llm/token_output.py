@@ -7,8 +7,8 @@ with a checksum, each decodable without the others (see ``range_coder``). ``read
 
 Texts are cut before each space and around each line break: the tokenizer's pattern starts a new pre-token there, so the
 ids of the pieces, joined, are the ids of the text. Pieces seen before come from a memory of bounded size, all others go
-through the library, as lines of one text, without a mark that ends them after a letter or digit, as that is a pre-token
-of its own. Texts with longer runs of white space, with white space of other kinds beside a cut, or with a special mark
+through the library, words of letters through its merges, others as lines of one text; a mark that ends a piece after a
+letter or digit is a pre-token of its own. Texts with longer runs of white space, with white space of other kinds beside a cut, or with a special mark
 go through the library whole.
 
 Null texts count as empty and have only the end id; empty tables give no segments; documents of the same id stay in the
@@ -58,6 +58,16 @@ def marked(piece: str) -> bool:
     return piece[-1] in END_MARKS and piece[-2:-1].isalnum() and "<|" not in piece
 
 
+def byte_letters() -> str:
+    """The letter that stands for each byte in the vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(rest)) for b in range(256))
+
+
+LETTERS = byte_letters()
+
+
 def grown(x: np.ndarray, size: int) -> np.ndarray:
     return x if size <= len(x) else np.concatenate([x, np.zeros(max(len(x), size - len(x)), x.dtype)])
 
@@ -72,6 +82,8 @@ class Pieces:
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
         if len(self.line_break) != 1:
             raise ValueError("a line break must be a token")
+        if self.tokenizer.normalizer is not None or "ByteLevel" not in str(self.tokenizer.pre_tokenizer):
+            raise ValueError("a byte-level tokenizer without normalizer is needed")
         self.clear()
 
     def clear(self) -> None:
@@ -93,7 +105,13 @@ class Pieces:
     def merge(self, pieces: list[str]) -> None:
         """New pieces through the library, as lines of one text: a line break between two pieces is a token."""
         kinds = np.fromiter(map(kind_of, pieces), np.int8, len(pieces))
-        lines = np.flatnonzero(kinds < BLANK)
+        # a word of letters is one pre-token, so the library's merges are all that it needs
+        words = np.fromiter((p.lstrip(" ").isalpha() and max(p) < "\u0530" for p in pieces), bool, len(pieces)) & (kinds < BLANK)
+        if words.any():
+            some, merges = [pieces[x] for x in np.flatnonzero(words).tolist()], self.tokenizer.model.tokenize
+            ids = [[t.id for t in merges(p.encode().decode("latin-1").translate(LETTERS))] for p in some]
+            self.put(some, kinds[words], np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
+        lines = np.flatnonzero((kinds < BLANK) & ~words)
         for i in range(0, len(lines), 20_000):
             some = [pieces[x] for x in lines[i : i + 20_000].tolist()]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
