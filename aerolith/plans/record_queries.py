@@ -94,7 +94,7 @@ def moving_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("sensor_id", "points", F.round("total_m", 3).alias("total_m"), F.round("displacement_m", 3).alias("displacement_m"), *six("straightness", "south", "north", "west", "east", "mid_lat", "mid_lon"), "counts")
 
 
-@query(f"""{READINGS_SQL}, b AS (SELECT sensor_id, min(epoch_ms(ts)) AS lo, max(epoch_ms(ts)) AS hi FROM readings GROUP BY ALL), c AS (SELECT *, greatest(1, (hi - lo) // 86400000) AS pages FROM b WHERE hi > lo), i AS (SELECT *, least(greatest((epoch_ms(TIMESTAMP '2024-01-20') - lo) // 86400000, 0), pages - 1) AS page, epoch_ms(TIMESTAMP '2024-01-20') AS t FROM c)
+@query(f"""{READINGS_SQL}, b AS (SELECT sensor_id, min(epoch_us(ts) // 1000) AS lo, max(epoch_us(ts) // 1000) AS hi FROM readings GROUP BY ALL), c AS (SELECT *, greatest(1, (hi - lo) // 86400000) AS pages FROM b WHERE hi > lo), i AS (SELECT *, least(greatest((epoch_ms(TIMESTAMP '2024-01-20') - lo) // 86400000, 0), pages - 1) AS page, epoch_ms(TIMESTAMP '2024-01-20') AS t FROM c)
 SELECT sensor_id, pages::BIGINT AS pages, page::BIGINT AS page, (lo + page * 86400000)::BIGINT AS page_from, (CASE WHEN page = pages - 1 THEN hi ELSE lo + (page + 1) * 86400000 END)::BIGINT AS page_to,
  CASE WHEN t + 43200000 > hi THEN greatest(lo, hi - 86400000) WHEN t - 43200000 < lo THEN lo ELSE t - 43200000 END::BIGINT AS window_from, CASE WHEN t + 43200000 > hi THEN hi WHEN t - 43200000 < lo THEN least(hi, lo + 86400000) ELSE t + 43200000 END::BIGINT AS window_to FROM i""")
 def playback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
