@@ -1,15 +1,21 @@
-"""Trails whose cleaning depends on what was kept before, one trail in a group.
+"""Trails whose cleaning depends on what was kept before.
 
-A group is one sensor's points in one local day, which bounds it. Points come in order of time.
+Rows are dealt by their trail's key and sorted in Spark; a task goes through its sorted batches and works trail by trail.
+A trail to clean or to classify is one sensor's points in one local day, which bounds it; only the trail that a batch
+ends in is held for the next one. Rules that look at the last kept row alone carry just that from batch to batch, so a
+series of any length passes.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -22,6 +28,41 @@ def metres(lat1, lon1, lat2, lon2):
     return 2 * EARTH_M * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(1 - a, 0)))
 
 
+def far(a: tuple, b: tuple) -> float:
+    """Metres between two places."""
+    p, q = math.radians(a[0]), math.radians(b[0])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * EARTH_M * math.atan2(math.sqrt(h), math.sqrt(max(1 - h, 0.0)))
+
+
+def in_order(df: DataFrame, *by: str) -> DataFrame:
+    return df.repartition(*by).sortWithinPartitions(*by, F.col("ts").asc_nulls_last(), "reading_id")
+
+
+def starts(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Places where a new key begins, 0 first."""
+    new = np.zeros(len(pdf), bool)
+    new[:1] = True
+    for c in by:
+        x = pdf[c].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_trails(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The same rows in batches that end with a trail."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if len(pdf):
+            last = starts(pdf, by)[-1]
+            if last:
+                yield pdf.iloc[:last]
+            held = pdf.iloc[last:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
 @dataclass(frozen=True)
 class Cleaning:
     """Metres and seconds of the cleaning steps."""
@@ -38,96 +79,118 @@ class Cleaning:
     scan: int = 1200
 
 
-def apart(xy: np.ndarray, least: float) -> np.ndarray:
+def apart(xy: list[tuple], least: float) -> list[int]:
     """Places of the points that are further than ``least`` from the last one kept."""
     kept: list[int] = []
-    for i in range(len(xy)):
-        if not kept or not metres(*xy[kept[-1]], *xy[i]) <= least:
+    for i, p in enumerate(xy):
+        if not kept or far(xy[kept[-1]], p) > least:
             kept.append(i)
-    return np.array(kept, int)
+    return kept
 
 
-def spike_at(xy: np.ndarray, i: int, c: Cleaning) -> int:
-    """How many points from i on leave the trail and come back to it: one (W7), or several close to each other."""
-    before = xy[i - 1]
-    if metres(*before, *xy[i]) < c.out_m:
+def lone_spike(xy: list[tuple], i: int, c: Cleaning) -> int:
+    """1 if point i leaves the trail and the next one is back."""
+    if i + 1 >= len(xy) or far(xy[i - 1], xy[i]) < c.out_m or far(xy[i], xy[i + 1]) < c.out_m:
+        return 0
+    return int(far(xy[i - 1], xy[i + 1]) <= c.back_m)
+
+
+def plateau_spike(xy: list[tuple], i: int, c: Cleaning) -> int:
+    """How many points from i on, each near the one before, are away until the trail is back."""
+    if i + 2 >= len(xy) or far(xy[i - 1], xy[i]) < c.out_m:
         return 0
     j = i + 1
-    if j < len(xy) and metres(*xy[i], *xy[j]) >= c.out_m:
-        return int(metres(*before, *xy[j]) <= c.back_m)
-    while j < len(xy) and metres(*xy[j - 1], *xy[j]) <= c.plateau_m:
+    while j < len(xy) and far(xy[j - 1], xy[j]) <= c.plateau_m:
         j += 1
     n = j - i
-    if n < 2 or j >= len(xy):
+    if n < 2 or j >= len(xy) or far(xy[j - 1], xy[j]) < c.out_m:
         return 0
-    return n if metres(*before, *xy[j]) <= min(c.back_m * n, c.out_m) <= c.out_m <= metres(*xy[j - 1], *xy[j]) else 0
+    return n if far(xy[i - 1], xy[j]) <= min(c.back_m * n, c.out_m) else 0
 
 
-def without_spikes(xy: np.ndarray, c: Cleaning) -> np.ndarray:
-    """Places of the points left when no spike remains; only the last ``scan`` points are looked at."""
-    at = list(range(len(xy)))
+def without_spikes(xy: list[tuple], c: Cleaning) -> list[int]:
+    """Places of the points left when neither kind of spike remains; only the last ``scan`` points are looked at."""
+    at, xy = list(range(len(xy))), list(xy)
     first = max(1, len(at) - max(20, c.scan))
-    i = first
-    while i < len(at) - 1:
-        n = spike_at(xy[at], i, c) if len(at) > 2 else 0
-        if n:
-            del at[i : i + n]
-            i = max(first, i - 2)
-        else:
-            i += 1
-    return np.array(at, int)
+    before = None
+    while before != len(at):
+        before = len(at)
+        for spike in (lone_spike, plateau_spike):
+            i = first
+            while i < len(at) - 1:
+                n = spike(xy, i, c)
+                if n:
+                    del at[i : i + n], xy[i : i + n]
+                    i = max(first, i - 2)
+                else:
+                    i += 1
+    return at
 
 
 def parked_from(xy: np.ndarray, centre: np.ndarray, radius: float, scan: int) -> int:
     """First point of the stretch at the end that stays within a radius of a centre."""
-    far = metres(xy[:-1, 0], xy[:-1, 1], *centre) > radius
-    far[: max(0, len(xy) - scan)] = True
-    out = np.flatnonzero(far)
+    away = metres(xy[:-1, 0], xy[:-1, 1], *centre) > radius
+    away[: max(0, len(xy) - scan)] = True
+    out = np.flatnonzero(away)
     return int(out[-1]) + 1 if len(out) else 0
 
 
-def clean(points: pd.DataFrame, c: Cleaning = Cleaning()) -> pd.DataFrame:
-    """A trail without repeats, spikes and the crowd of points of a parked end (W6-W9). A parked end becomes its first
-    point and one at its middle, with the last point's other columns."""
-    p = points.dropna(subset=["lat", "lon"]).sort_values(["ts", "reading_id"], na_position="last", kind="stable").reset_index(drop=True)
-    if len(p) < 2:
-        return p
-    p = p.iloc[apart(p[["lat", "lon"]].to_numpy(float), c.same_m)].reset_index(drop=True)
-    if len(p) < 4:
-        return p
-    p = p.iloc[without_spikes(p[["lat", "lon"]].to_numpy(float), c)].reset_index(drop=True)
-    xy = p[["lat", "lon"]].to_numpy(float)
-    if len(p) < c.parked_points + 2:
-        return p
+def cleaned(lat: np.ndarray, lon: np.ndarray, seconds: np.ndarray, c: Cleaning = Cleaning()) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which points stay of a trail without repeats, spikes and the crowd of a parked end (W6-W9). A parked end becomes its
+    first point and its last one, which is put at the end's middle (returned beside)."""
+    at = np.flatnonzero(np.isfinite(lat) & np.isfinite(lon))
+    if len(at) < 2:
+        return at, None
+    at = at[apart(list(zip(lat[at].tolist(), lon[at].tolist())), c.same_m)]
+    if len(at) < 4:
+        return at, None
+    at = at[without_spikes(list(zip(lat[at].tolist(), lon[at].tolist())), c)]
+    if len(at) < c.parked_points + 2:
+        return at, None
+    xy, t = np.stack([lat[at], lon[at]], 1), seconds[at]
     centre = np.median(xy[-max(6, c.tail) :], axis=0)
-    at = parked_from(xy, centre, c.parked_m, max(100, c.scan))
-    span = (p.ts.iloc[-1] - p.ts.iloc[at]).total_seconds() if p.ts.notna().iloc[[at, -1]].all() else np.inf
-    travel = metres(xy[at:-1, 0], xy[at:-1, 1], xy[at + 1 :, 0], xy[at + 1 :, 1]).sum()
-    if len(p) - at < c.parked_points or span < c.parked_s or travel > c.parked_travel_m:
-        return p
-    return collapsed(p, at, centre)
+    k = parked_from(xy, centre, c.parked_m, max(100, c.scan))
+    brief = t[-1] - t[k] < c.parked_s  # never with an unknown time
+    if len(at) - k < c.parked_points or brief or metres(xy[k:-1, 0], xy[k:-1, 1], xy[k + 1 :, 0], xy[k + 1 :, 1]).sum() > c.parked_travel_m:
+        return at, None
+    return np.append(at[: k + 1], at[-1]), centre
 
 
-def collapsed(p: pd.DataFrame, at: int, centre: np.ndarray) -> pd.DataFrame:
-    if len(p) - at - 1 <= 1:
-        return p
-    end = p.iloc[[-1]].copy()
-    end["lat"], end["lon"] = float(centre[0]), float(centre[1])
-    return pd.concat([p.iloc[: at + 1], end], ignore_index=True)
+def clean(points: pd.DataFrame, c: Cleaning = Cleaning(), by: list[str] | None = None) -> pd.DataFrame:
+    """Trails, one after the other and each in order, cleaned."""
+    lat, lon, t = points.lat.to_numpy(float).copy(), points.lon.to_numpy(float).copy(), epoch(points.ts)
+    cuts = [*(starts(points, by) if by else [0]), len(points)]
+    kept, moved = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        at, centre = cleaned(lat[a:b], lon[a:b], t[a:b], c)
+        kept.append(a + at)
+        if centre is not None:
+            moved.append((a + at[-1], centre))
+    for i, centre in moved:
+        lat[i], lon[i] = centre
+    return points.assign(lat=lat, lon=lon).iloc[np.concatenate(kept)]
+
+
+def epoch(ts: pd.Series) -> np.ndarray:
+    t = ts.astype("datetime64[ns]")
+    return np.where(t.notna(), t.astype("int64") / 1e9, np.nan)
 
 
 def collapse_end(p: pd.DataFrame, lat: float, lon: float, radius: float = 70.0, least: int = 10) -> pd.DataFrame:
-    """A parked end around a known centre."""
-    xy = p[["lat", "lon"]].to_numpy(float)
+    """A parked end around a known centre becomes its first point and one at the centre."""
     if len(p) < least + 2:
         return p
-    at = parked_from(xy, np.array([lat, lon]), radius, len(p))
-    return p if len(p) - at < least else collapsed(p, at, np.array([lat, lon]))
+    at = parked_from(p[["lat", "lon"]].to_numpy(float), np.array([lat, lon]), radius, len(p))
+    if len(p) - at < least:
+        return p
+    end = p.iloc[[-1]].assign(lat=float(lat), lon=float(lon))
+    return pd.concat([p.iloc[: at + 1], end], ignore_index=True)
 
 
 def clean_trails(df: DataFrame, *by: str, cleaning: Cleaning = Cleaning()) -> DataFrame:
     ship(df.sparkSession)
-    return df.groupBy(*by).applyInPandas(lambda pdf: clean(pdf, cleaning)[list(pdf.columns)], df.schema)
+    keys = list(by)
+    return in_order(df, *by).mapInPandas(lambda batches: (clean(pdf, cleaning, keys) for pdf in whole_trails(batches, keys)), df.schema)
 
 
 @dataclass(frozen=True)
@@ -228,41 +291,42 @@ def mobility(df: DataFrame, *by: str, rules: Mobility = Mobility()) -> DataFrame
     """One row per group: immobile, samples, stable_lat, stable_lon, rule."""
     keys = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
 
-    def run(key, pdf):
-        p = pdf.sort_values(["ts", "reading_id"], kind="stable")
-        t = p.ts.astype("datetime64[ns]")
-        seconds = np.where(t.notna(), t.astype("int64") / 1e9, np.nan)
-        return pd.DataFrame([{**dict(zip(by, key)), **classify(p.lat.to_numpy(float), p.lon.to_numpy(float), seconds, rules)}])
+    def run(batches):
+        for pdf in whole_trails(batches, list(by)):
+            lat, lon, t = pdf.lat.to_numpy(float), pdf.lon.to_numpy(float), epoch(pdf.ts)
+            first = starts(pdf, list(by))
+            found = [classify(lat[a:b], lon[a:b], t[a:b], rules) for a, b in zip(first, [*first[1:], len(pdf)])]
+            yield pd.concat([pdf[list(by)].iloc[first].reset_index(drop=True), pd.DataFrame(found)], axis=1)
 
     ship(df.sparkSession)
-    return df.groupBy(*by).applyInPandas(run, f"{keys}, immobile boolean, samples int, stable_lat double, stable_lon double, rule string")
+    return in_order(df, *by).mapInPandas(run, f"{keys}, immobile boolean, samples int, stable_lat double, stable_lon double, rule string")
 
 
-def committed_changes(df: DataFrame, *by: str, least: float = 2.5) -> DataFrame:
-    """Rows whose band (ci) differs from that of the last committed row and whose value does by ``least``."""
+def kept_by_the_last(df: DataFrame, by: tuple[str, ...], column: str, takes: Callable) -> DataFrame:
+    """Rows that are taken in, given value and ``column`` of the last row taken in of their key (none at first)."""
+    keys = list(by)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, kept, last = pdf.sort_values(["ts", "reading_id"], kind="stable"), [], None
-        for i, (v, band) in enumerate(zip(p.value, p.ci)):
-            if last is None or (band != last[1] and abs(v - last[0]) >= least):
-                kept.append(i)
-                last = v, band
-        return p.iloc[kept]
+    def run(batches):
+        key, last = None, None
+        for pdf in batches:
+            kept = []
+            for i, row in enumerate(zip(zip(*(pdf[c] for c in keys)), pdf["value"], pdf[column])):
+                if row[0] != key:
+                    key, last = row[0], None
+                if last is None or takes(row[1:], last):
+                    kept.append(i)
+                    last = row[1:]
+            yield pdf.iloc[kept]
 
     ship(df.sparkSession)
-    return df.groupBy(*by).applyInPandas(run, df.schema)
+    return in_order(df, *by).mapInPandas(run, df.schema)
 
 
-def accept_community(df: DataFrame, *by: str, gap_s: float = 300.0) -> DataFrame:
-    """Community readings that differ from the last accepted one or come some time after it."""
+def committed_changes(df: DataFrame, *by: str, least: float = 2.5) -> DataFrame:
+    """Rows whose band (ci) differs from that of the last committed row and whose value does by ``least``."""
+    return kept_by_the_last(df, by, "ci", lambda now, last: now[1] != last[1] and abs(now[0] - last[0]) >= least)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, kept, last = pdf.sort_values(["ts", "reading_id"], kind="stable"), [], None
-        for i, (v, t) in enumerate(zip(p.value, p.ts)):
-            if last is None or v != last[0] or (t - last[1]).total_seconds() >= gap_s:
-                kept.append(i)
-                last = v, t
-        return p.iloc[kept]
 
-    ship(df.sparkSession)
-    return df.groupBy(*by).applyInPandas(run, df.schema)
+def accept_community(df: DataFrame, *by: str, gap_s: float = 300.0) -> DataFrame:
+    """Community readings that differ from the last accepted one or come some time after it."""
+    return kept_by_the_last(df, by, "ts", lambda now, last: now[0] != last[0] or (now[1] - last[1]).total_seconds() >= gap_s)

@@ -39,14 +39,47 @@ def test_parked_end_is_collapsed():
     assert len(t.collapse_end(frame([(40, -111)] * 2), 40.0, -111.0)) == 2
 
 
+def plain(places, c=t.Cleaning()):
+    """Both kinds of spikes looked for over and over, each time from the beginning."""
+    pts = places[:1]
+    for p in places[1:]:
+        if t.metres(*pts[-1], *p) > c.same_m:
+            pts.append(p)
+    while len(pts) >= 4:
+        for i in range(1, len(pts) - 1):
+            if min(t.metres(*pts[i - 1], *pts[i]), t.metres(*pts[i], *pts[i + 1])) >= c.out_m and t.metres(*pts[i - 1], *pts[i + 1]) <= c.back_m:
+                del pts[i]
+                break
+        else:
+            return pts
+    return pts
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_lone_spikes_like_a_plain_version(seed):
+    rng = random.Random(seed)
+    places = [(40 + i / 1500 + rng.uniform(0, 1e-5), -111 + (rng.choice([0.01, 0.02]) if rng.random() < 0.15 else 0)) for i in range(60)]
+    c = t.Cleaning(plateau_m=0.0)
+    got = t.clean(frame(places), c)
+    assert list(zip(got.lat, got.lon)) == plain(places)
+
+
+def test_passes_alternate_until_nothing_changes():
+    near = [(40 + i / 1000, -111.0) for i in range(8)]
+    # a plateau within which one point jumps on: the lone spike goes first, then the plateau
+    far = [(40.1, -111.0), (40.1001, -111.0), (40.3, -111.0), (40.1001, -111.00005), (40.1002, -111.0)]
+    got = t.clean(frame(near[:4] + far + [(40.0031, -111.0)] + near[4:]))
+    assert (got.lat < 40.05).all() and len(got) == 9
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_never_longer_and_no_spike_left(seed):
     rng = random.Random(seed)
     places = [(40 + i / 2000 + rng.uniform(0, 1e-4), -111 + (0.01 if rng.random() < 0.1 else 0)) for i in range(80)]
     got = t.clean(frame(places))
     assert len(got) <= 80
-    xy = got[["lat", "lon"]].to_numpy()
-    assert not any(t.spike_at(xy, i, t.Cleaning()) == 1 for i in range(1, len(xy) - 1))
+    xy = list(zip(got.lat, got.lon))
+    assert not any(f(xy, i, t.Cleaning()) for f in (t.lone_spike, t.plateau_spike) for i in range(1, len(xy) - 1))
 
 
 def rule(places, step_s=60):
