@@ -60,22 +60,69 @@ def test_band_rejects_gibberish_and_keeps_mixed_languages(spark):
     assert kept[1000] == (False, False) and kept[1001] == (False, True)
 
 
-def test_probabilities_sum_to_one_and_counts_are_whole(spark):
-    rows = spark.createDataFrame([(1, "abab ba"), (1, None), (2, "b")], "slot int, text string").selectExpr("slot", "coalesce(text, '') text_")
-    counts = {(r.slot, r.gram): r.n for r in q.count_trigrams(rows).collect()}
-    assert sum(n for (s, _), n in counts.items() if s == 1) == 7 and counts[(2, 28 - 26)] == 1
-    table = q.fit_model(rows).table(1).astype(np.float64)
-    assert np.allclose(np.exp(table).reshape(-1, q.SYMBOLS).sum(1), 1, atol=1e-4)
-
-
-def test_surprise_sums_each_text_on_its_own(spark):
-    texts = ["abab ba", "", "b", "ab" * 100]
-    rows = spark.createDataFrame([(1, t) for t in texts], "slot int, text_ string")
-    model = q.fit_model(rows)
-    chars, sums = model.surprise(texts)
-    for i, t in enumerate(texts):
-        alone = model.surprise([t])
-        assert chars[i].sum() == len(t) and math.isclose(sums[i].sum(), alone[1].sum(), rel_tol=1e-5, abs_tol=1e-9)
+def kneser_ney(texts):
+    """Log-probability of each n-gram (a tuple of symbols) by its definition, in plain dictionaries."""
+    def symbols(t):
+        return [int(q.ASCII[ord(c)]) if ord(c) < 128 else 128 + ord(c) % (4096 - 128) for c in t]
+
+    top = Counter()
+    for t in texts:
+        s = [0] * 3 + symbols(t)
+        top.update(tuple(s[i : i + 4]) for i in range(len(t)))
+    of = {4: top}
+    for k in (3, 2, 1):
+        of[k] = Counter(g[1:] for g in of[k + 1])
+    p = {(): 1 / (len(of[1]) + 1)}
+    for k in (1, 2, 3, 4):
+        n = [0, *(sum(c == j for c in of[k].values()) for j in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = [0, *(min(max(j - (j + 1) * y * n[j + 1] / n[j] if n[j] and n[j + 1] else 0.5 * j, 0), j) for j in (1, 2, 3))]
+        if k > 1:
+            d[1] = 1.0
+        total, free = Counter(), Counter()
+        for g, c in of[k].items():
+            total[g[:-1]] += c
+            free[g[:-1]] += d[min(c, 3)]
+        p |= {g: (c - d[min(c, 3)] + free[g[:-1]] * p[g[1:]]) / total[g[:-1]] for g, c in of[k].items()}
+    return {g: (top[g], math.log(p[g])) for g in top}
+
+
+def test_model_like_its_definition(spark):
+    rng = random.Random(4)
+    texts = {1: [prose(rng, 200, "abcdé"), "", "b", "ab " * 30], 2: [prose(rng, 150, "xyzабв"), "日本 語"]}
+    rows = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "slot int, text_ string").repartition(3)
+    got = {r.key % (1 << 64): (r.n, r.logp) for r in q.fit_model(rows).collect()}
+    want = {}
+    for k, ts in [*texts.items(), (q.ALL, texts[1] + texts[2])]:
+        for g, v in kneser_ney(ts).items():
+            want[k << 48 | g[0] << 36 | g[1] << 24 | g[2] << 12 | g[3]] = v
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == v[0] and math.isclose(got[k][1], v[1], rel_tol=1e-5, abs_tol=1e-6) for k, v in want.items())
+
+
+def test_hash_arrays():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(-(2**63), 2**63, 5000))
+    table = q.HashArrays(keys[::2], np.arange(len(keys[::2])))
+    assert np.array_equal(table.find(keys[::2]), np.arange(len(keys[::2]))) and np.isnan(table.find(keys[1::2])).all()
+    assert np.isnan(q.HashArrays(keys[:0], keys[:0]).find(keys)).all()
+
+
+def test_head_and_join_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+    rows = lambda: sorted(((r.doc_id is None, r.doc_id, r.kept, None if r.perplexity is None else round(r.perplexity, 4)) for r in q.quality(df).collect()), key=repr)
+    want = rows()
+    for head in (3000, 0):
+        monkeypatch.setattr(q, "HEAD", head)
+        assert rows() == want
+
+
+def test_many_languages_have_models_of_their_own(spark):
+    rng = random.Random(6)
+    rows = [(1000 * k + i, prose(rng, 80, "".join(chr(0x400 + 9 * k + j) for j in range(9))), f"l{k}", "") for k in range(20) for i in range(40)]
+    rows += [(99_000 + k, prose(rng, 80, "".join(chr(0x400 + rng.randrange(180)) for _ in range(40))), f"l{k}", "") for k in range(20)]
+    kept = {r.doc_id: r.kept for r in q.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(v for k, v in kept.items() if k < 99_000) > 0.97 * 800 and not any(v for k, v in kept.items() if k >= 99_000)
 
 
 def test_lone_long_gibberish_and_an_octave_of_it_set_no_band(spark):
