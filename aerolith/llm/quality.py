@@ -2,8 +2,8 @@
 
 The model is an interpolated modified Kneser-Ney model of order ``ORDER`` over characters, one for each language and one
 for all languages together. Spark counts the n-grams of all documents (a task sends partial counts), and works out the
-orders' counts, discounts and probabilities by groups and joins, so that the model grows with the corpus and passes
-through no single machine. As every text judged has been counted, an n-gram that occurs once is the text's own: above
+orders' counts, discounts and probabilities by groups and joins, so that the model has all n-grams of all languages and
+passes through no single machine. As every text judged has been counted, an n-gram that occurs once is the text's own: above
 order 1 the discount of a count of 1 is the whole, so that a text doesn't vouch for itself. ASCII letters, punctuation,
 digits and white space have symbols of their own, and so have all characters below U+0F80; others are hashed to these
 ``2 ** BITS`` symbols. An n-gram and its language make one key of 64 bits.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import null_to_empty, ship, small_batches, stored
 
-ORDER, BITS = 4, 12
+ORDER, BITS = 3, 12
 #: A key has 16 bits for its language; 0 is for null and the rarest, the last one for all languages.
 LANGUAGES, ALL = 65_534, 65_535
 HEAD = 1 << 21
