@@ -40,7 +40,7 @@ LANGUAGES, ALL = 65_534, 65_535
 HEAD = 1 << 21
 #: A task sends its counts when it has met so many n-grams.
 TASK_GRAMS = 1_000_000
-RUN, FOREIGN = 32, 0.5
+RUN, FOREIGN = 32, 0.1
 #: Documents that an octave or a language needs for a spread of its own.
 ENOUGH = 30
 #: A text has fewer than 2 ** 31 bytes.
