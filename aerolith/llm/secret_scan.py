@@ -8,7 +8,7 @@ forest trained on labelled findings then says whether it is a secret.
 Labelled findings are a table (text, secret, and optionally a path); each of its texts' candidates gets its label.
 ``labelled_findings`` makes such a table from rules: formats of keys, tokens and passwords on one side; commit ids,
 checksums, identifiers, paths, addresses, embedded files, numbers and placeholders on the other. The dictionary is a
-table of words; by default those of at least ``WORD_DOCS`` documents of the scanned table, and ``CODE_WORDS``.
+table of words; by default those in a share of ``WORD_SHARE`` of the scanned table's documents, and ``CODE_WORDS``.
 
 Null texts have no candidates; repeated rows give their candidates repeatedly; other columns are ignored. If all
 findings have one label, or there are none, no forest is fitted and every candidate counts as a secret.
@@ -16,6 +16,8 @@ findings have one label, or there are none, no forest is fitted and every candid
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SHORTEST, WORD_DOCS = 16, 20
+SHORTEST, WORD_SHARE = 16, 0.002
 CANDIDATE = f"[A-Za-z0-9_+/=.:%@~-]{{{SHORTEST},}}"
 SPACE = r"[\x20\x09-\x0D]+"
 CODE_WORDS = (
@@ -43,21 +45,27 @@ TEST_PATH = r"(?i)(test|example|sample|fixture|mock|demo|docs?/)"
 
 
 def candidates(texts: DataFrame, *keep: str) -> DataFrame:
-    """A row for each candidate of each text_: it, its number in the text, its word and the words beside it."""
-    words = F.split("text_", SPACE)
-    at = F.filter(F.transform(words, lambda w, i: F.when(F.length(w) >= SHORTEST, F.when(w.rlike(CANDIDATE), i))), lambda i: i.isNotNull())
-    rows = texts.where(F.col("text_").rlike(CANDIDATE)).select(*keep, words.alias("words"), F.explode(at).alias("i"))
-    word = F.get("words", F.col("i"))
-    near = lambda *steps: F.concat_ws(" ", *(F.coalesce(F.substring(F.get("words", F.col("i") + k), -24 if k < 0 else 1, 24), F.lit("")) for k in steps))
-    rows = rows.select(*keep, "i", word.alias("word"), near(-3, -2, -1).alias("before"), near(1, 2).alias("after"))
-    found = rows.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), 0)).alias("n", "found"))
+    """A row for each candidate of each text_: it, its place (number of its word * 2 ** 31 + number in the word), what is
+    before it in its word and the words beside it. Only these leave a text, so that the work is linear in its length."""
+    # a lambda's variable holds the words, so that they are split once
+    def near(words, i, *steps):
+        return F.concat_ws(" ", *(F.coalesce(F.substring(F.get(words, i + k), -24 if k < 0 else 1, 24), F.lit("")) for k in steps))
+
+    def described_words(words):
+        one = lambda w, i: F.when((F.length(w) >= SHORTEST) & w.rlike(CANDIDATE), F.struct(i.alias("i"), w.alias("word"), near(words, i, -3, -2, -1).alias("before"), near(words, i, 1, 2).alias("after")))
+        return F.filter(F.transform(words, one), lambda x: x.isNotNull())
+
+    rows = texts.where(F.col("text_").rlike(CANDIDATE)).select(*keep, F.explode(F.get(F.transform(F.array(F.split("text_", SPACE)), described_words), F.lit(0))).alias("w"))
+    both = f"(.{{0,24}}?)({CANDIDATE})"
+    parts = F.arrays_zip(F.regexp_extract_all("w.word", F.lit(both), 1).alias("lead"), F.regexp_extract_all("w.word", F.lit(both), 2).alias("found"))
+    found = rows.select(*keep, "w.i", "w.before", "w.after", F.posexplode(parts).alias("n", "part")).select("*", "part.*")
     # NAME=value and name:value hold the candidate after the sign; the name goes to the words before it
     cut = r"^([A-Za-z][A-Za-z0-9_.-]*)[=:](?!//)(.{8,})$"
     name, value = F.regexp_extract("found", cut, 1), F.regexp_extract("found", cut, 2)
     trimmed = F.regexp_replace(F.when(name != "", value).otherwise(F.col("found")), r"^[.:%@~=+-]+|[.:%@~-]+$", "")
-    start = F.instr("word", F.col("found"))
-    lead = F.expr("substring(word, greatest(1, instr(word, found) - 24), least(24, instr(word, found) - 1))")
-    return found.select(*keep, (F.col("i").cast("long") * 1000 + F.col("n")).alias("place"), trimmed.alias("candidate"), F.concat_ws(" ", "before", lead, name).alias("before"), "after", (start > 1).cast("int").alias("inside")).where("length(candidate) >= 8")
+    place = F.col("i").cast("long") * (1 << 31) + F.col("n")
+    inside = (F.col("n") > 0) | (F.col("lead") != "")
+    return found.select(*keep, place.alias("place"), trimmed.alias("candidate"), F.concat_ws(" ", "before", "lead", name).alias("before"), "after", inside.cast("int").alias("inside")).where("length(candidate) >= 8")
 
 
 def runs(pattern: str) -> Column:
@@ -106,8 +114,9 @@ def described(found: DataFrame, dictionary: DataFrame, *key: str) -> DataFrame:
     return out.withColumn("f_dictionary", F.coalesce(F.col("covered"), F.lit(0)) / F.length("candidate")).drop("covered")
 
 
-def dictionary_of(texts: DataFrame, min_docs: int = WORD_DOCS) -> DataFrame:
-    """Words of 3 to 14 small letters that at least so many documents have, and CODE_WORDS."""
+def dictionary_of(texts: DataFrame, share: float = WORD_SHARE) -> DataFrame:
+    """Words of 3 to 14 small letters that such a share of all documents have, two at least, and CODE_WORDS."""
+    min_docs = max(2, math.ceil(share * texts.count()))
     words = texts.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("text_"), r"[^a-z]+"), lambda w: F.length(w).between(3, 14)))).alias("word"))
     often = words.groupBy("word").count().where(F.col("count") >= min_docs).select("word")
     return often.unionByName(texts.sparkSession.createDataFrame([(w,) for w in CODE_WORDS], "word string")).distinct()
@@ -157,14 +166,14 @@ def fit_forest(findings: DataFrame, dictionary: DataFrame, trees: int = 40, dept
 
 
 def scan(docs: DataFrame, *, findings: DataFrame | None = None, dictionary: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """One row per candidate: id, place (word number * 1000 + number in the word), candidate, score, is_secret."""
+    """One row per candidate: id, place (word number * 2 ** 31 + number in the word), candidate, score, is_secret."""
     spark = docs.sparkSession
     path = F.col(path_col).cast("string") if path_col and path_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"), path.alias("path_"))
     dictionary = stored(dictionary.select("word").distinct() if dictionary is not None else dictionary_of(texts), "dictionary")
     forest = fit_forest(labelled_findings(spark) if findings is None else findings, dictionary)
     columns = [*FEATURES, "f_dictionary"]
-    found = described(candidates(texts, "id_", "path_"), dictionary)
+    found = described(stored(candidates(texts, "id_", "path_"), "candidates"), dictionary)
     if forest is None:
         scored = found.withColumn("score", F.lit(1.0))
     else:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from aerolith.llm import secret_scan as s
@@ -19,8 +22,28 @@ def scanned(spark, words, texts, **options):
 def test_candidates_and_neighbours(spark):
     rows = spark.createDataFrame([(1, f'set token = "{HEX}"### and x'), (2, f"API_KEY={HEX};z"), (3, "https://example.com/a/b/c.html"), (4, "short words only"), (5, f"{HEX},{HEX}")], "id_ long, text_ string")
     got = {(r.id_, r.place): r for r in s.candidates(rows, "id_").collect()}
-    assert {k: r.candidate for k, r in got.items()} == {(1, 3000): HEX, (2, 0): HEX, (3, 0): "https://example.com/a/b/c.html", (5, 0): HEX, (5, 1): HEX}
-    assert "token" in got[1, 3000].before and got[1, 3000].after == "and x" and "API_KEY" in got[2, 0].before
+    assert {k: r.candidate for k, r in got.items()} == {(1, 3 << 31): HEX, (2, 0): HEX, (3, 0): "https://example.com/a/b/c.html", (5, 0): HEX, (5, 1): HEX}
+    assert "token" in got[1, 3 << 31].before and got[1, 3 << 31].after == "and x" and "API_KEY" in got[2, 0].before
+
+
+def test_many_candidates_in_a_word_have_places_of_their_own(spark):
+    word = ",".join(f"{HEX}{i:05d}" for i in range(1500))
+    rows = spark.createDataFrame([(1, f"x {word} " + " ".join(f"{HEX}{i:05d}" for i in range(20_000)))], "id_ long, text_ string")
+    got = s.candidates(rows, "id_").collect()
+    assert len(got) == len({r.place for r in got}) == len({r.candidate for r in got}) + 1500 == 21_500
+
+
+def test_features_like_plain_python(spark, words):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcXYZ0123456789_+/=.-getTokenUser") for _ in range(rng.randint(16, 60))) for _ in range(200)]
+    rows = spark.createDataFrame([(i, t, "tests/a" if i % 2 else "src") for i, t in enumerate(texts)], "id_ long, text_ string, path_ string")
+    for r in s.described(s.candidates(rows, "id_", "path_"), words).collect():
+        x = r.candidate
+        kinds = re.findall("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", x)
+        known = sum(len(w) for w in re.findall("[A-Z]?[a-z]{2,}|[A-Z]{3,}", x) if w.lower() in s.CODE_WORDS)
+        want = {"f_length": len(x), "f_changes": (len(kinds) - 1) / len(x), "f_digits": sum(c.isdigit() for c in x) / len(x), "f_upper": sum(c.isupper() for c in x) / len(x), "f_lower": sum(c.islower() for c in x) / len(x),
+                "f_different": len(set(x)) / min(len(x), 32), "f_longest_letters": max(map(len, re.findall("[a-z]+|[A-Z]+", x)), default=0), "f_slashes": x.count("/"), "f_test_path": r.path_ == "tests/a", "f_dictionary": known / len(x)}
+        assert all(abs(r[k] - v) < 1e-9 for k, v in want.items()), (x, want)
 
 
 def test_forest_tells_secrets_from_other_findings(spark, words):
@@ -51,5 +74,5 @@ def test_without_labels_of_both_kinds_everything_is_a_secret(spark, words):
 
 def test_dictionary_counts_documents(spark):
     texts = spark.createDataFrame([(t,) for t in ["often Seen often", "seen often", None, "seen ab"]], "text_ string").na.fill("")
-    got = {r.word for r in s.dictionary_of(texts, 3).collect()}
+    got = {r.word for r in s.dictionary_of(texts, 0.7).collect()}
     assert "seen" in got and "often" not in got and "token" in got
