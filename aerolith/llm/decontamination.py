@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded_words, ship, stored
-
+from .common import folded_words, ship, small_batches, stored
 
+#: Texts are worked on in parts of about so many bytes.
+BATCH_BYTES = 4_000_000
 
 class Windows:
     """Windows of a block of items as arrays of word ids, and the shingles that occur in them."""
@@ -114,7 +115,7 @@ def counted(windows: Windows, docs: DataFrame, text_col: str) -> dict[int, int]:
 
     def run(batches):
         total = np.zeros(len(windows.shingles), np.int64)
-        for b in batches:
+        for b in small_batches(batches, "text_", BATCH_BYTES):
             ids, start, n = windows.encode(b.column(0).to_pylist())
             keys = np.concatenate([windows.pairs(ids, start, n)[1], ids[ids >= 0] * windows.base])
             near = np.minimum(np.searchsorted(windows.shingles, keys), max(0, len(total) - 1))
@@ -134,7 +135,7 @@ def search(windows: Windows, rows: DataFrame, more: bool) -> DataFrame:
 
     def run(batches):
         windows = sent.value
-        for b in batches:
+        for b in small_batches(batches, "text_", BATCH_BYTES):
             ids, start, n = windows.encode(b.column("text_").to_pylist())
             doc, first, w = windows.find(ids, start, n) if len(windows.words) else (np.zeros(0, np.int64),) * 3
             step = np.zeros(len(ids) + 1, np.int64)
@@ -185,11 +186,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     return rows.withColumnRenamed("id_", id_col)
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The spans and items of ``find_contamination`` as counts and a hash of the sorted item ids."""
     n_hit = F.aggregate(F.zip_with("hit_to", "hit_from", lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 

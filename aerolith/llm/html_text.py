@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
@@ -77,6 +78,8 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
     blocks: list[tuple[int, str]] = []
     hashes: list[int] = []
     piece: list[str] = []
+    #: How many elements of each tag are open.
+    count: dict[str, int] = defaultdict(int)
     out_depth = 0
 
     def flush() -> None:
@@ -87,8 +90,7 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
                 blocks.append((level(), text))
 
     def level() -> int:
-        tags = [e.tag for e in stack]
-        return 2 if "article" in tags else 1 if "main" in tags else 0
+        return 2 if count["article"] else 1 if count["main"] else 0
 
     def add(raw: str) -> None:
         if not raw:
@@ -108,6 +110,7 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
         if e.tag in BLOCK:
             flush()
         stack.pop()
+        count[e.tag] -= 1
         out_depth -= e.out
         digest = e.hash.intdigest() - (1 << 63)
         if e.text and stack:
@@ -129,7 +132,7 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
         if end:
             if tag == "br":
                 piece.append(" ")
-            elif any(e.tag == tag for e in stack):
+            elif count[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -140,7 +143,7 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
             continue
         if tag in P_ENDS:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if count["p"] else ():
                 if stack[k].tag == "p":
                     while len(stack) > k:
                         close()
@@ -149,7 +152,7 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
                     break
         if tag in CLOSES:
             kinds, limits = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(count[x] for x in kinds) else ():
                 if stack[k].tag in kinds:
                     while len(stack) > k:
                         close()
@@ -160,7 +163,7 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
             piece.append(" ")
         if tag in VOID:
             continue
-        inside = any(e.tag == "article" for e in stack)
+        inside = count["article"] > 0
         out = bool(out_depth) or left_out(tag, attributes, inside)
         if tag == "body":  # whatever the head has left open
             while stack and stack[-1].tag != "html":
@@ -170,6 +173,7 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
         if out and not out_depth:
             flush() if tag in BLOCK else None
         stack.append(e)
+        count[tag] += 1
         out_depth += out
         if attributes and attributes.endswith("/") and tag in ("svg", "math"):
             close()

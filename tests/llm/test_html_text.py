@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from aerolith.llm.html_text import MANY, extract, parse
@@ -43,3 +45,13 @@ def test_templates_of_a_host_go_and_articles_stay(spark):
 
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_deep_nesting_takes_linear_time():
+    took = []
+    for n in (2_000, 16_000):
+        page = "<body>" + "<div>" * n + "<p>text</p>" + "</div>" * n + "</body>"
+        at = time.process_time()
+        assert parse(page)[0] == ["text"]
+        took.append(time.process_time() - at)
+    assert took[1] < 25 * took[0]
