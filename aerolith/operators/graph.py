@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, project_to_segment
-from ..session import stored
+from .components import connected_components
 from .spatial import near_pairs
 
 
@@ -16,18 +16,9 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and the smallest node that it reaches (R9). Labels spread along edges and jump to their label's label, so
-    that the number of rounds grows with the logarithm of a path's length; each round is written to the shared folder."""
-    ends = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    label = nodes.select("node", F.col("node").alias("label"))
-    while True:
-        near = ends.join(label, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("near"))
-        new = label.join(near, "node", "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = new.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        new = stored(new.join(jump, F.col("label") == F.col("via"), "left").select("node", F.least("label", "further").alias("label"), "old"), "labels")
-        if new.where("label <> old").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
-        label = new.drop("old")
+    """node and the smallest node that it reaches."""
+    found = connected_components(edges, "src", "dst")
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Merges of feeds (J2-J6, J17, J18, J22, U1-U8, W19, T-8)."""
+"""Merges of feeds."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,16 +13,16 @@ def with_names(sensors: DataFrame, names: DataFrame, pinned: DataFrame) -> DataF
     return out.withColumns({"name": name, "pinned": F.coalesce("_p", F.lit(False))}).drop("custom", "_p")
 
 
-def merge_by_place(fixed: DataFrame, incoming: DataFrame, place: list[Column]) -> DataFrame:
-    """Incoming readings into fixed sensors at the same place (J4), both of sensor_id, lat, lon, key, value.
+def merge_by_place(fixed: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming readings into fixed sensors at the same place, to three decimals (J4), both of sensor_id, lat, lon, key, value.
 
     Of fixed sensors at one place the last by id takes them; its own readings win; incoming sensors without a place
     among the fixed ones are added. origin says where a reading is from."""
-    at = F.struct(*place)
+    at = F.struct(F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
     own = fixed.withColumn("place", at).groupBy("place").agg(F.max("sensor_id").alias("target"))
-    placed = incoming.withColumn("place", at).join(own, "place", "left").select(F.coalesce("target", "sensor_id").alias("sensor_id"), "key", "value", F.when(F.col("target").isNull(), "added").otherwise("merged").alias("origin"))
+    placed = incoming.withColumn("place", at).join(own, "place", "left").select(F.col("sensor_id").alias("incoming"), F.coalesce("target", "sensor_id").alias("sensor_id"), "key", "value", F.when(F.col("target").isNull(), "added").otherwise("merged").alias("origin"))
     # several incoming sensors at one place: the first by id
-    placed = placed.groupBy("sensor_id", "key", "origin").agg(F.min_by("value", "value").alias("value"))
+    placed = placed.groupBy("sensor_id", "key", "origin").agg(F.min_by("value", "incoming").alias("value"))
     new = placed.join(fixed.select("sensor_id", "key"), ["sensor_id", "key"], "left_anti")
     return fixed.select("sensor_id", "key", "value", F.lit("own").alias("origin")).unionByName(new)
 

@@ -1,4 +1,4 @@
-"""Neighbours in space by buckets, outliers among them, thinning."""
+"""Neighbours in space by buckets, outliers among them, thinning."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell, haversine_m, truncated_cell
+from ..session import stored
 
 M_PER_DEG = 111_194.92664455873  # on a sphere of 6,371 km
 
@@ -16,17 +17,29 @@ def in_box(lat: Column, lon: Column, south: float, north: float, west: float, ea
     return lat.between(south, north) & lon.between(west, east)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, max_abs_lat: float = 60.0) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of a left row (a) and a right row (b) within the radius, with dist_m. Both have lat and lon.
 
-    Cells are as wide as the radius, in longitude for the latitude ``max_abs_lat``; a right row is sent to the cells
-    around its own, so that the join is on equal cells and no pair of places is compared twice."""
-    dlat = radius_m / M_PER_DEG * 1.000001
-    dlon = dlat / math.cos(math.radians(max_abs_lat))
-    at = lambda p: [cell(F.col(f"{p}.lat"), dlat).alias("cy"), cell(F.col(f"{p}.lon"), dlon).alias("cx")]
-    a = left.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.struct("*").alias("a")).select("a", *at("a"))
-    b = right.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.struct("*").alias("b")).select("b", *at("b"))
-    b = b.select("b", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"), "cx").select("b", "cy", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"))
+    Cells are as high as the radius, and as wide at the latitude of their band; a right row is sent to the cells around its
+    own, across 180 degrees too, so that the join is on equal cells and no pair of places is compared twice."""
+    high = radius_m / M_PER_DEG * 1.000001
+
+    def wide(band: Column) -> Column:
+        edge = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * high, F.lit(89.9))
+        return F.least(F.lit(high) / F.cos(F.radians(edge)), F.lit(360.0))
+
+    def places(df: DataFrame, name: str) -> DataFrame:
+        rows = df.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.struct("*").alias(name))
+        return rows.withColumns({"cy": cell(F.col(f"{name}.lat"), high), "x": F.pmod(F.col(f"{name}.lon"), F.lit(360.0))})
+
+    a = places(left, "a")
+    a = a.select("a", "cy", F.floor(F.col("x") / wide(F.col("cy"))).alias("cx"))
+    b = places(right, "b").withColumn("own", wide(F.col("cy")))
+    b = b.select("b", "x", "own", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy")).withColumn("w", wide(F.col("cy")))
+    reach = F.greatest("own", "w")
+    around = F.flatten(F.transform(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)), lambda s: F.sequence(F.floor((F.col("x") + s - reach) / F.col("w")), F.floor((F.col("x") + s + reach) / F.col("w")))))
+    inside = F.array_distinct(F.filter(around, lambda c: (c >= 0) & (c <= F.floor(F.lit(360.0) / F.col("w")))))
+    b = b.select("b", "cy", F.explode(inside).alias("cx"))
     d = haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return a.join(b, ["cy", "cx"]).select("a", "b", d.alias("dist_m")).where(F.col("dist_m") <= radius_m)
 
@@ -43,13 +56,14 @@ def spatial_outliers(latest: DataFrame, *, radius_m: float = 15_000.0, max_radiu
 
     The neighbourhood is that of the smallest radius of the ladder with enough neighbours, cut to the nearest ones;
     equal distances go by id. Sensors with too few neighbours aren't outliers and have no median."""
-    ladder = radius_ladder(radius_m, 1.8, 6, max_radius_m)
-    pairs = near_pairs(latest, latest, ladder[-1]).where("a.sensor_id <> b.sensor_id").select(F.col("a.sensor_id").alias("sensor_id"), F.col("b.sensor_id").alias("other"), F.col("b.value").alias("v"), "dist_m")
-    # only the ladder's counts and the nearest ones are kept of a neighbourhood
-    rank = F.row_number().over(Window.partitionBy("sensor_id").orderBy("dist_m", "other"))
-    near = pairs.withColumn("rank", rank).where(F.col("rank") <= max(max_neighbors, min_neighbors))
-    chosen = near.where(F.col("rank") == min_neighbors).select("sensor_id", F.coalesce(*(F.when(F.col("dist_m") <= r, r) for r in ladder)).alias("r"))
-    used = near.join(chosen, "sensor_id").where((F.col("dist_m") <= F.col("r")) & (F.col("rank") <= max_neighbors))
+    used, left = None, latest.select("sensor_id", "lat", "lon")
+    for r in radius_ladder(radius_m, 1.8, 6, max_radius_m):  # only sensors that lack neighbours go on to the next radius
+        p = near_pairs(left, latest, r).where("a.sensor_id <> b.sensor_id").select(F.col("a.sensor_id").alias("sensor_id"), F.col("b.sensor_id").alias("other"), F.col("b.value").alias("v"), "dist_m")
+        w = Window.partitionBy("sensor_id")
+        p = p.withColumns({"rank": F.row_number().over(w.orderBy("dist_m", "other")), "all": F.count("*").over(w)})
+        p = stored(p.where((F.col("all") >= min_neighbors) & (F.col("rank") <= max_neighbors)).drop("all"), "neighbours")
+        left = left.join(p.select("sensor_id").distinct(), "sensor_id", "left_anti")
+        used = p if used is None else used.unionByName(p)
     stats = used.groupBy("sensor_id").agg(F.count("*").alias("n"), F.expr("percentile(v, 0.5)").alias("med"), F.collect_list("v").alias("vs"))  # max_neighbors at most
     dev = F.array_sort(F.transform("vs", lambda v: F.abs(v - F.col("med"))))
     k = F.size("vs")
@@ -77,6 +91,7 @@ def community_outliers(latest: DataFrame, *, ladder_km: tuple = (5.0, 10.0, 20.0
         p = p.where(dy * dy + dx * dx <= r * r).select(F.col("a.sensor_id").alias("sensor_id"), F.col("a.value").alias("own"), F.col("b.sensor_id").alias("other"), F.col("b.value").alias("v"))
         w = Window.partitionBy("sensor_id")
         p = p.withColumns({"k": F.row_number().over(w.orderBy("v", "other")), "n": F.count("*").over(w)}).where(F.col("n") >= min_neighbors)
+        p = stored(p, "neighbours")
         high = high.join(p.select("sensor_id").distinct(), "sensor_id", "left_anti")
         used = p if used is None else used.unionByName(p)
     stats = used.groupBy("sensor_id").agg(F.first("n").alias("n"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("v"))).alias("med"), F.count_if(F.col("v") >= F.greatest(F.lit(floor), F.col("own") / ratio)).alias("elevated"))

@@ -31,14 +31,14 @@ def named_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.with_names(s, names, pinned).select("sensor_id", "source", "name", "pinned")
 
 
-@query(f"""{READINGS_SQL}, l AS ({_LATEST}), k AS (SELECT *, floor(lat * 20::DOUBLE)::BIGINT AS py, floor(lon * 20::DOUBLE)::BIGINT AS px FROM l), own AS (SELECT py, px, max(sensor_id) AS target FROM k WHERE source = 'fixed' GROUP BY ALL),
- placed AS (SELECT coalesce(target, sensor_id) AS sensor_id, key, CASE WHEN target IS NULL THEN 'added' ELSE 'merged' END AS origin, min(value) AS value FROM (SELECT * FROM k WHERE source = 'airnow') LEFT JOIN own USING (py, px) GROUP BY ALL)
+@query(f"""{READINGS_SQL}, l AS ({_LATEST}), k AS (SELECT *, round(floor(lat * 20::DOUBLE) / 20, 3) AS py, round(floor(lon * 20::DOUBLE) / 20, 3) AS px FROM l), own AS (SELECT py, px, max(sensor_id) AS target FROM k WHERE source = 'fixed' GROUP BY ALL),
+ placed AS (SELECT coalesce(target, i.sensor_id) AS sensor_id, key, CASE WHEN target IS NULL THEN 'added' ELSE 'merged' END AS origin, min_by(value, i.sensor_id) AS value FROM (SELECT * FROM k WHERE source = 'airnow') i LEFT JOIN own USING (py, px) GROUP BY ALL)
 SELECT sensor_id, key, value, 'own' AS origin FROM k WHERE source = 'fixed' UNION ALL SELECT sensor_id, key, value, origin FROM placed WHERE NOT EXISTS (SELECT 1 FROM k WHERE source = 'fixed' AND k.sensor_id = placed.sensor_id AND k.key = placed.key)""")
 def merged_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Government readings merged into fixed sensors at the same place."""
     l = latest(readings(spark, sf_dir), "sensor_id", "pollutant").select("sensor_id", "source", "lat", "lon", "key", "value")  # noqa: E741
-    place = [F.floor(F.col("lat") * 20).alias("py"), F.floor(F.col("lon") * 20).alias("px")]
-    return M.merge_by_place(l.where("source = 'fixed'"), l.where("source = 'airnow'"), place)
+    l = l.withColumns({"lat": F.floor(F.col("lat") * 20) / 20, "lon": F.floor(F.col("lon") * 20) / 20})  # so that some share a place
+    return M.merge_by_place(l.where("source = 'fixed'"), l.where("source = 'airnow'"))
 
 
 @query(f"""{READINGS_SQL}, c AS (SELECT sensor_id, max_by(value, (ts, reading_id)) AS value, max(ts) AS ts FROM readings WHERE source = 'purpleair' AND ts < TIMESTAMP '2024-01-06' GROUP BY ALL),
@@ -46,7 +46,7 @@ def merged_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(c.sensor_id, f.sensor_id) AS sensor_id, CASE WHEN f.sensor_id IS NULL THEN c.value ELSE f.value END AS value, CASE WHEN f.sensor_id IS NULL THEN c.ts ELSE f.ts END AS ts,
  CASE WHEN c.sensor_id IS NULL THEN 'new' WHEN f.sensor_id IS NULL THEN 'kept' ELSE 'updated' END AS state FROM c FULL JOIN f ON c.sensor_id = f.sensor_id""")
 def upserted_community(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached community sensors with what was fetched later."""
+    """Cached community sensors with what was fetched later."""
     r = readings(spark, sf_dir).where("source = 'purpleair'")
     last = lambda d: d.groupBy("sensor_id").agg(F.max_by("value", F.struct("ts", "reading_id")).alias("value"), F.max("ts").alias("ts"))
     at = lambda t: F.lit(t).cast("timestamp_ntz")
@@ -87,7 +87,7 @@ def history_without_cliffs(spark: SparkSession, sf_dir: str) -> DataFrame:
  row_number() OVER w > 1 AND band IS NOT DISTINCT FROM lag(band) OVER w AND hour IS NOT DISTINCT FROM lag(hour) OVER w AS same FROM r WINDOW w AS (PARTITION BY sensor_id, key ORDER BY recorded_at, reading_id))
 SELECT reading_id, sensor_id, key, hour, band FROM a WHERE CASE WHEN source = 'airnow' THEN first_in ELSE NOT same END""")
 def accepted_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly readings that a history takes in (W19, T-7, A16)."""
+    """Hourly readings that a history takes in (W19, T-7)."""
     r = readings(spark, sf_dir).withColumns({"recorded_at": F.col("ts"), "ts": F.date_trunc("hour", "ts").cast("timestamp_ntz"), "value": F.floor(F.col("value") / 50).cast("double")})
     return M.accepted_history(r).select("reading_id", "sensor_id", "key", F.col("ts").alias("hour"), F.col("value").alias("band"))
 

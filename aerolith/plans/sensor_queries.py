@@ -79,16 +79,17 @@ def fixed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where((F.col("source") != "mobile") & (F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"))).select("sensor_id", "ts", "pollutant", "value", "reading_id", "meta")
 
 
-@query(f"""{READINGS_SQL}, s AS (SELECT DISTINCT sensor_id FROM readings), d AS (SELECT DISTINCT {day_midnight_sql('ts')}::VARCHAR AS day FROM readings)
-SELECT s.sensor_id, d.day, EXISTS (SELECT 1 FROM readings r WHERE r.source = 'purpleair' AND starts_with(r.sensor_id, s.sensor_id) AND {day_midnight_sql('r.ts')}::VARCHAR = d.day) AS has FROM s, d WHERE length(s.sensor_id) <= 2""")
+@query(f"""{READINGS_SQL}, s AS (SELECT DISTINCT sensor_id FROM readings), p AS (SELECT DISTINCT sensor_id, {day_midnight_sql('ts')}::VARCHAR AS day FROM readings WHERE source = 'purpleair')
+SELECT s.sensor_id, count(DISTINCT p.day) AS days, min(p.day) AS first_day, max(p.day) AS last_day, coalesce(bool_or(p.day = '2024-01-10'), false) AS on_day FROM s LEFT JOIN p ON starts_with(p.sensor_id, s.sensor_id) GROUP BY ALL""")
 def has_readings_on_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether sensors whose id begins with a prefix have readings on a day (P4, J19); prefixes are the short ids."""
-    r = readings(spark, sf_dir).withColumn("day", day_midnight(F.col("ts")).cast("string"))
-    prefix = r.select("sensor_id").distinct().where(F.length("sensor_id") <= 2)
-    # each reading stands for its id's beginnings, so the join is on equality
-    seen = r.where("source = 'purpleair'").select("day", F.explode(F.array(F.substring("sensor_id", 1, 1), F.substring("sensor_id", 1, 2))).alias("sensor_id")).distinct().withColumn("has", F.lit(True))
-    asked = prefix.join(r.select("day").distinct())
-    return asked.join(seen, ["sensor_id", "day"], "left").select("sensor_id", "day", F.coalesce("has", F.lit(False)).alias("has"))
+    """On which days there are community readings whose sensor's id begins with another's id, for every id."""
+    r = readings(spark, sf_dir)
+    seen = r.where("source = 'purpleair'").select("sensor_id", day_midnight(F.col("ts")).cast("string").alias("day")).distinct()
+    # each id stands for all its beginnings, so the join is on equality
+    begin = F.explode(F.transform(F.sequence(F.lit(1), F.length("sensor_id")), lambda n: F.substring(F.col("sensor_id"), F.lit(1), n)))
+    seen = seen.select("day", begin.alias("sensor_id")).distinct()
+    days = seen.groupBy("sensor_id").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.bool_or(F.col("day") == "2024-01-10").alias("on_day"))
+    return r.select("sensor_id").distinct().join(days, "sensor_id", "left").na.fill(0, ["days"]).na.fill(False, ["on_day"])
 
 
 @query(f"""{READINGS_SQL} SELECT pollutant, count(*) AS n, count(DISTINCT sensor_id) AS sensors, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, median(value) AS med,
@@ -141,7 +142,7 @@ def spatial_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_LAST}, p AS (SELECT a.sensor_id, b.value AS v, {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM l a, l b WHERE a.sensor_id <> b.sensor_id)
 SELECT l.sensor_id, count(p.d) FILTER (d <= 5000) AS within_5km, count(p.d) FILTER (d <= 10000) AS within_10km, round(min(d), 3) AS nearest_m, count(*) FILTER (d <= 5000 AND v >= greatest(15, l.value / 5)) AS high_within_5km FROM l LEFT JOIN (SELECT * FROM p WHERE d <= 10000) p USING (sensor_id) GROUP BY ALL""")
 def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours by distance, the nearest, and those that are high as well."""
+    """Neighbours by distance, the nearest, and those that are high as well."""
     l = latest(readings(spark, sf_dir).where("pollutant = 'PM25'"), "sensor_id").select("sensor_id", "lat", "lon", "value")  # noqa: E741
     p = S.near_pairs(l, l, 10_000.0).where("a.sensor_id <> b.sensor_id")
     near, high = F.col("dist_m") <= 5000, F.col("b.value") >= F.greatest(F.lit(15), F.col("a.value") / 5)
@@ -151,7 +152,7 @@ def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_LAST} SELECT sensor_id, value, trunc(lat / 0.05::DOUBLE)::BIGINT AS cy, trunc(lon / 0.05::DOUBLE)::BIGINT AS cx FROM l QUALIFY row_number() OVER (PARTITION BY trunc(lat / 0.05::DOUBLE), trunc(lon / 0.05::DOUBLE) ORDER BY value DESC, sensor_id) = 1")
 def thinned_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The highest last value of each grid cell."""
+    """The highest last value of each grid cell."""
     l = latest(readings(spark, sf_dir).where("pollutant = 'PM25'"), "sensor_id")  # noqa: E741
     return S.thinned(l, 0.05).select("sensor_id", "value", "cy", "cx")
 
@@ -225,7 +226,7 @@ def trail_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT reading_id, (CASE WHEN calm THEN 0 WHEN d > t AND ups > 1 THEN CASE WHEN recent < -t * 0.5::DOUBLE THEN 0 ELSE 1 END WHEN d < -t AND downs > 1 THEN CASE WHEN recent > t * 0.5::DOUBLE THEN 0 ELSE -1 END ELSE 0 END)::INTEGER AS trend,
  round(CASE WHEN calm THEN 0.0::DOUBLE ELSE d END, 6) AS delta, round(win[n] + CASE WHEN calm THEN 0.0::DOUBLE ELSE d END, 6) AS predicted FROM c""")
 def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rising, falling or stable over the last 15 readings, and the value it leads to."""
+    """Rising, falling or stable over the last 15 readings, and the value it leads to."""
     r = W.trend(readings(spark, sf_dir)).where("trend IS NOT NULL")
     return r.select("reading_id", "trend", F.round("delta", 6).alias("delta"), F.round("predicted", 6).alias("predicted"))
 
