@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import folded_words, null_to_empty, ship, small_batches, stored
-from .components import connected_components
+from ..operators.components import connected_components
 
 SHINGLE = 5
 #: Similarity as a fraction, so that comparisons are exact: 4 / 5.

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from aerolith.llm import ngram_join as j
-from aerolith.llm.components import connected_components
+from aerolith.operators.components import connected_components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
