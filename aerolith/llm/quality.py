@@ -129,7 +129,8 @@ def shorter(key: str, k: int) -> Column:
 
 
 def discounts(t: DataFrame, order: int) -> DataFrame:
-    """lang and the modified Kneser-Ney discounts d1, d2, d3 of counts of 1, 2 and more; whole for 1 above order 1."""
+    """lang and the modified Kneser-Ney discounts d1, d2, d3 of counts of 1, 2 and more; whole for 1 above order 1.
+    A row for each language, LANGUAGES + 2 at most."""
     n = t.groupBy("lang").agg(*(F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)))
     y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0)
     d = lambda k: F.least(F.greatest(F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5 * k), F.lit(0.0)), F.lit(float(k)))
@@ -147,7 +148,7 @@ def fit_model(rows: DataFrame) -> DataFrame:
     for k in range(1, ORDER + 1):
         t = of[k].withColumn("lang", F.shiftrightunsigned("key", BITS * ORDER).cast("int"))
         context = F.struct("lang", F.shiftright(F.col("key").bitwiseAND(F.lit((1 << BITS * ORDER) - 1)), BITS))
-        t = t.join(discounts(t, k), "lang").withColumns({"d": F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")), "context": F.xxhash64(context) if k > 1 else F.col("lang").cast("long")})
+        t = t.join(F.broadcast(discounts(t, k)), "lang").withColumns({"d": F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")), "context": F.xxhash64(context) if k > 1 else F.col("lang").cast("long")})
         sums = t.groupBy("context").agg(F.sum("c").alias("total"), F.sum("d").alias("free"), F.count("*").alias("types"))
         t = t.join(sums, "context")
         if k == 1:

@@ -18,6 +18,7 @@ order of their texts. Columns other than id, text and the order are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from itertools import chain, repeat
 
 import numpy as np
@@ -66,6 +67,7 @@ def byte_letters() -> str:
 
 
 LETTERS = byte_letters()
+SPACE_LETTER = LETTERS[32]
 
 
 def grown(x: np.ndarray, size: int) -> np.ndarray:
@@ -91,7 +93,7 @@ class Pieces:
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.count, self.start, self.kind = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int8)
 
-    def put(self, pieces: list[str], kinds: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+    def put(self, pieces: list[str], kinds, ids: np.ndarray, n: np.ndarray) -> None:
         k = len(self.index)
         self.flat = grown(self.flat, self.used + len(ids))
         self.count, self.start, self.kind = (grown(x, k + len(n)) for x in (self.count, self.start, self.kind))
@@ -103,27 +105,34 @@ class Pieces:
         self.index.update(zip(pieces, range(k, k + len(n))))
 
     def merge(self, pieces: list[str]) -> None:
-        """New pieces through the library, as lines of one text: a line break between two pieces is a token."""
-        kinds = np.fromiter(map(kind_of, pieces), np.int8, len(pieces))
-        # a word of letters is one pre-token, so the library's merges are all that it needs
-        words = np.fromiter((p.lstrip(" ").isalpha() and max(p) < "\u0530" for p in pieces), bool, len(pieces)) & (kinds < BLANK)
-        if words.any():
-            some, merges = [pieces[x] for x in np.flatnonzero(words).tolist()], self.tokenizer.model.tokenize
-            ids = [[t.id for t in merges(p.encode().decode("latin-1").translate(LETTERS))] for p in some]
-            self.put(some, kinds[words], np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
-        lines = np.flatnonzero((kinds < BLANK) & ~words)
+        """New pieces through the library. A word of letters is one pre-token, so its merges are all that is needed; other
+        pieces are lines of one text, as a line break between two of them is a token; blanks and the like go by themselves."""
+        words, kinds, lines, odd, merges = [], [], [], [], self.tokenizer.model.tokenize
+        flat, n = array("I"), array("q")
+        for p in pieces:
+            spaced = p[0] == " "
+            x = p[1:] if spaced else p
+            if x.isalpha() and (x.isascii() or max(x) < "\u0530"):
+                if not x.isascii():
+                    x = x.encode().decode("latin-1").translate(LETTERS)
+                ids = [t.id for t in merges(SPACE_LETTER + x if spaced else x)]
+                words.append(p)
+                kinds.append(SPACED if spaced else PLAIN)
+                flat.extend(ids)
+                n.append(len(ids))
+            else:
+                (lines if kind_of(p) < BLANK else odd).append(p)
+        self.put(words, kinds, np.array(flat, np.uint32), np.array(n, np.int64))
         for i in range(0, len(lines), 20_000):
-            some = [pieces[x] for x in lines[i : i + 20_000].tolist()]
+            some = lines[i : i + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(ids == self.line_break[0])
             n = np.diff(at, prepend=-1, append=len(ids)) - 1
             if len(n) != len(some):
                 raise ValueError("the tokenizer doesn't part its text at line breaks")
-            self.put(some, kinds[lines[i : i + 20_000]], np.delete(ids, at), n)
-        others = np.flatnonzero(kinds >= BLANK)
-        some = [pieces[x] for x in others.tolist()]
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        self.put(some, kinds[others], np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
+            self.put(some, list(map(kind_of, some)), np.delete(ids, at), n)
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        self.put(odd, list(map(kind_of, odd)), np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
 
     def gather(self, at: np.ndarray) -> np.ndarray:
         n = self.count[at]
@@ -136,8 +145,15 @@ class Pieces:
         gone = np.flatnonzero(at < 0)
         if len(gone):
             new = [pieces[i] for i in gone.tolist()]
-            ended = [p for p in new if marked(p)]
-            self.merge([p for p in dict.fromkeys(chain((p for p in new if not marked(p)), (p[:-1] for p in ended), END_MARKS)) if p not in known])
+            ended, whole = [], dict.fromkeys(m for m in END_MARKS if m not in known)
+            for p in new:
+                if marked(p):
+                    ended.append(p)
+                    if p[:-1] not in known:
+                        whole[p[:-1]] = None
+                else:
+                    whole[p] = None
+            self.merge(list(whole))
             ended = [p for p in ended if p not in known]
             parts = np.fromiter((known[x] for p in ended for x in (p[:-1], p[-1])), np.int64, 2 * len(ended))
             self.put(ended, self.kind[parts[::2]], self.gather(parts), self.count[parts].reshape(-1, 2).sum(1))
@@ -153,7 +169,7 @@ class Pieces:
         lists = pc.split_pattern(cut, "\0")
         flat = lists.flatten().dictionary_encode()
         own = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        words, place = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        words, place = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
         if "" in words:  # no piece
             none = words.index("")
             words[none] = " "
