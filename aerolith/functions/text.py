@@ -1,4 +1,4 @@
-"""Display and cleaning of strings."""
+"""Display and cleaning of strings."""
 
 from __future__ import annotations
 
@@ -65,7 +65,7 @@ def kind_of(key: Column) -> Column:
 
 
 def name_of(key: Column) -> Column:
-    return F.when(F.instr(key, ":") > 0, F.expr(f"substring({key._jc.toString()}, instr({key._jc.toString()}, ':') + 1)")).otherwise(key)
+    return F.regexp_replace(key, "^[^:]*:", "")
 
 
 def safe_date(text: Column) -> Column:

@@ -16,7 +16,7 @@ def probe(sensors: DataFrame, seed: int, size: float = 0.05) -> DataFrame:
     """One sensor of each cell, another one for another seed."""
     s = sensors.withColumns({"cy": truncated_cell(F.col("lat"), size), "cx": truncated_cell(F.col("lon"), size)})
     names = [c for c in sensors.columns]
-    return s.groupBy("cy", "cx").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64("sensor_id", F.lit(seed)), "sensor_id")).alias("s")).select("s.*")
+    return s.groupBy("cy", "cx").agg(F.min_by(F.struct(*names), F.struct(F.md5(F.concat("sensor_id", F.lit(f"-{seed}"))), "sensor_id")).alias("s")).select("s.*")
 
 
 def discovery_cells(sensors: DataFrame, south: float, north: float, west: float, east: float, size: float) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The store: partitioned tables, archive, retention, snapshots."""
+"""The store: partitioned tables, archive, retention, snapshots (K1-K7)."""
 
 from __future__ import annotations
 

@@ -104,6 +104,19 @@ def trend(df: DataFrame, value: str = "value", samples: int = 15) -> DataFrame:
     return df.withColumns({"trend": F.when(known, sign), "delta": F.when(known, shown), "predicted": F.when(known, now + shown)}).drop("_w", "_t")
 
 
+def stable_ranges(df: DataFrame, category: str, at: Column, *by: str) -> DataFrame:
+    """by, category, from_ts, to_ts: the stretch of equal categories that holds at a time; before the first row its own
+    stretch. from_ts is null if the stretch is the first, to_ts if it is the last (W27)."""
+    w = in_order(*by)
+    new = F.when(F.row_number().over(w) == 1, 1).when(F.col(category).eqNullSafe(F.lag(category).over(w)), 0).otherwise(1)
+    p = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    i = p.groupBy(*by, "_island").agg(F.first(category).alias(category), F.min("ts").alias("since"))
+    i = i.withColumn("to_ts", F.lead("since").over(Window.partitionBy(*by).orderBy("_island")))
+    first = F.col("_island") == 1
+    i = i.where(((F.col("since") <= at) | first) & (F.col("to_ts").isNull() | (F.col("to_ts") > at)))
+    return i.select(*by, category, F.when(~first, F.col("since")).alias("from_ts"), "to_ts")
+
+
 def console_trend(df: DataFrame, value: str = "value", samples: int = 8) -> DataFrame:
     """symbol: rising, falling or stable by the last samples, 5 at least; stable if the last three are close."""
     w = in_order(*SERIES).rowsBetween(-(samples - 1), 0)

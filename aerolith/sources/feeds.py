@@ -1,4 +1,4 @@
-"""Feeds as they arrive: nested JSON, pipe-separated files, columnar responses, NDJSON."""
+"""Feeds as they arrive: nested JSON, pipe-separated files, columnar responses, NDJSON."""
 
 from __future__ import annotations
 

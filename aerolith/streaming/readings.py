@@ -1,7 +1,8 @@
-"""Readings as streams: windows with late data, dedup, sessions, and vehicles' state (T-1 to T-13, K1, W26)."""
+"""Readings as streams: windows with late data, dedup, sessions, and vehicles' state (T-2 to T-5, T-7, T-11, T-12, T-15, K1)."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.time import ZONE
 from ..session import ship
 
 
@@ -55,7 +57,36 @@ def vehicle_states(stream: DataFrame, ttl_minutes: int = 45, late: str = "45 min
 
     ship(stream.sparkSession)
     names = [c.split()[0] for c in OUT.split(", ")]
-    return stream.withWatermark("ts", late).groupBy("sensor_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return stream.where("ts IS NOT NULL").withWatermark("ts", late).groupBy("sensor_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+TRAIL = "sensor_id string, points long, added long, first_ts timestamp, last_ts timestamp, trail string"
+
+
+def vehicle_trails(stream: DataFrame, most: int = 5_000, late: str = "45 minutes") -> DataFrame:
+    """Each vehicle's trail after each batch, as JSON of (milliseconds, lat, lon) (T-2). A batch that begins no later than
+    the trail replaces it; of any other only points after the trail's last one are added. Points before the local day of
+    the newest one, which begins at 5 in the morning, are dropped, and so are the oldest beyond ``most`` (T-4)."""
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = json.loads(state.get[0]) if state.exists else []
+        p = pd.concat(batches).sort_values(["ts", "reading_id"]).drop_duplicates("ts", keep="last")
+        new = [[int(t.timestamp() * 1000), float(a), float(o)] for t, a, o in zip(p.ts, p.lat, p.lon)]
+        if old and new[0][0] > old[0][0]:
+            new = old + [x for x in new if x[0] > old[-1][0]]
+        day = pd.Timestamp(new[-1][0], unit="ms", tz="UTC").tz_convert(ZONE)
+        since = (day - pd.Timedelta(hours=5)).normalize().tz_localize(None) + pd.Timedelta(hours=5)
+        since = since.tz_localize(ZONE, nonexistent="shift_forward", ambiguous=True).timestamp() * 1000
+        trail = [x for x in new if x[0] >= since][-most:]
+        state.update((json.dumps(trail),))
+        known = {x[0] for x in old}
+        first, last = (pd.Timestamp(x[0], unit="ms") for x in (trail[0], trail[-1]))
+        yield pd.DataFrame([[key[0], len(trail), sum(x[0] not in known for x in trail), first, last, json.dumps(trail)]], columns=names)
+
+    ship(stream.sparkSession)
+    names = [c.split()[0] for c in TRAIL.split(", ")]
+    rows = stream.where("ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").withWatermark("ts", late)
+    return rows.groupBy("sensor_id").applyInPandasWithState(update, TRAIL, "trail string", "update", GroupStateTimeout.NoTimeout)
 
 
 def store_batches(stream: DataFrame, path: str, checkpoint: str):

@@ -52,6 +52,20 @@ def test_vehicle_state_over_batches(spark, tmp_path):
     assert ("V2", 1, 0, True) in {(r.sensor_id, r.points, r.added, r.gone) for r in second + third}
 
 
+def test_vehicle_trails_over_batches(spark, tmp_path):
+    path = str(tmp_path / "in")
+    stream = lambda: s.vehicle_trails(spark.readStream.schema(SCHEMA).parquet(path), most=4)
+    points = lambda: [(r.points, r.added) for r in run(spark, stream(), tmp_path, "update")]
+    write(spark, path, [row(1, 0), row(2, 1), row(3, 1)])
+    assert points() == [(2, 2)]
+    write(spark, path, [row(4, 1), row(5, 2), row(6, 3), row(7, 4)])  # one is known
+    assert points() == [(4, 3)]
+    write(spark, path, [row(8, -5), row(9, 5)])  # from before the trail on: it is replaced
+    assert points() == [(2, 2)]
+    write(spark, path, [row(10, 20 * 60)])  # the next local day
+    assert points() == [(1, 1)]
+
+
 def test_store_batches(spark, tmp_path):
     path = str(tmp_path / "in")
     write(spark, path, [row(1, 0), row(2, 1)])
