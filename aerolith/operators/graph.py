@@ -1,13 +1,18 @@
-"""Graphs of roads and lines as tables of nodes and edges."""
+"""Graphs of roads and lines as tables of nodes and edges."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m, project_to_segment
+from ..functions.geo import angle_between, bearing_deg, haversine_m, project_to_segment, right_of
+from ..session import ship
 from .components import connected_components
 from .spatial import near_pairs
+from .trails import in_order as sorted_trails
+from .trails import starts, whole_trails
+from .windows import in_order
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -51,3 +56,57 @@ def paths_to_graph(points: DataFrame, step: float = 1e-5, least_m: float = 5.0)
     steps = at.withColumns({"dst": F.lead("node").over(w), "lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)}).where("dst IS NOT NULL AND dst <> node")
     edges = steps.select(F.col("node").alias("src"), "dst", haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("dist_m"))
     return nodes, undirected(edges.where(F.col("dist_m") >= least_m))
+
+
+def snap_directed(points: DataFrame, edges: DataFrame, *by: str, radius_m: float, longest_m: float, offset_m: float = 0.0, least_share: float = 0.3) -> DataFrame:
+    """Points of trails moved to an edge by distance, direction and continuity (J16, R6): by, reading_id, ts, lat, lon,
+    edge_id (null where none is near; such points stay).
+
+    An edge within 30 degrees of the direction of travel, either way, counts as a tenth of its distance, within 60 as half;
+    one that shares a node with the last edge, or a neighbour's, as half again. Trails of which less than a share is near
+    edges are left out. Places are put offset_m to the right of the edge. edges: edge_id, src, dst, alat, alon, blat, blon.
+    A point's candidates are the edges within the radius, found by a join; a task then goes along each trail."""
+    keys = list(by)
+    w = in_order(*by)
+    p = points.withColumn("point_id", F.col("reading_id")).withColumns({"plat": F.lag("lat").over(w), "plon": F.lag("lon").over(w)})
+    far = haversine_m(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
+    p = p.withColumn("way", F.when(far > 5, bearing_deg(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))))
+    mid = edges.withColumns({"lat": (F.col("alat") + F.col("blat")) / 2, "lon": (F.col("alon") + F.col("blon")) / 2})
+    c = near_pairs(p, mid, radius_m + longest_m / 2)
+    on = project_to_segment(F.col("a.lat"), F.col("a.lon"), F.col("b.alat"), F.col("b.alon"), F.col("b.blat"), F.col("b.blon"))
+    c = c.select(F.col("a.point_id").alias("point_id"), "a.lat", "a.lon", "a.way", "b.edge_id", "b.src", "b.dst", on.alias("on"), bearing_deg(F.col("b.alat"), F.col("b.alon"), F.col("b.blat"), F.col("b.blon")).alias("course"))
+    d = haversine_m(F.col("lat"), F.col("lon"), F.col("on.lat"), F.col("on.lon"))
+    turn = F.least(angle_between(F.col("way"), F.col("course")), angle_between(F.col("way"), F.pmod(F.col("course") + 180.0, F.lit(360.0))))
+    score = d * F.when(turn < 30, 0.1).when(turn < 60, 0.5).otherwise(1.0)
+    place = F.when(F.lit(offset_m == 0), F.struct("on.lat", "on.lon")).otherwise(right_of(F.col("on.lat"), F.col("on.lon"), F.col("course"), offset_m))
+    c = c.where(d <= radius_m).select("point_id", F.struct(score.alias("score"), "edge_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), place["lat"].alias("lat"), place["lon"].alias("lon")).alias("c"))
+    c = c.groupBy("point_id").agg(F.sort_array(F.collect_list("c")).alias("near"))  # the edges around one point
+    ends = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    around = ends.groupBy(F.col("src").cast("string").alias("node")).agg(F.collect_set(F.col("dst").cast("string")).alias("nodes"))  # a node's own edges
+    # the nodes that a candidate leads on to: its ends and their neighbours
+    each = c.select("point_id", F.posexplode("near").alias("i", "c")).join(around.withColumnsRenamed({"node": "s", "nodes": "sn"}), F.col("c.src") == F.col("s")).join(around.withColumnsRenamed({"node": "t", "nodes": "tn"}), F.col("c.dst") == F.col("t"))
+    each = each.select("point_id", F.struct("i", "c.score", F.col("c.edge_id").cast("string").alias("edge_id"), "c.src", "c.dst", "c.lat", "c.lon", F.array_union(F.array_union("sn", "tn"), F.array("c.src", "c.dst")).alias("on_to")).alias("c"))
+    rows = p.drop("plat", "plon", "way").join(each.groupBy("point_id").agg(F.sort_array(F.collect_list("c")).alias("near")), "point_id", "left").drop("point_id")
+
+    def run(batches):
+        for pdf in whole_trails(batches, keys):
+            lat, lon, edge = pdf.lat.to_numpy(float).copy(), pdf.lon.to_numpy(float).copy(), [None] * len(pdf)
+            first, keep = starts(pdf, keys), np.ones(len(pdf), bool)
+            for a, b in zip(first, [*first[1:], len(pdf)]):
+                last = frozenset()
+                for i in range(a, b):
+                    if not (np.isfinite(lat[i]) and np.isfinite(lon[i])):
+                        last = frozenset()
+                        continue
+                    near = pdf.near.iloc[i]
+                    if near is None or not len(near):
+                        continue
+                    best = min(near, key=lambda x: (x["score"] * (0.5 if x["src"] in last or x["dst"] in last else 1.0), x["i"]))
+                    lat[i], lon[i], edge[i], last = best["lat"], best["lon"], best["edge_id"], frozenset(best["on_to"])
+                if b - a > 1 and sum(e is not None for e in edge[a:b]) < least_share * (b - a):
+                    keep[a:b] = False
+            yield pdf.assign(lat=lat, lon=lon, edge_id=edge)[[*keys, "reading_id", "ts", "lat", "lon", "edge_id"]][keep]
+
+    ship(points.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    return sorted_trails(rows, *by).mapInPandas(run, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, reading_id {kinds['reading_id']}, ts {kinds['ts']}, lat double, lon double, edge_id string")

@@ -88,3 +88,28 @@ def path_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.row_number().over(Window.partitionBy("sensor_id").orderBy("ts", "reading_id"))
     _, edges = G.paths_to_graph(m.select(F.col("sensor_id").alias("path_id"), seq.alias("seq"), "lat", "lon"), step=5e-5, least_m=20.0)
     return edges.select("src", "dst", F.round("dist_m", 3).alias("dist_m"))
+
+
+@query()
+def snapped_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trails moved to lines by distance, direction and continuity, 2.5 m to their right (J16, R6). Not in SQL: which line is
+    taken depends on the one before; held against a plain version in the tests."""
+    r = readings(spark, sf_dir)
+    at = F.struct("ts", "reading_id")
+    n = r.where("source = 'fixed'").groupBy("sensor_id").agg(F.max_by("lat", at).alias("alat"), F.max_by("lon", at).alias("alon"))
+    edges = n.select(F.col("sensor_id").alias("edge_id"), F.concat("sensor_id", F.lit("a")).alias("src"), F.concat("sensor_id", F.lit("b")).alias("dst"), "alat", "alon", (F.col("alat") + 0.01).alias("blat"), (F.col("alon") + 0.005).alias("blon"))
+    m = r.where("source = 'mobile'").select("sensor_id", "reading_id", "ts", "lat", "lon")
+    return G.snap_directed(m, edges, "sensor_id", radius_m=3_000.0, longest_m=1_300.0, offset_m=2.5)
+
+
+@query(f"""{READINGS_SQL}, l AS (SELECT sensor_id, key, max_by(value, (ts, reading_id)) AS value, max_by(lat, (ts, reading_id)) AS lat, max_by(lon, (ts, reading_id)) AS lon FROM readings GROUP BY ALL), q AS (SELECT *, {A.aqi_sql('key', 'value')} * (1 - 0.5::DOUBLE * least(1, sqrt((abs(lat - 40.65::DOUBLE) / 0.15::DOUBLE) ** 2 + (abs(lon + 111.95::DOUBLE) / 0.2::DOUBLE) ** 2))) AS score FROM l WHERE lat BETWEEN 40.5 AND 40.8 AND lon BETWEEN -112.15 AND -111.75)
+SELECT key, count(*) AS series, round(max(score), 6) AS score, row_number() OVER (ORDER BY max(score) DESC, key) AS place FROM q WHERE score IS NOT NULL GROUP BY key""")
+def view_pollutants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pollutant a view should show: its highest index, weighing less towards the view's edges."""
+    at = F.struct("ts", "reading_id")
+    l = readings(spark, sf_dir).groupBy("sensor_id", "key").agg(F.max_by("value", at).alias("value"), F.max_by("lat", at).alias("lat"), F.max_by("lon", at).alias("lon"))  # noqa: E741
+    l = l.where(F.col("lat").between(40.5, 40.8) & F.col("lon").between(-112.15, -111.75))  # noqa: E741
+    dy, dx = F.abs(F.col("lat") - 40.65) / 0.15, F.abs(F.col("lon") + 111.95) / 0.2
+    score = A.value_to_aqi(F.col("key"), F.col("value")) * (1.0 - 0.5 * F.least(F.lit(1.0), F.sqrt(dy * dy + dx * dx)))
+    g = l.withColumn("score", score).where("score IS NOT NULL").groupBy("key").agg(F.count("*").alias("series"), F.round(F.max("score"), 6).alias("score"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "key")).cast("long"))  # five rows

@@ -96,3 +96,20 @@ def test_labels(spark):
     assert [r.t for r in df.select(D.tag_value(F.col("v")).alias("t")).collect()][1:] == ["3", "3.1", "13", "100"]
     fips = [r.f for r in spark.createDataFrame([("Salt Lake County",), ("slc",), ("49035",), ("48001",), ("",), (None,), ("san pete",)], "n string").select(D.county_fips(F.col("n")).alias("f")).collect()]
     assert fips == [49035, 49035, 49035, None, None, None, 49039]
+
+
+def test_snapping_by_direction_and_continuity(spark):
+    from aerolith.operators.graph import snap_directed
+
+    # two parallel lines north, of two edges each, and one that crosses them
+    edges = [("w1", 1, 2, 40.0, -111.001, 40.01, -111.001), ("w2", 2, 3, 40.01, -111.001, 40.02, -111.001), ("e1", 4, 5, 40.0, -111.0, 40.01, -111.0), ("e2", 5, 6, 40.01, -111.0, 40.02, -111.0), ("x", 7, 8, 40.00505, -111.003, 40.00505, -110.998)]
+    trail = [("v", i, pd.Timestamp("2026-01-01") + pd.Timedelta(minutes=i), 40.001 + i * 0.002, -111.00045 if i == 4 else -111.0008) for i in range(8)]
+    away = [("far", 100 + i, pd.Timestamp("2026-01-01") + pd.Timedelta(minutes=i), 41.0 + i * 0.01, -111.0) for i in range(4)]
+    points = spark.createDataFrame(pd.DataFrame(trail + away, columns=["sensor_id", "reading_id", "ts", "lat", "lon"])).repartition(3)
+    lines = spark.createDataFrame(edges, "edge_id string, src int, dst int, alat double, alon double, blat double, blon double")
+    got = {r.reading_id: r for r in snap_directed(points, lines, "sensor_id", radius_m=120.0, longest_m=1200.0).collect()}
+    # the crossing line is nearest to point 2 but not in its direction; the eastern one to point 4, but not connected
+    assert [got[i].edge_id for i in range(8)] == ["w1"] * 5 + ["w2"] * 3 and all(abs(got[i].lon + 111.001) < 1e-9 for i in range(8))
+    assert not any(i >= 100 for i in got)
+    moved = {r.reading_id: r for r in snap_directed(points, lines, "sensor_id", radius_m=120.0, longest_m=1200.0, offset_m=10.0).collect()}
+    assert all(moved[i].lon > got[i].lon for i in range(8))
