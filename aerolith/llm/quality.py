@@ -346,7 +346,7 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     typical = {r.own: r for r in good.rollup("own").agg(F.count("*").alias("docs"), median(off).alias("near"), median(F.col("n")).alias("length"), median(off * F.sqrt("n")).alias("scale")).collect()}
     octaves = spark.createDataFrame(spreads(near, typical), "slot int, octave int, near double, scale double")
     out = found.join(F.broadcast(octaves), ["slot", "octave"], "left")
-    reach = width * F.greatest("near", F.col("scale") / F.sqrt("n"))
+    reach = width * F.greatest("near", F.col("scale") / F.sqrt(F.greatest("n", F.lit(1.0))))
     out = out.withColumns({"lo": F.col("expected") - reach, "hi": F.col("expected") + reach})
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lo"), F.col("hi")), F.lit(True))
     return out.select(F.col("id_").alias(id_col), *MEASURES, "base_failed", F.exp("log_ppl").alias("perplexity"), F.exp("lo").alias("lower"), F.exp("hi").alias("upper"), kept.alias("kept"))

@@ -34,7 +34,7 @@ def corpus():
     rng = random.Random(3)
     texts = [(prose(rng, rng.randint(30, 200)), "en") for _ in range(200)] + [(prose(rng, rng.randint(30, 200), "äöüßxyz"), "de") for _ in range(60)]
     texts += [("a b c d e " * 5, "en"), ("x\ny\nx\n\n\n \n \nx", "en"), ("# one ## * $% &|<>", None), (None, None), ("", "fr"), ("  \t ", "de"), ("é" * 3, "fr"),
-              ("w " * 9, "en"), ("w " * 10, "en"), ("one two three four five six\none two three four five seven eight nine ten eleven", "en"), ("z" * 40_000, "en"), (prose(rng, 20_000), "en")]
+              ("w " * 9, "en"), ("w " * 10, "en"), ("one two three four five six\none two three four five seven eight nine ten eleven", "en"), ("z" * 40_000, "en"), ("", "en"), (None, "en"), (prose(rng, 20_000), "en")]
     return [(i, t, lang, "x") for i, (t, lang) in enumerate(texts + texts[:2])] + [(None, "some words", "en", None)]
 
 
