@@ -9,8 +9,8 @@ held out. From these, the ``TERMS`` buckets that tell most about the label (by t
 two-by-two table) are kept; only they have weights. Scoring covers every document and its whole text.
 
 Null texts are empty; a text without known terms gets the bias's score. Labels of a document that differ count as the
-greatest; null labels and labels of unknown documents are ignored. Without labels of both kinds every score is the
-share of toxic labels (0 if there are none). Repeated rows get their scores repeatedly. Other columns are ignored.
+greatest; null labels and labels of unknown documents are ignored. Without labels of both kinds every score is next to 1
+if all are toxic, else next to 0. Repeated rows get their scores repeatedly. Other columns are ignored.
 """
 
 from __future__ import annotations
