@@ -36,3 +36,17 @@ def small_batches(batches, column: str, limit: int):
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
             yield b.slice(at, end - at)
             at = end
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """rows with the columns of table (one row a key, with its number of rows in ``count``), null being a key like any other.
+
+    Keys with over a thousandth of all rows, a thousand at most, are sent to all tasks, so that no key's rows meet in one;
+    the others are shuffled. Both are stored tables, as they are read twice."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    table = table.withColumnRenamed(key, "key_")
+    meets = F.col(key).eqNullSafe(F.col("key_"))
+    hot = F.broadcast(table.where(F.col(count) * 1000 > total))
+    often = rows.join(hot, meets).drop("key_", count)
+    seldom = rows.join(hot, meets, "left_anti").join(table.where(F.col(count) * 1000 <= total), meets).drop("key_", count)
+    return often.unionByName(seldom)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import filter_audit, line_dedup, vector_codes
 from .common import table
 
 
@@ -74,6 +74,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select("row.doc_id", "source", "block", "slot", "position")
 
 
-QUERIES = {"op7_secret_scan": op7_secret_scan, "op2_line_dedup": op2_line_dedup, "op6_toxicity": op6_toxicity, "op4_html_text": op4_html_text, "op10_mixing": op10_mixing, "op1_ngram_join": op1_ngram_join, "op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.oracle_sql()}
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_secret_scan": op7_secret_scan, "op2_line_dedup": op2_line_dedup, "op6_toxicity": op6_toxicity, "op4_html_text": op4_html_text, "op10_mixing": op10_mixing, "op1_ngram_join": op1_ngram_join, "op3_token_output": op3_token_output, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts, "op11_filter_audit": op11_filter_audit, "op12_vector_codes": op12_vector_codes, "op13_simhash": op13_simhash}
+
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.oracle_sql(), "op11_filter_audit": filter_audit.oracle_sql(), "op12_vector_codes": vector_codes.oracle_sql()}
