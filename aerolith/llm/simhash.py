@@ -9,8 +9,8 @@ different fingerprint emits all variants within half the radius (2,081 of 64 bit
 shuffled, and fingerprints meet where they have the same one:
 
 1. The shuffle's key is the variant's leading bits. A fingerprint goes to all prefixes within half the radius of its own
-   (46 of 9 bits instead of 2,081 rows), and there emits the variants that have this prefix, with the flips it has left.
-   The prefix is long enough for about ``MEAN_ROWS`` rows; prefixes with more than ``MOST_ROWS`` are extended 8 bits at a
+   (56 of 10 bits instead of 2,081 rows), and there emits the variants that have this prefix, with the flips it has left.
+   It has ``LEAST_BITS``, or as many more as bring the mean to ``MEAN_ROWS`` rows; prefixes with more than ``MOST_ROWS`` are extended 8 bits at a
    time, up to whole variants, of which each has 2,081 fingerprints at most.
 2. A task sorts the variants of its prefix, in parts of ``AT_ONCE`` at most. Fingerprints of one variant are linked to the
    smallest of them; pairs are deduplicated and verified by their differing bits. (The variants are sorted by a mix that
@@ -37,7 +37,7 @@ from .common import join_counted, null_to_empty, ship, small_batches, stored
 from ..operators.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-MEAN_ROWS, MOST_ROWS, DEEPER = 25_000, 200_000, 8
+LEAST_BITS, MEAN_ROWS, MOST_ROWS, DEEPER = 10, 25_000, 200_000, 8
 AT_ONCE = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,7 +163,7 @@ def links(bits: int, radius: int):
 
 def near_fingerprints(nodes: DataFrame, number: int, radius: int) -> DataFrame:
     """a, b: rows whose components are those of all pairs of fingerprints (fp, each once) within the radius."""
-    half, bits = (radius + 1) // 2, 1
+    half, bits = (radius + 1) // 2, LEAST_BITS
     while bits < 63 and number * len(flips(bits, half)) > MEAN_ROWS << bits:
         bits += 1
     rows = extended(nodes.select(F.lit(0).cast("long").alias("prefix"), "fp"), 0, bits, half)
