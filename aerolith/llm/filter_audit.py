@@ -33,6 +33,8 @@ FILTERS = "ABCDE"
 E_BIT, GOOD, TOXIC = 16, 32, 64
 #: A task's chains before the shuffle are sent on when their texts have so many bytes.
 HELD_BYTES = 32_000_000
+#: Texts are dealt to so many partitions that one has about so many bytes of them at most.
+PART_BYTES = 64_000_000
 CAPITALS = bytes(range(65, 91))
 SYMBOLS = b"#$%&*|"
 
@@ -117,9 +119,10 @@ def masks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     """id, part, mask (bits of the filters that are failed, E included), n (rows)."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).alias("id_"), null_to_empty(text_col).alias("text_"), null_to_empty(part_col).alias("part_")).rdd
-    parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    settled = rows.mapPartitions(route).repartitionAndSortWithinPartitions(parts, lambda h: h).mapPartitions(settle)
+    rows = docs.select(F.col(id_col).alias("id_"), null_to_empty(text_col).alias("text_"), null_to_empty(part_col).alias("part_"))
+    size = rows.agg(F.sum(F.octet_length("text_"))).first()[0] or 0  # an RDD isn't dealt anew by what its shuffle turns out to hold
+    parts = max(size // PART_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    settled = rows.rdd.mapPartitions(route).repartitionAndSortWithinPartitions(parts, lambda h: h).mapPartitions(settle)
     return spark.createDataFrame(settled, f"id_ {docs.schema[id_col].dataType.simpleString()}, part string, mask int, n long", verifySchema=False)
 
 
