@@ -18,7 +18,7 @@ from ..functions.time import seconds
 from ..session import discard, stored
 
 #: Relaxations between two stored tables.
-HOPS = 4
+HOPS = 2
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

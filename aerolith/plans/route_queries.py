@@ -20,7 +20,7 @@ from .registry import query
 REACH_M, SNAP_M = 5_000.0, 1_500.0
 
 
-def _graph(r: DataFrame) -> tuple[DataFrame, DataFrame]:
+def line_net(r: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = stored(r.where("source <> 'mobile'").groupBy("lat", "lon").agg(F.min("sensor_id").alias("node")), "nodes")
     p = near_pairs(nodes, nodes, REACH_M).where("a.node < b.node")
     edges = p.select(F.concat_ws("|", "a.node", "b.node").alias("edge_id"), F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.round(F.col("dist_m") * 1000).cast("long").alias("dist"), *(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in ("lat", "lon")))
@@ -48,9 +48,11 @@ def _pairs(trail: DataFrame, snaps: DataFrame) -> DataFrame:
 
 _DEGREES = REACH_M / 111_000 + 0.001
 _ON = "least(greatest(((p.lat - alat) * (blat - alat) + (p.lon - alon) * (blon - alon)) / ((blat - alat) ** 2 + (blon - alon) ** 2), 0), 1)"
-#: Nodes, edges, vehicles' readings with their place on an edge (null: none) and the pairs of these, up to legs' edges.
-_WORLD = f"""{READINGS_SQL.replace("WITH", "WITH RECURSIVE", 1)}, n AS MATERIALIZED (SELECT min(sensor_id) AS node, lat, lon FROM readings WHERE source <> 'mobile' GROUP BY lat, lon),
- ed AS MATERIALIZED (SELECT * FROM (SELECT a.node AS src, b.node AS dst, a.node || '|' || b.node AS edge_id, {haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")} AS m, round({haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")} * 1000)::BIGINT AS dist, a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon FROM n a JOIN n b ON a.node < b.node AND abs(a.lat - b.lat) < {_DEGREES}::DOUBLE) WHERE m <= {REACH_M}),
+#: The graph's nodes and edges (m: metres, dist: millimetres).
+NET_SQL = f"""{READINGS_SQL.replace("WITH", "WITH RECURSIVE", 1)}, n AS MATERIALIZED (SELECT min(sensor_id) AS node, lat, lon FROM readings WHERE source <> 'mobile' GROUP BY lat, lon),
+ ed AS MATERIALIZED (SELECT * FROM (SELECT a.node AS src, b.node AS dst, a.node || '|' || b.node AS edge_id, {haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")} AS m, round({haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")} * 1000)::BIGINT AS dist, a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon FROM n a JOIN n b ON a.node < b.node AND abs(a.lat - b.lat) < {_DEGREES}::DOUBLE) WHERE m <= {REACH_M})"""
+#: Vehicles' readings with their place on an edge (null: none) and the pairs of these, up to legs' edges.
+_WORLD = f"""{NET_SQL},
  pl AS (SELECT DISTINCT lat, lon FROM readings),
  sn AS MATERIALIZED (SELECT * FROM (SELECT p.lat AS plat, p.lon AS plon, src, dst, edge_id, alat + {_ON} * (blat - alat) AS slat, alon + {_ON} * (blon - alon) AS slon FROM pl p JOIN ed ON p.lat BETWEEN least(alat, blat) - 0.02 AND greatest(alat, blat) + 0.02)
   WHERE {haversine_sql("plat", "plon", "slat", "slon")} <= {SNAP_M} QUALIFY row_number() OVER (PARTITION BY plat, plon ORDER BY {haversine_sql("plat", "plon", "slat", "slon")}, edge_id) = 1),
@@ -77,7 +79,7 @@ _ROUTES = f"""{_SHORTEST} cn AS (SELECT pair_id, path_m, node, lat, lon, seq, pa
 def routed_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shortest way along the graph between a vehicle's places, within 100 edges, without long detours."""
     r = readings(spark, sf_dir)
-    nodes, edges = _graph(r)
+    nodes, edges = line_net(r)
     w = R.routes(_pairs(*_trails(r, edges)), nodes, edges, metres=0.001)
     return w.select("pair_id", F.round("direct_m", 3).alias("direct_m"), F.array_join(F.transform("way", lambda n: n["node"]), " ").alias("way"), F.round("path_m", 3).alias("path_m"))
 
@@ -99,7 +101,7 @@ SELECT pair_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon, ts0 + to_micros
 def traced_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points along the way with the fewest steps between a vehicle's places, with times."""
     r = readings(spark, sf_dir)
-    nodes, edges = _graph(r)
+    nodes, edges = line_net(r)
     t = R.traced(_pairs(*_trails(r, edges)), nodes, edges)
     return t.select("pair_id", F.col("seq").cast("long").alias("seq"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "ts")
 
@@ -111,7 +113,7 @@ UNION ALL SELECT vehicle, reading_id, round(CASE WHEN moved THEN slat ELSE lat E
 def road_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vehicles' trails on the graph, with the corners of the shortest ways between their places."""
     r = readings(spark, sf_dir)
-    nodes, edges = _graph(r)
+    nodes, edges = line_net(r)
     trail, snaps = _trails(r, edges)
     t = R.on_roads(trail, snaps, nodes, edges, "vehicle", metres=0.001)
     return t.select("vehicle", "reading_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "ts", "corner", "moved")
