@@ -1,17 +1,19 @@
 """Main text of web pages, with site templates removed.
 
-A first pass hashes the subtrees of each page's containers (tag and text, bottom-up). Spark counts for each host in how
-many different pages a subtree occurs (pages that are wholly equal count once). Subtrees that occur on many pages of
-their host, ``MANY`` at least and ``SHARE`` of its pages, are templates. A second pass extracts the text without them.
+A first pass hashes the subtrees of each page's containers (tag and text, bottom-up). Spark counts for each host beside how
+many different texts a subtree occurs: what else the page says, so that copies of a page or of an article with another
+menu count once. Subtrees beside ``MANY`` texts, and beside as many as the square root of the host's different pages, are
+templates. A second pass extracts the text without them.
 
-The text is that of the article elements, or of the main element, or of the body, whichever comes first. Elements that
-by their tag, role, class or id are menus, headers and footers of the site, sidebars, notices, adverts, forms, scripts,
-styles or reader comments are left out, too. Inside an article only containers can be templates, never its headings,
-paragraphs or list items, so that articles that appear more than once keep their text.
+The text is that of the main and article elements, or of the body, where there are none. Menus, headers and footers of the
+site, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, too, where an element is said to
+be one by its tag, its role, or by a class or id that has no other words in it ("share", "share-buttons", but not
+"share-price"). Inside an article only containers can be templates, never its headings, paragraphs or list items.
 
 Markup needn't be well-formed: tags close what they imply, end tags without a start are ignored, raw-text elements and
 comments run to their end or the page's. Null pages are empty and have no text; a null or odd url has no host, and
-nothing is removed as its template; repeated rows come back repeatedly and don't make a template by themselves.
+nothing is removed as its template; repeated rows come back repeatedly and don't make a template by themselves. An empty
+table gives no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import null_to_empty, ship, small_batches
 
-MANY, SHARE = 4, 0.3
+MANY = 4
 #: A host's pages are dealt over so many groups when they meet its templates.
 GROUPS = 64
 
@@ -40,10 +44,12 @@ BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd",
 CONTAINER = {"aside", "center", "div", "dl", "fieldset", "figure", "footer", "form", "header", "menu", "nav", "ol", "section", "table", "ul"}
 LEFT_OUT = {"nav", "footer", "aside", "form", "head", "menu", "button", "select", "datalist", "dialog", "svg", "math", "object", "canvas", "audio", "video", "fieldset"} | RAW
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar", "form"}
-#: Words in a class or id that tell what an element is for.
-PURPOSE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banners?|breadcrumbs?|comments?|consent|cookies?|disclaimer|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification"
-    r"|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
+#: Words of a class or id that tell what an element is for, and words that may stand beside them.
+PURPOSES = set(
+    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices"
+    " notification popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+BESIDE = set("site page main top bottom left right header global primary secondary list area bar box block button buttons container content form icons inner item items link links outer overlay section slot unit widgets wrap wrapper".split())
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\sA-Za-z_-]+")
 #: A start tag closes open elements of these kinds, as far up as the nearest of the others.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 P_ENDS = BLOCK - {"html", "body"}
@@ -58,25 +64,35 @@ class Element:
         self.hash = xxhash.xxh3_64(tag)
 
 
+@lru_cache(maxsize=4096)
+def has_purpose(names: str) -> bool:
+    """Whether a class or id among these says what its element is for, and nothing else."""
+    for name in names.split():
+        parts = {p.lower() for p in NAME_PARTS.findall(name)}
+        if parts & PURPOSES and not any(p not in PURPOSES and p not in BESIDE and not p.isdigit() for p in parts):
+            return True
+    return False
+
+
 def left_out(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is no main text by what it says of itself. A header inside an article is the article's."""
     if tag in LEFT_OUT or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
-        return bool(attributes) and tag == "article" and any(PURPOSE.search(b or c or d) and "comment" in (b or c or d).lower() for a, b, c, d in NAMED.findall(attributes))
+        return bool(attributes) and tag == "article" and any(has_purpose(b or c or d) and "comment" in (b or c or d).lower() for a, b, c, d in NAMED.findall(attributes))
     for name, *values in NAMED.findall(attributes):
         value = "".join(values)
-        if value.lower() in ROLES if name.lower() == "role" else PURPOSE.search(value):
+        if value.lower() in ROLES if name.lower() == "role" else has_purpose(value):
             return True
     return bool(HIDDEN.search(attributes))
 
 
-def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], list[int]]:
-    """The blocks of the main text, and the hashes of the subtrees that could be templates."""
+def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], list[tuple[int, int]]]:
+    """The blocks of the main text; hashes of the subtrees that could be templates, each with that of the text beside it."""
     stack: list[Element] = []
-    #: Kept pieces: level 2 is in an article, 1 in main, 0 elsewhere; subtrees that turn out to be templates are cut.
+    #: Kept pieces: level 1 is in an article or main, 0 elsewhere; subtrees that turn out to be templates are cut.
     blocks: list[tuple[int, str]] = []
-    hashes: list[int] = []
+    found: list[tuple[int, int, int]] = []
     piece: list[str] = []
     #: How many elements of each tag are open.
     count: dict[str, int] = defaultdict(int)
@@ -90,7 +106,7 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
                 blocks.append((level(), text))
 
     def level() -> int:
-        return 2 if count["article"] else 1 if count["main"] else 0
+        return 1 if count["article"] or count["main"] else 0
 
     def add(raw: str) -> None:
         if not raw:
@@ -117,7 +133,7 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
             stack[-1].text = True
             stack[-1].hash.update(digest.to_bytes(8, "little", signed=True))
         if e.text and e.tag in CONTAINER and not e.out and not out_depth:
-            hashes.append(digest)
+            found.append((digest, e.mark, len(blocks)))
             if digest in templates:
                 del blocks[e.mark :]
 
@@ -182,7 +198,12 @@ def parse(page: str, templates: frozenset = frozenset()) -> tuple[list[str], lis
     while stack:
         close()
     best = max((k for k, _ in blocks), default=0)
-    return [t for k, t in blocks if k == best], hashes
+    kept = [t for k, t in blocks if k == best]
+    if templates or not found:
+        return kept, []
+    # sums of the blocks' hashes, so that what is beside a subtree takes one step
+    so_far = [0, *accumulate(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for _, t in blocks)]
+    return kept, [(digest, (so_far[-1] - so_far[end] + so_far[mark]) % (1 << 64) - (1 << 63)) for digest, mark, end in found]
 
 
 def host_of(url_col: str):
@@ -191,20 +212,21 @@ def host_of(url_col: str):
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """host, templates (hashes). pages: host, html_. A host's templates are few: each is on SHARE of its pages."""
+    """host, templates (hashes). pages: host, html_. What a task sends is hashes, a few for each page."""
 
     def run(batches):
         for b in small_batches(batches, "html_", 4_000_000):
-            found = [sorted(set(parse(t)[1])) for t in b.column("html_").to_pylist()]
-            page = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in b.column("html_").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(page, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "page", "found"])
-
-    seen = pages.where("host IS NOT NULL").mapInArrow(run, "host string, page long, found array<long>")
-    # the page's own entry (null) counts the host's different pages
-    rows = seen.select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("long")), "found")).alias("subtree")).distinct()
-    counts = rows.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= MANY)
-    whole = counts.where("subtree IS NULL").select("host", F.col("pages").alias("all_pages"))
-    often = counts.where("subtree IS NOT NULL").join(whole, "host").where(F.col("pages") >= SHARE * F.col("all_pages"))
+            html_ = b.column("html_").to_pylist()
+            # the page's own entry (no subtree) counts the host's different pages
+            own = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in html_]
+            found = [[(None, page), *set(parse(t)[1])] for t, page in zip(html_, own)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([[{"subtree": x, "beside": y} for x, y in f] for f in found], pa.list_(pa.struct([("subtree", pa.int64()), ("beside", pa.int64())])))], ["host", "found"])
+
+    seen = pages.where("host IS NOT NULL").mapInArrow(run, "host string, found array<struct<subtree: long, beside: long>>")
+    rows = seen.select("host", F.inline("found")).distinct()
+    counts = rows.groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    whole = counts.where("subtree IS NULL").select("host", F.col("n").alias("all_pages"))
+    often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= MANY)).join(whole, "host").where(F.col("n") * F.col("n") >= F.col("all_pages"))
     return often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("templates"))
 
 

@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -22,6 +23,9 @@ SCHEMA = "page_id long, url string, html string, host string"
     ("<p>a</p><!-- never closed <p>b</p>", ["a"]),
     ("<article><p>one</p></article><article><p>two</p></article><article class=comment><p>c</p></article>", ["one", "two"]),
     ("<p>&am", ["&am"]),
+    ("<main><div class='social-studies'><p>Hello world</p></div></main>", ["Hello world"]),
+    ("<article><div class='share-price'>12.5</div><p class='notice-of-motion'>motion</p><p class='post ads'>x</p><div id=shareButtons>y</div><div class='site-footer_2'>z</div></article>", ["12.5", "motion"]),
+    ("<main><p>long text</p><article><h2>Card</h2></article><p>more</p></main><p>out</p>", ["long text", "Card", "more"]),
     ("<p title='a>b'>q</p><img alt=\"x\"><p>" + "w " * 50_000 + "</p>", ["q", " ".join(["w"] * 50_000)]),
 ])
 def test_blocks(page, want):
@@ -43,6 +47,63 @@ def test_templates_of_a_host_go_and_articles_stay(spark):
     assert got[51] == ("", 0, "odd") and all(n == len(t) for t, n, _ in got.values())
 
 
+def as_html(node):
+    tag, kids = node
+    return f"<{tag}>{kids if isinstance(kids, str) else ''.join(map(as_html, kids))}</{tag}>"
+
+
+def blocks_of(node, cut=frozenset()):
+    tag, kids = node
+    if node in cut:
+        return []
+    return [kids] if isinstance(kids, str) else [b for k in kids for b in blocks_of(k, cut)]
+
+
+def subtrees(node):
+    if not isinstance(node[1], str):
+        yield from (x for k in node[1] for x in subtrees(k))
+        if node[0] in ("div", "section"):
+            yield node
+
+
+def test_templates_like_a_plain_count(spark):
+    """Trees whose boxes recur, counted beside the texts that remain without them, and cut where the count says so."""
+    rng = random.Random(3)
+    boxes = [("div", (("p", f"box {k}"), ("section", (("p", f"inner {k % 3}"),)))) for k in range(12)]
+    pages = []
+    for i in range(120):
+        own = tuple(("p", f"words {rng.randrange(60)} {j}") for j in range(rng.randint(1, 3)))
+        some = tuple(b for k, b in enumerate(boxes) if rng.random() < 0.5 / (k + 1))
+        kids = [*some, ("div", own), *([("div", (("p", "own text on many pages"),))] if i % 40 == 0 else [])]
+        rng.shuffle(kids)
+        pages.append((i, rng.choice(["x.example.com", "x.example.com", "y.example.com"]), ("body", tuple(kids))))
+    pages += [(200 + i, "x.example.com", pages[0][2]) for i in range(20)]  # copies
+    beside, all_pages = {}, {}
+    for _, host, tree in pages:
+        all_pages.setdefault(host, set()).add(tree)
+        for x in subtrees(tree):
+            beside.setdefault((host, x), set()).add(tuple(sorted(rest(tree, x))))
+    cut = {h: frozenset(x for (g, x), n in beside.items() if g == h and len(n) >= MANY and len(n) ** 2 >= len(all_pages[h])) for h in all_pages}
+    assert all(2 < len(c) < 14 for c in cut.values())
+    rows = [(i, f"https://{host}/{i}", as_html(tree), "") for i, host, tree in pages]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    assert got == {i: "\n".join(blocks_of(tree, cut[host])) for i, host, tree in pages}
+
+
+def rest(tree, subtree):
+    """Blocks beside one occurrence of a subtree."""
+    out = blocks_of(tree)
+    for b in blocks_of(subtree):
+        out.remove(b)
+    return out
+
+
+def test_one_article_with_many_menus_is_no_template(spark):
+    page = "<body><div id=m{0}><p>menu {0}</p></div><div><p>the same article</p></div></body>"
+    rows = [(i, "http://n.example.com/", page.format(i % 3), "") for i in range(30)]
+    assert {r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {f"menu {k}\nthe same article" for k in range(3)}
+
+
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
