@@ -12,10 +12,12 @@ from ..functions.geo import haversine_m
 from ..functions.text import MAX_STRING, sanitised
 
 
-def own_prefs(log: DataFrame) -> DataFrame:
+def own_prefs(log: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     """Entries whose key is the application's, without the versions of its configuration."""
-    k = F.col("key")
-    return log.where((k.startswith("dusty_") | k.startswith("mobileair.")) & ~k.endswith(".__cfgv"))
+    k, own = F.col("key"), F.lit(False)
+    for p in prefixes:
+        own = own | k.startswith(p)
+    return log.where(own & ~k.endswith(".__cfgv"))
 
 
 def tail(log: DataFrame, n: int) -> DataFrame:
@@ -30,10 +32,13 @@ def script_line(key: Column, value: Column) -> Column:
     return F.concat(F.lit("  localStorage.setItem("), quoted(key), F.lit(", "), quoted(value), F.lit(");"))
 
 
-def capped_batches(events: DataFrame, most: int, *request: str) -> DataFrame:
-    """The first events of each request, and how many it had."""
+def capped_batches(events: DataFrame, most: int, *request: str, size: str | None = None, most_bytes: int = 65_536) -> DataFrame:
+    """The first events of each request, and how many it had; requests whose sizes sum to too much are refused."""
     w = Window.partitionBy(*request)
-    return events.withColumns({"n": F.row_number().over(w.orderBy("ts", "event_id")), "offered": F.count("*").over(w)}).where(F.col("n") <= most).drop("n")
+    e = events.withColumns({"n": F.row_number().over(w.orderBy("ts", "event_id")), "offered": F.count("*").over(w)})
+    if size:
+        e = e.withColumn("_bytes", F.sum(size).over(w)).where(F.col("_bytes") <= most_bytes).drop("_bytes")
+    return e.where(F.col("n") <= most).drop("n")
 
 
 def snapshot_list(files: DataFrame, rows: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def community_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROADS = f"""{READINGS_SQL}, n AS (SELECT sensor_id, max_by(lat, (ts, reading_id)) AS lat, max_by(lon, (ts, reading_id)) AS lon FROM readings WHERE source = 'fixed' GROUP BY ALL), r AS (SELECT row_number() OVER (ORDER BY sensor_id) AS edge_id, lat AS alat, lon AS alon, lat + 0.01::DOUBLE AS blat, lon + 0.005::DOUBLE AS blon FROM n)"""
 
 
-@query(f"""{_ROADS}, p AS (SELECT reading_id AS point_id, lat, lon FROM readings WHERE source <> 'fixed' AND reading_id % 3 = 0), d AS (SELECT point_id, edge_id, p.lat, p.lon, alat, alon, blat - alat AS dy, blon - alon AS dx, least(greatest(((p.lat - alat) * (blat - alat) + (p.lon - alon) * (blon - alon)) / ((blat - alat) ** 2 + (blon - alon) ** 2), 0), 1) AS t FROM p, r WHERE abs(p.lat - alat) < 0.1 AND abs(p.lon - alon) < 0.1),
+@query(f"""{_ROADS}, p AS (SELECT reading_id AS point_id, lat, lon FROM readings WHERE source <> 'fixed'), d AS (SELECT point_id, edge_id, p.lat, p.lon, alat, alon, blat - alat AS dy, blon - alon AS dx, least(greatest(((p.lat - alat) * (blat - alat) + (p.lon - alon) * (blon - alon)) / ((blat - alat) ** 2 + (blon - alon) ** 2), 0), 1) AS t FROM p, r WHERE abs(p.lat - alat) < 0.1 AND abs(p.lon - alon) < 0.1),
  e AS (SELECT point_id, edge_id, alat + t * dy AS slat, alon + t * dx AS slon, {haversine_sql('lat', 'lon', 'alat + t * dy', 'alon + t * dx')} AS m FROM d) SELECT point_id, round(slat, 6) AS lat, round(slon, 6) AS lon, round(m, 3) AS dist_m FROM e WHERE m <= 2000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY m, edge_id) = 1""")
 def snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points moved to the nearest of many lines within 2 km."""
@@ -74,7 +74,7 @@ def snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.struct("ts", "reading_id")
     n = r.where("source = 'fixed'").groupBy("sensor_id").agg(F.max_by("lat", at).alias("alat"), F.max_by("lon", at).alias("alon"))
     edges = n.select(F.col("sensor_id").alias("edge_id"), "alat", "alon", (F.col("alat") + 0.01).alias("blat"), (F.col("alon") + 0.005).alias("blon"))
-    points = r.where("source <> 'fixed' AND reading_id % 3 = 0").select(F.col("reading_id").alias("point_id"), "lat", "lon")
+    points = r.where("source <> 'fixed'").select(F.col("reading_id").alias("point_id"), "lat", "lon")
     s = G.nearest_edge(points, edges, 2_000.0, 1_300.0)
     return s.select("point_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("dist_m", 3).alias("dist_m"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import aqi as A
 from ..functions import display as D
 from ..functions.geo import haversine_m, haversine_sql
+from ..functions.time import seconds
 from ..operators import lines as L
 from ..operators import logs as O
 from ..operators import probes as R
@@ -51,13 +52,13 @@ def trail_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(s, "sensor_id").select("sensor_id", "bin", "n", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.when(F.col("strength") > 0.01, F.round("bearing", 3)).alias("bearing"), "bins", "points")
 
 
-@query(f"""{_MOBILE}, q AS (SELECT o_orderkey AS probe_id, 'S' || (o_custkey % 38 * 4) AS sensor_id, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (o_orderkey % 43200) AS ts FROM orders WHERE o_orderkey % 3 = 0),
+@query(f"""{_MOBILE}, q AS (SELECT o_orderkey AS probe_id, 'S' || (o_custkey % 38 * 4) AS sensor_id, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (o_orderkey % 43200) AS ts FROM orders),
  o AS (SELECT *, lead(ts) OVER w AS nts, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon FROM m WINDOW w AS (PARTITION BY sensor_id ORDER BY ts, reading_id)), f AS (SELECT sensor_id, min(ts) AS ts, min_by(lat, (ts, reading_id)) AS lat, min_by(lon, (ts, reading_id)) AS lon FROM m GROUP BY ALL),
  j AS (SELECT q.*, o.ts AS bts, o.lat AS blat, o.lon AS blon, nts, nlat, nlon FROM q ASOF LEFT JOIN o ON q.sensor_id = o.sensor_id AND q.ts >= o.ts)
 SELECT probe_id, sensor_id, round(CASE WHEN bts IS NULL THEN f.lat WHEN nts IS NULL THEN blat ELSE blat + (nlat - blat) * ((epoch_us(j.ts) - epoch_us(bts))::DOUBLE / (epoch_us(nts) - epoch_us(bts))) END, 7) AS lat, round(CASE WHEN bts IS NULL THEN f.lon WHEN nts IS NULL THEN blon ELSE blon + (nlon - blon) * ((epoch_us(j.ts) - epoch_us(bts))::DOUBLE / (epoch_us(nts) - epoch_us(bts))) END, 7) AS lon FROM j LEFT JOIN f USING (sensor_id)""")
 def places_at_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where mobile sensors were at many times, between their points."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, sf_dir, "orders")
     q = o.select(F.col("o_orderkey").alias("probe_id"), F.concat(F.lit("S"), (F.pmod("o_custkey", F.lit(38)) * 4).cast("string")).alias("sensor_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(mins=F.pmod("o_orderkey", F.lit(43_200)).cast("int"))).alias("ts"))
     return L.along(_mobile(spark, sf_dir), q, "sensor_id").select("probe_id", "sensor_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
@@ -114,37 +115,39 @@ def json_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("sensor_id", "key").agg(F.max(F.when(F.col("back") == 1, F.col("value"))).alias("value"), F.first("history_count").alias("history_count"), tail.alias("history_tail"), F.when(F.col("key") == "ozone", "ppb").otherwise("µg/m³").alias("unit"), F.when(F.first("source") == "mobile", "MOBILE").otherwise("FIXED").alias("type"))
 
 
-_LOG = "WITH e AS (SELECT event_id, user_id, ts::TIMESTAMP AS ts, CASE event_type WHEN 'click' THEN 'dusty_map' WHEN 'view' THEN 'mobileair.view' WHEN 'purchase' THEN 'dusty_map.__cfgv' ELSE event_type END AS key, (props::JSON ->> 'k') AS value FROM events)"
+_LOG = "WITH e AS (SELECT event_id, user_id, ts::TIMESTAMP AS ts, CASE event_type WHEN 'click' THEN 'map_state' WHEN 'view' THEN 'app.view' WHEN 'purchase' THEN 'map_state.__cfgv' ELSE event_type END AS key, (props::JSON ->> 'k') AS value FROM events)"
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("event_type") == "click", "dusty_map").when(F.col("event_type") == "view", "mobileair.view").when(F.col("event_type") == "purchase", "dusty_map.__cfgv").otherwise(F.col("event_type"))
+    name = F.when(F.col("event_type") == "click", "map_state").when(F.col("event_type") == "view", "app.view").when(F.col("event_type") == "purchase", "map_state.__cfgv").otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), name.alias("key"), F.get_json_object("props", "$.k").alias("value"))
 
 
-@query(_LOG + """, k AS (SELECT * FROM e WHERE (starts_with(key, 'dusty_') OR starts_with(key, 'mobileair.')) AND NOT ends_with(key, '.__cfgv')), t AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM k QUALIFY place <= 500)
+@query(_LOG + """, k AS (SELECT * FROM e WHERE (starts_with(key, 'map_') OR starts_with(key, 'app.')) AND NOT ends_with(key, '.__cfgv')), t AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM k QUALIFY place <= 500)
 SELECT event_id, place, key, value, '  localStorage.setItem("' || key || '", "' || value || '");' AS script FROM t""")
 def prefs_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 500 entries of stored preferences, with a line of script each (P16, O9, K10, K12, Z16: the limit is the
     feature)."""
-    t = O.tail(O.own_prefs(_log(spark, sf_dir)), 500)
+    t = O.tail(O.own_prefs(_log(spark, sf_dir), ("map_", "app.")), 500)
     return t.select("event_id", "place", "key", "value", O.script_line(F.col("key"), F.col("value")).alias("script"))
 
 
-@query(_LOG + """, b AS (SELECT *, date_trunc('day', ts) AS day, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM e)
-SELECT user_id, day, count(*) AS taken, any_value(total) AS offered, min(event_id) AS first_id FROM (SELECT b.*, count(*) OVER (PARTITION BY user_id, day) AS total FROM b) WHERE n <= 3 GROUP BY ALL""")
+@query(_LOG + """, b AS (SELECT *, time_bucket(INTERVAL 14 DAYS, ts, TIMESTAMP '1970-01-01') AS part, strlen(key) + coalesce(strlen(value), 0) AS size FROM e), c AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id, part) AS total, sum(size) OVER (PARTITION BY user_id, part) AS bytes FROM b)
+SELECT user_id, part, count(*) AS taken, any_value(total) AS offered, min(event_id) AS first_id, sum(size)::BIGINT AS taken_bytes FROM c WHERE n <= 50 AND bytes <= 65536 GROUP BY ALL""")
 def analytics_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each request, a client's day here, of which only the first ones are taken, three here."""
-    e = _log(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
-    return O.capped_batches(e, 3, "user_id", "day").groupBy("user_id", "day").agg(F.count("*").alias("taken"), F.first("offered").alias("offered"), F.min("event_id").alias("first_id"))
+    """Events of each request, a client's 14 days here, of which 50 are taken, and none if they have over 64 KiB."""
+    part = F.timestamp_seconds(F.floor(seconds(F.col("ts")) / 1_209_600) * 1_209_600).cast("timestamp_ntz")
+    e = _log(spark, sf_dir).withColumns({"part": part, "size": F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))})
+    taken = O.capped_batches(e, 50, "user_id", "part", size="size", most_bytes=65_536).groupBy("user_id", "part")
+    return taken.agg(F.count("*").alias("taken"), F.first("offered").alias("offered"), F.min("event_id").alias("first_id"), F.sum("size").alias("taken_bytes"))
 
 
-@query("""WITH f AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS name FROM orders WHERE o_orderkey % 7 = 0), d AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m-%d') AS name FROM lineitem WHERE l_orderkey % 11 = 0)
+@query("""WITH f AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS name FROM orders), d AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m-%d') AS name FROM lineitem)
 SELECT name, 'file' AS origin, substr(sha1('https://host/' || name), 1, 12) AS cache FROM f UNION ALL SELECT name, 'table', substr(sha1('https://host/' || name), 1, 12) FROM d WHERE name NOT IN (SELECT name FROM f)""")
 def snapshot_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots that are files, and those that only the table has, with the names of their cached copies."""
-    f = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("name"))
-    d = table(spark, sf_dir, "lineitem").where("l_orderkey % 11 = 0").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("name"))
+    f = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("name"))
+    d = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("name"))
     return O.snapshot_list(f, d).withColumn("cache", O.cache_name(F.concat(F.lit("https://host/"), F.col("name"))))
 
 

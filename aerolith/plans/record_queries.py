@@ -113,11 +113,11 @@ def trail_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("priority", rank.cast("long")).where("priority <= 10")
 
 
-@query(f"""{READINGS_SQL}, m AS (SELECT sensor_id, ts, abs(lat - lag(lat) OVER w) > 1e-6::DOUBLE OR abs(lon - lag(lon) OVER w) > 1e-6::DOUBLE AS moved FROM readings WHERE reading_id % 3 = 0 WINDOW w AS (PARTITION BY sensor_id ORDER BY ts, reading_id))
+@query(f"""{READINGS_SQL}, m AS (SELECT sensor_id, ts, abs(lat - lag(lat) OVER w) > 1e-6::DOUBLE OR abs(lon - lag(lon) OVER w) > 1e-6::DOUBLE AS moved FROM readings WINDOW w AS (PARTITION BY sensor_id ORDER BY ts, reading_id))
 SELECT sensor_id, max(ts) AS last_sample, max(CASE WHEN moved THEN ts END) AS last_move, coalesce(max(CASE WHEN moved THEN ts END), max(ts)) AS shown FROM m GROUP BY ALL""")
 def last_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each sensor last changed its place, or else its last sample."""
-    return P.last_move(readings(spark, sf_dir).where("reading_id % 3 = 0"), "sensor_id")
+    return P.last_move(readings(spark, sf_dir), "sensor_id")
 
 
 @query(f"""{READINGS_SQL}, m AS (SELECT * FROM readings WHERE source = 'mobile'), l AS (SELECT sensor_id, max_by(lat, (ts, reading_id)) AS lat, max_by(lon, (ts, reading_id)) AS lon, max(ts) AS head FROM m GROUP BY ALL)
@@ -191,7 +191,7 @@ def community_outlier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WIND = f"""{READINGS_SQL}, f AS (SELECT time_bucket(INTERVAL 6 HOURS, ts) AS slot, trunc((lat - 40.4::DOUBLE) * 10)::BIGINT AS iy, trunc((lon + 112.2::DOUBLE) * 10)::BIGINT AS ix, round(avg(value), 3) AS u, round(avg(-value / 2), 3) AS v FROM readings GROUP BY ALL),
  k AS (SELECT DISTINCT slot FROM f), n AS (SELECT slot, lead(slot) OVER (ORDER BY slot) AS following FROM k),
- q AS (SELECT o_orderkey, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (o_orderkey % 43200) AS t, (o_orderkey % 5)::BIGINT AS iy, (o_custkey % 5)::BIGINT AS ix FROM orders WHERE o_orderkey % 4 = 0),
+ q AS (SELECT o_orderkey, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (o_orderkey % 43200) AS t, (o_orderkey % 5)::BIGINT AS iy, (o_custkey % 5)::BIGINT AS ix FROM orders),
  s AS (SELECT q.*, n.slot, n.following FROM q ASOF JOIN n ON q.t >= n.slot)"""
 
 
@@ -202,7 +202,7 @@ def wind_at_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings(spark, sf_dir)
     slot = F.timestamp_seconds(F.floor(seconds(F.col("ts")) / 21_600) * 21_600).cast("timestamp_ntz")
     f = r.groupBy(slot.alias("slot"), ((F.col("lat") - 40.4) * 10).cast("long").alias("iy"), ((F.col("lon") + 112.2) * 10).cast("long").alias("ix")).agg(F.round(F.avg("value"), 3).alias("u"), F.round(F.avg(-F.col("value") / 2), 3).alias("v"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    o = table(spark, sf_dir, "orders")
     minute = F.pmod("o_orderkey", F.lit(43_200)).cast("int")
     q = o.select("o_orderkey", (_at("2024-01-01") + F.make_interval(mins=minute)).alias("t"), F.pmod("o_orderkey", F.lit(5)).cast("long").alias("iy"), F.pmod("o_custkey", F.lit(5)).cast("long").alias("ix"))
     return R.blended_fields(q, f, "o_orderkey").select("o_orderkey", "slot", "u0", "u1", "u", "v")
