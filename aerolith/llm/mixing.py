@@ -9,7 +9,7 @@ source, so a single task writes the blocks in their order to a table, in whole n
 
 When a source runs out, a new phase begins: the others share the slots anew, in the proportion of their weights, and
 keep the bound within the phase. No document is dropped or repeated. Inside a source, documents come in an order made
-by hashing their ids.
+by hashing their ids (of rows without one, the rows).
 
 Default weights are the square roots of the sources' sizes. Null is a source of its own. Rows of equal source and id
 come in any order among themselves. Sources given no weight get one of ``period`` slots each (of as many as there are
@@ -26,6 +26,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship, stored
 
@@ -110,7 +111,9 @@ def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id",
     placed = blocks_of(spark, sizes, weight, block_docs, period)
 
     buckets = max(LEAST_GROUPS, sum(sizes.values()) // group_rows)
-    order = F.xxhash64(F.col(id_col).cast("string"))
+    # rows without an id go by the whole row, so that they aren't one bucket
+    row = F.xxhash64(*(F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)))
+    order = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"))).otherwise(row)
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"), order.alias("h"), F.col(id_col).alias("id"))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
     counts = docs.select(key.alias("key"), order.alias("h")).groupBy("key", F.pmod(F.shiftright("h", 20), F.lit(buckets)).alias("bucket")).count()

@@ -6,7 +6,8 @@ a text is the sum of the counts of its pre-tokens (space marks and the character
 ``whole_tokens`` proves, piece by piece with the library itself, which vocabulary strings encode alone as one token;
 pre-tokens among these count 1 without any merging, and only the rest goes through the library (and is remembered).
 
-Nulls count as empty texts, empty texts have no tokens, repeated rows give repeated rows, extra columns are ignored.
+Nulls count as empty texts, empty texts have no tokens, repeated rows give repeated rows, a null id stays null, an empty
+table gives no rows, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import null_to_empty, ship, small_batches
 
 MARK = "▁"
-#: Remembered counts of pre-tokens that are no whole tokens; beyond this number the memory starts afresh.
-REMEMBERED = 600_000
+#: Remembered counts of pre-tokens that are no whole tokens: so many, of so many characters in all (4 bytes each at most);
+#: beyond either the memory starts afresh. Longer pre-tokens than LONGEST, which hardly recur, aren't remembered.
+REMEMBERED, REMEMBERED_CHARS, LONGEST = 600_000, 8_000_000, 64
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -35,12 +37,18 @@ class Counts(dict):
         self.whole = whole_tokens(self.model)
         self.separable = separable(self.model)
         super().__init__(self.whole)
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED + len(self.whole):
+        n = len(self.model.encode(word)) if word else 1
+        if len(word) > LONGEST:
+            return n
+        if len(self) > REMEMBERED + len(self.whole) or self.chars > REMEMBERED_CHARS:
             self.clear()
             self.update(self.whole)
-        n = self[word] = len(self.model.encode(word)) if word else 1
+            self.chars = 0
+        self[word] = n
+        self.chars += len(word)
         return n
 
     def of(self, text: str) -> int:

@@ -33,7 +33,8 @@ from .range_coder import CorruptBlock, decode, encode
 #: Ids in a segment, at least, unless a task's documents end; ids in a block; pieces remembered by a process.
 SEGMENT_IDS = 6_000_000
 BLOCK_IDS = 1024
-REMEMBERED = 700_000
+#: ... and their characters, whatever their number.
+REMEMBERED, REMEMBERED_CHARS = 700_000, 16_000_000
 
 SEGMENT = "part int, segment int, first long, doc_ids array<{}>, n_tokens array<long>, list_check long, header binary, blocks array<binary>"
 
@@ -90,6 +91,7 @@ class Pieces:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.count, self.start, self.kind = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int8)
 
@@ -102,6 +104,7 @@ class Pieces:
         self.start[k : k + len(n)] = self.used + np.cumsum(n) - n
         self.kind[k : k + len(n)] = kinds
         self.used += len(ids)
+        self.chars += sum(map(len, pieces))
         self.index.update(zip(pieces, range(k, k + len(n))))
 
     def merge(self, pieces: list[str]) -> None:
@@ -162,7 +165,7 @@ class Pieces:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has."""
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.clear()
         odd = pc.match_substring(texts, "\0")
         cut = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\0 "), "\n", "\0\n\0")

@@ -121,11 +121,12 @@ def held_out(id_col: str):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """text_, label of at most so many labelled documents; their ids and labels are sent to all tasks."""
+    """text_, label of at most so many labelled documents; their ids and labels are sent to all tasks. Of several documents
+    of one id the first text counts, so that the number of rows is bounded, too."""
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("known_")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64(F.col("known_").cast("string")), "known_").limit(rows)
     texts = docs.select(F.col(id_col).alias("id_"), null_to_empty(text_col).alias("text_"))
-    return texts.join(F.broadcast(known), F.col("id_") == F.col("known_")).select("text_", "label")
+    return texts.join(F.broadcast(known), F.col("id_") == F.col("known_")).groupBy("known_").agg(F.min("text_").alias("text_"), F.first("label").alias("label")).select("text_", "label")
 
 
 def fit_machine(sample: DataFrame) -> Machine:

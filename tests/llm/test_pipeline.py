@@ -98,3 +98,16 @@ def test_verdicts_go_by_row_where_ids_are_missing_or_shared(spark, tmp_path):
 def test_the_rest_works_without_this_subpackage():
     code = "import sys; sys.modules['aerolith.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op')] and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], check=True, timeout=120)
+
+
+def test_columns_named_like_those_in_use(spark, tmp_path):
+    """The stages' own column names, in other letters too, on documents that have them."""
+    rows, items = corpus()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["gone_key", "ROW_ID", "text_key", "id_", "key", "block", "slot", "node", "row", "position", "bucket", "number"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], f"{DOCS}, {', '.join(f'{n} int' for n in names)}")
+    plain = spark.createDataFrame(rows, DOCS)
+    for _, stage in c.STAGES[:4]:
+        ids = sorted(r.doc_id for r in stage(spark, plain, str(tmp_path)).collect())
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == ids and ids

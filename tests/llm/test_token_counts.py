@@ -26,3 +26,19 @@ def test_whole_tokens_are_proven(spark):
 
 def test_empty_table(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_memory_is_bounded_by_characters(monkeypatch):
+    from aerolith.llm import token_counts as t
+
+    monkeypatch.setattr(t, "REMEMBERED_CHARS", 2_000)
+    counts = t.Counts(P.path("piece_bpe_32k.model"))
+    texts = [chr(0x4E00 + i % 5_000) * 3_000 for i in range(40)] + [" ".join(f"x{i}y{k}z" for k in range(60)) for i in range(40)]
+    for x in texts:
+        assert counts.of(x) == len(counts.model.encode(x))
+        assert sum(map(len, counts.keys() - counts.whole.keys())) < 2_000 + t.LONGEST
+
+
+def test_null_ids(spark):
+    rows = [(None, "a b"), (None, None)]
+    assert sorted(r.n_tokens for r in count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), P.path("piece_bpe_32k.model")).collect()) == [0, 2]

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from aerolith.llm.toxicity import Machine, Terms, informative, toxicity
+from aerolith.llm.toxicity import Machine, Terms, informative, labelled_sample, toxicity
 
 DOCS, LABELS = "doc_id long, text string, score string", "doc_id long, quality int, toxic int"
 
@@ -57,3 +57,10 @@ def test_statistic_and_memory():
     s = informative(np.array([50, 10, 0]), np.array([0, 90, 100]), 50, 450)
     assert s[0] > 200 and abs(s[1]) < 1e-9 and s[2] > 10
     assert Terms().of("B b, B") == Terms().of("b")
+
+
+def test_one_id_on_many_rows_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(4, f"text {k % 3}") for k in range(500)] + [(5, None), (6, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(4, 1), (5, 0), (6, None)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, 100, "doc_id", "text", "toxic").collect()
+    assert len(got) <= 2 and all(tuple(r) in {("text 0", 1), ("", 0)} for r in got)
