@@ -30,9 +30,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", _text_key())
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of the documents has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    gone = keys.select(F.col("doc_id").alias("gone_key")).distinct()
-    return docs.join(gone, _text_key() == F.col("gone_key"), "left_anti")
+    gone = _free(docs, "gone_key")
+    return docs.join(keys.select(F.col("doc_id").alias(gone)).distinct(), _text_key() == F.col(gone), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of the smallest id, or any if none has an id."""
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", _text_key().alias("text_key"))
-    return keep_one(docs.withColumn("row_id", row), id_col="row_id").drop("row_id")
+    row_id = _free(docs, "row_id")
+    return keep_one(docs.withColumn(row_id, row), id_col=row_id).drop(row_id)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +67,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the mix: doc_id, start, n_tokens, ids_crc32 as read from them."""
     name = F.col("_metadata.file_name")
+    # doc_id and text only: no other column's name is met
     placed = docs.select("doc_id", "text", F.regexp_extract(name, r"part-(\d+)", 1).cast("long").alias("file_number"), name.alias("file_name"), F.col("_metadata.row_index").alias("row_number"))
     return encode_documents(placed, public_tokenizer("byte_bpe_50k.json"), order=["file_number", "file_name", "row_number"])
 
