@@ -214,7 +214,8 @@ def bloom_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, text_col: str, members: DataFrame) -> DataFrame:
-    """text and members' columns for all texts with the members' text_hash; copies in a task come once, as a rule."""
+    """text and members' columns for all different texts with the members' text_hash: copies come once, whatever their
+    number. The filter spares the shuffle texts that have no member's hash; without it there are more of them, that's all."""
     rows = docs.select(null_to_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     bits = max(1 << 12, 1 << (16 * members.count()).bit_length())
     if bits <= MOST_BITS:
@@ -237,7 +238,7 @@ def texts_of(docs: DataFrame, text_col: str, members: DataFrame) -> DataFrame:
                 yield b.take(pa.array(some, pa.int64()))
 
         rows = rows.mapInArrow(run, "text string, text_hash long")
-    return rows.join(members, "text_hash")
+    return rows.dropDuplicates(["text_hash", "text"]).join(members, "text_hash")
 
 
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL) -> DataFrame:
