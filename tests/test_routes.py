@@ -71,7 +71,7 @@ def tables(spark, at, edges):
     return nodes, spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, dist long")
 
 
-@pytest.mark.parametrize("seed, budget", [(1, 100), (2, 25), (3, 10_000)])
+@pytest.mark.parametrize("seed, budget", [(1, 100), (3, 10_000)])
 def test_ways_like_plain_searches(spark, seed, budget):
     rng = random.Random(seed)
     at, edges = graph(rng, 60, 2)
