@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell, haversine_m, truncated_cell
+from ..functions.geo import cell, drawn_out, haversine_m, stretch, truncated_cell
 from ..session import stored
 
 M_PER_DEG = 111_194.92664455873  # on a sphere of 6,371 km
@@ -136,3 +136,22 @@ def kernel_field(cells: DataFrame, sensors: DataFrame, sigma_m: float, reach: fl
     w = F.col("b.weight") * F.exp(-0.5 * F.pow(F.col("dist_m") / sigma_m, 2))
     pairs = pairs.select(F.col("a.cell_id").alias("cell_id"), F.col("b.value").alias("v"), w.alias("w"))
     return pairs.groupBy("cell_id").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("c"), F.sum("w").alias("w_sum")).where("w_sum >= 0.001")
+
+
+def wind_kernel_field(cells: DataFrame, sensors: DataFrame, sigma_m: float, reach: float = 3.0, *, calm: float = 0.3, full: float = 5.0, factor: float = 2.5, upwind: float = 0.5) -> DataFrame:
+    """cell_id, c, w_sum, stretch: the kernel field of cells with a wind of their own (u to the east, v to the north; null:
+    none). Downwind of a sensor its kernel is drawn out up to ``factor`` times, growing from the speed ``calm`` to ``full``,
+    upwind by ``upwind`` of that (V4, G15). A cell hears sensors within the drawn-out reach on the side that its wind comes
+    from, within the plain reach on all sides. Calm cells are joined with the plain reach only."""
+    speed = F.coalesce(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")), F.lit(0.0))
+    s = F.when(speed < calm, 1.0).otherwise(stretch(speed, calm, full, factor))
+    blown = F.col("stretch") > 1.001
+    cells = cells.withColumns({"speed": speed, "stretch": s}).withColumns({"wx": F.when(blown, F.col("u") / F.col("speed")), "wy": F.when(blown, F.col("v") / F.col("speed"))})
+    near = near_pairs(cells.where(~blown), sensors, sigma_m * reach).unionByName(near_pairs(cells.where(blown), sensors, sigma_m * reach * factor))
+    a, b = F.col("a"), F.col("b")
+    dy = (a.lat - b.lat) * M_PER_DEG
+    dx = (a.lon - b.lon) * M_PER_DEG * F.cos(F.radians(a.lat))
+    heard = (F.col("dist_m") <= sigma_m * reach) | ((F.col("dist_m") <= a.stretch * (sigma_m * reach)) & (dx * a.wx + dy * a.wy > 0))
+    d2 = F.when(a.wx.isNull(), F.col("dist_m") * F.col("dist_m")).otherwise(drawn_out(dx, dy, a.wx, a.wy, a.stretch, upwind))
+    pairs = near.where(heard).select(a.cell_id.alias("cell_id"), a.stretch.alias("stretch"), b.value.alias("v"), (b.weight * F.exp(d2 * (-0.5 / sigma_m**2))).alias("w"))
+    return pairs.groupBy("cell_id", "stretch").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("c"), F.sum("w").alias("w_sum")).where("w_sum >= 0.001")

@@ -1,4 +1,4 @@
-"""Readings as streams: windows with late data, dedup, sessions, and vehicles' state (T-2 to T-5, T-7, T-11, T-12, T-15, K1)."""
+"""Readings as streams: windows with late data, dedup, sessions, and vehicles' state (T-2 to T-5, T-7, T-11, T-12, T-14, T-15, K1)."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.time import ZONE
+from ..functions.time import ZONE, day_5am
 from ..session import ship
 
 
@@ -60,6 +60,71 @@ def vehicle_states(stream: DataFrame, ttl_minutes: int = 45, late: str = "45 min
     return stream.where("ts IS NOT NULL").withWatermark("ts", late).groupBy("sensor_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def hydrated_history(store: DataFrame, now: str, most: int = 2_880, more: dict[str, int] | None = None) -> DataFrame:
+    """After a restart at ``now`` (UTC): what the store has of the local day from non-mobile sensors, the newest ``most``
+    rows of each sensor and pollutant; sensors in ``more`` have limits of their own (T-14)."""
+    at = F.lit(now).cast("timestamp_ntz")
+    rows = store.where((F.col("source") != "mobile") & (F.col("ts") <= at) & (F.col("ts") > at - F.expr("INTERVAL 26 HOURS")) & (day_5am(F.col("ts")) == day_5am(at)))
+    limit = F.lit(most)
+    for sensor, n in (more or {}).items():
+        limit = F.when(F.col("sensor_id") == sensor, n).otherwise(limit)
+    newest = F.row_number().over(Window.partitionBy("sensor_id", "pollutant").orderBy(F.desc("ts"), F.desc("reading_id")))
+    return rows.withColumn("_n", newest).where(F.col("_n") <= limit).drop("_n")
+
+
+def day_seed(store: DataFrame, now: str) -> DataFrame:
+    """sensor_id, ts, lat, lon, points: last place of each vehicle that the store has on the local day of a restart at
+    ``now``, and its number of points; what ``recovered_states`` begins with (T-14)."""
+    at = F.lit(now).cast("timestamp_ntz")
+    rows = store.where((F.col("source") == "mobile") & (F.col("ts") <= at) & (F.col("ts") > at - F.expr("INTERVAL 26 HOURS")) & (day_5am(F.col("ts")) == day_5am(at)))
+    last = F.max(F.struct("ts", "reading_id", "lat", "lon")).alias("last")
+    return rows.groupBy("sensor_id").agg(last, F.countDistinct("ts").alias("points")).select("sensor_id", "last.ts", "last.lat", "last.lon", "points")
+
+
+RECOVERED = "sensor_id string, last_us long, lat double, lon double, points long, added long, ghosted boolean, gone boolean"
+
+
+def recovered_states(live: DataFrame, seed: DataFrame, now: str, ttl_minutes: int = 45, late: str = "45 minutes") -> DataFrame:
+    """Vehicles' states that go on from a store's after a restart at ``now`` (T-14). live and seed are streams; seed has
+    the columns of ``day_seed``, live those of readings, and ts is a timestamp in both.
+
+    A seeded vehicle is a ghost with its stored place and number of points until a live row of it comes, in the same batch
+    or later; points at or before the stored one aren't counted again. A seed for a vehicle that has a state already is
+    ignored, so a seed given twice does no harm. Vehicles without a live row for the time to live, ghosts from the restart
+    on, are given out as gone and forgotten. last_us: time of the last point in microseconds."""
+    began = int(pd.Timestamp(now, tz="UTC").timestamp() * 1_000_000)
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last, lat, lon, n, ghost, _ = state.get
+            state.remove()
+            yield pd.DataFrame([[key[0], last, lat, lon, n, 0, ghost, True]], columns=names)
+            return
+        p = pd.concat(batches).sort_values(["us", "reading_id"])
+        live, seeds = p[p.points.isna()], p[p.points.notna()]
+        last, lat, lon, n, ghost, seen = state.get if state.exists else (None, None, None, 0, True, began)
+        if last is None and len(seeds):
+            x = seeds.iloc[-1]
+            last, lat, lon, n = int(x.us), float(x.lat), float(x.lon), int(x.points)
+        new = live.drop_duplicates("us", keep="last")
+        new = new if last is None else new[new.us > last]
+        if len(live):
+            ghost, seen = False, max(int(live.us.iloc[-1]), 0 if ghost else seen)
+        if len(new):
+            last, lat, lon, n = int(new.us.iloc[-1]), float(new.lat.iloc[-1]), float(new.lon.iloc[-1]), n + len(new)
+        state.update((last, lat, lon, n, ghost, seen))
+        state.setTimeoutTimestamp(max(seen // 1000 + ttl_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([[key[0], last, lat, lon, n, len(new), ghost, False]], columns=names)
+
+    ship(live.sparkSession)
+    names = [c.split()[0] for c in RECOVERED.split(", ")]
+    us = F.unix_micros("ts").alias("us")
+    rows = live.where("ts IS NOT NULL").select("sensor_id", "ts", us, "lat", "lon", F.lit(None).cast("double").alias("points"), "reading_id")
+    seeds = seed.select("sensor_id", "ts", us, "lat", "lon", F.col("points").cast("double").alias("points"), F.lit(-1).cast("long").alias("reading_id"))
+    both = rows.unionByName(seeds).withWatermark("ts", late)
+    return both.groupBy("sensor_id").applyInPandasWithState(update, RECOVERED, "last_us long, lat double, lon double, points long, ghosted boolean, seen_us long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 TRAIL = "sensor_id string, points long, added long, first_ts timestamp, last_ts timestamp, trail string"
 
 
