@@ -2,23 +2,27 @@
 
 1. Every text becomes the set of its ``SHINGLE`` consecutive words (a text with fewer words, but not none, is one
    shingle). Texts with equal sets are one node from here on, with the number of its copies.
-2. A MinHash LSH forest finds candidates: each of ``TREES`` trees is a prefix trie of signatures. Matched prefixes are
-   shortened from ``DEEP`` values on. At depth d, a pair of similarity s is missed by all trees with probability
-   (1 - s**d) ** TREES, so shortening stops at the first depth where a pair at the threshold is found with the target
-   recall or more. All texts stop there, as a pair has to meet at one depth, and a trie node there holds all deeper ones.
-   No node is capped. Members of a trie node are linked to its smallest member, and the connected components of these
-   links are the candidate groups.
-3. Groups are cut into blocks of bounded size; each pair of blocks of a group is compared exactly in one task, by
-   matrix products over shingles. A task returns, for each text, how many documents it is linked with and a
-   representative, never the pairs. Links between all texts of a group are found, whatever brought them together.
-4. Components of the verified links are the classes.
+2. A MinHash LSH forest finds candidates: each of ``TREES`` trees is a prefix trie of signatures of ``DEEP`` values, held as
+   the hashes of its prefixes. Matching begins with whole signatures, and matched prefixes are shortened value by value.
+   At depth d, a pair of similarity s is missed by all trees with probability (1 - s**d) ** TREES. A text leaves the
+   forest at the first depth where this meets the target recall for the lowest similarity that a different set of its
+   size can have to it, at or above the threshold; the shorter a text, the sooner (sets of 3 have no such partner). A
+   pair thus meets at the depth where the first of the two leaves. No trie node is capped.
+3. At each depth, the members of a trie node that aren't yet in one class with its smallest member are compared with
+   that exactly; the links found join classes. So classes hold verified links only, and nodes whose members are of one
+   class need no more work. Where texts leave, members of different classes in a trie node are compared with each other
+   in blocks of bounded size, so that every pair that meets has been compared or is in one class.
+4. Classes are cut into blocks; each pair of blocks of a class is compared exactly in one task, by matrix products over
+   shingles. A task returns, for each text, how many documents it is linked with, never the pairs. Links between all texts
+   of a class are found, whatever brought them together. Texts that no links connect are never compared across a class.
 
 A document's class is the smallest id in it. Its links are the other documents of similarity at or above the threshold,
 copies among them counted singly. Null and wordless texts have no links and are alone. Repeated rows are copies.
 Documents with a null id take part; a class of such documents only has a null id. Other columns are ignored.
 
-Work that remains quadratic: counting the links of a group of m texts that are near each other compares its block pairs,
-in (m / BLOCK_TEXTS) ** 2 / 2 tasks of bounded size, each text going to m / BLOCK_TEXTS of them.
+Work that remains quadratic: counting the links of a class of m different texts compares its block pairs, in
+(m / BLOCK_TEXTS) ** 2 / 2 tasks of bounded size, each text going to m / BLOCK_TEXTS of them. Likewise members of
+different classes in one trie node.
 """
 
 from __future__ import annotations
@@ -28,10 +32,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded_words, null_to_empty, ship, small_batches, stored
+from .common import discard, folded_words, null_to_empty, ship, small_batches, stored
 from ..operators.components import connected_components
 
 SHINGLE = 5
@@ -50,14 +54,32 @@ REMEMBERED = 500_000
 MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def stop_depth(threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL) -> int:
-    """Shortens prefixes from DEEP values on until a pair at the threshold is found in some tree with the target recall."""
-    s, d = threshold[0] / threshold[1], DEEP
+def stop_depth(threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, s: float | None = None) -> int:
+    """Shortens prefixes from DEEP values on until a pair of this similarity (else: at the threshold) is found in some
+    tree with the target recall."""
+    s, d = threshold[0] / threshold[1] if s is None else s, DEEP
     while d > 1 and 1 - (1 - s**d) ** trees < recall:
         d -= 1
     return d
 
 
+def lowest_similarity(n: int, threshold: tuple[int, int] = THRESHOLD) -> float | None:
+    """Lowest similarity, at or above the threshold, that a set of n has to a different set; none: no such set."""
+    num, den = threshold
+    best = None
+    for m in range(-(-n * num // den), n * den // num + 1):
+        c = -(-num * (n + m) // (num + den))  # least common part that meets the threshold
+        if c <= min(n, m) and not c == n == m and (best is None or c / (n + m - c) < best):
+            best = c / (n + m - c)
+    return best
+
+
+def stop_depths(threshold: tuple[int, int], trees: int, recall: float, most: int = 64) -> list[int | None]:
+    """Depth at which texts leave, by the size of their sets up to ``most``; larger ones stay to that of the threshold."""
+    low = [lowest_similarity(n, threshold) if n else None for n in range(most + 1)]
+    return [None if s is None else stop_depth(threshold, trees, recall, s) for s in low]
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit hashes of the set of a text's shingles."""
     words = folded_words(text)
@@ -78,12 +100,12 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 class Forest:
-    """Signatures of a forest, ``trees * depth`` minima, and their hashed prefixes of this depth."""
+    """Signatures of a forest, ``trees * DEEP`` minima, and the hashes of their prefixes from ``depth`` to DEEP values."""
 
     def __init__(self, trees: int, depth: int):
         self.trees, self.depth = trees, depth
         rng = np.random.default_rng(20_240_229)
-        self.factor = rng.integers(0, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factor = rng.integers(0, 2**63, trees * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.tree = np.arange(trees, dtype=np.uint64) + np.uint64(1)
 
     def minima(self, s: np.ndarray) -> np.ndarray:
@@ -93,19 +115,22 @@ class Forest:
         return low
 
     def prefixes(self, sets: list[np.ndarray]) -> np.ndarray:
-        """A row for each set, a hashed prefix for each tree."""
+        """A row for each set: for each depth from the shortest on, a hashed prefix for each tree."""
         low = np.stack([self.minima(s) for s in sets]) if sets else np.zeros((0, len(self.factor)), np.uint64)
-        value = low.reshape(len(sets), self.trees, self.depth)
-        h = np.broadcast_to(self.tree * MULTIPLY[0], value.shape[:2])
-        for d in range(self.depth):
+        value = low.reshape(len(sets), self.trees, DEEP)
+        h, out = np.broadcast_to(self.tree * MULTIPLY[0], value.shape[:2]), []
+        for d in range(DEEP):
             x = (value[:, :, d] ^ (value[:, :, d] >> np.uint64(29))) * MULTIPLY[1]
             h = (h ^ x ^ (x >> np.uint64(32))) * MULTIPLY[2]
-        return (h ^ (h >> np.uint64(31))).view(np.int64)
+            if d + 1 >= self.depth:
+                out.append((h ^ (h >> np.uint64(31))).view(np.int64))
+        return np.concatenate(out, 1)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, depth: int, trees: int) -> DataFrame:
-    """id_, text_hash, k1, k2 (the set's key; null: no words), n (shingles), prefixes (one for each tree)."""
+    """id_, text_hash, k1, k2 (the set's key; null: no words), n (shingles), prefixes (for each depth, one for each tree)."""
     forest = Forest(trees, depth)
+    width = trees * (DEEP - depth + 1)
 
     def run(batches):
         for b in small_batches(batches, "text_", 2_000_000):
@@ -115,7 +140,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, depth: in
             keys = [set_key(s) if len(s) else (None, None) for s in sets]
             at = np.array([place.get(k, -1) for k in keys], np.int64)
             flat = forest.prefixes(list(some.values()))[at[at >= 0]].ravel()
-            offsets = np.concatenate([[0], np.cumsum((at >= 0) * trees)]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum((at >= 0) * width)]).astype(np.int32)
             prefixes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             k1, k2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([b.column("id_"), b.column("text_hash"), k1, k2, pa.array([len(s) for s in sets], pa.int32()), prefixes], ["id_", "text_hash", "k1", "k2", "n", "prefixes"])
@@ -124,12 +149,49 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, depth: in
     return rows.mapInArrow(run, f"id_ {docs.schema[id_col].dataType.simpleString()}, text_hash long, k1 long, k2 long, n int, prefixes array<long>")
 
 
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """a, b: each text of a trie node with several, and the node's smallest text. nodes: node, prefixes."""
-    rows = nodes.select("node", F.explode("prefixes").alias("prefix"))
-    # a common prefix is counted by partial sums, and its rows are split by Spark's skew join
-    tries = rows.groupBy("prefix").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("prefix", "b")
-    return rows.join(tries, "prefix").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+def trie_rows(sets: DataFrame, depth: int, shortest: int, trees: int) -> DataFrame:
+    """prefix and the other columns of the sets that are still in the forest at this depth, for each tree."""
+    level = F.slice("prefixes", (depth - shortest) * trees + 1, trees)
+    return sets.where(F.col("stop") <= depth).withColumn("prefix", F.explode(level)).drop("prefixes")
+
+
+def pieces(count: Column, shingle_count: Column) -> Column:
+    """Number of blocks for so many texts and shingles."""
+    return F.greatest(F.ceil(count / BLOCK_TEXTS), F.ceil(shingle_count / BLOCK_SHINGLES)).cast("int")
+
+
+def star_tasks(rows: DataFrame) -> DataFrame:
+    """group, i, j, node, block: in each trie node, its smallest member (block -1) against blocks of the members of other
+    classes; each such pair once, whatever the number of trie nodes. rows: prefix, node, class, n."""
+    tries = rows.groupBy("prefix").agg(F.min(F.struct("node", "class", "n")).alias("low"), F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
+    pairs = rows.join(tries.select("prefix", "low"), "prefix").where("class <> low.class")
+    pairs = pairs.groupBy(F.col("low.node").alias("group"), "node").agg(F.first("n").alias("n"))
+    sizes = pairs.groupBy("group").agg(pieces(F.count("*"), F.sum("n")).alias("blocks"))
+    pairs = pairs.join(sizes, "group").select("group", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("j"), F.lit(-1).cast("long").alias("i"))
+    center = pairs.select("group", "i", "j").distinct().select("*", F.col("group").alias("node"), F.col("i").alias("block"))
+    return center.unionByName(pairs.select("group", "i", "j", "node", F.col("j").alias("block")))
+
+
+def cross_tasks(rows: DataFrame, depth: int) -> DataFrame:
+    """group, i, j, node, block: in each trie node that a text leaves at this depth, members of different classes against
+    each other. A class of many members has blocks of its own, which aren't compared among themselves; small classes are
+    dealt whole to common blocks. rows: prefix, node, class, n, stop."""
+    tries = rows.groupBy("prefix").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.max("stop").alias("last")).where((F.col("a") < F.col("b")) & (F.col("last") == depth)).select("prefix")
+    rows = rows.join(tries, "prefix").select("prefix", "node", "class", "n")
+    classes = rows.groupBy("prefix", "class").agg(F.count("*").alias("m"), F.sum("n").alias("n")).withColumn("own", pieces(F.col("m"), F.col("n")))
+    small = classes.where("own = 1").groupBy("prefix").agg(pieces(F.sum("m"), F.sum("n")).alias("common"))
+    classes = classes.join(small, "prefix", "left").select("prefix", "class", "own", "common")
+    # common blocks have numbers from 0 on, those of a large class follow its hash
+    base = (F.pmod(F.xxhash64("class"), F.lit(1 << 30)) + 1) * (1 << 32)
+    block = F.when(F.col("own") == 1, F.pmod(F.xxhash64("class"), F.col("common"))).otherwise(base + F.pmod(F.xxhash64("node"), F.col("own")))
+    rows = rows.join(classes, ["prefix", "class"]).select("prefix", "node", block.alias("block"), F.when(F.col("own") > 1, F.col("class")).alias("only"))
+    blocks = rows.groupBy("prefix", "block").agg(F.max("only").alias("only"), F.countDistinct("only").alias("k"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    apart = F.coalesce(F.col("x.only") != F.col("y.only"), F.lit(True)) | (F.col("x.k") > 1) | (F.col("y.k") > 1)
+    pairs = x.join(y, (F.col("x.prefix") == F.col("y.prefix")) & (F.col("x.block") <= F.col("y.block"))).where(apart)
+    pairs = pairs.select(F.col("x.prefix").alias("prefix"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    return sides.join(rows, ["prefix", "block"]).select(F.col("prefix").alias("group"), "i", "j", "node", "block")
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
@@ -144,12 +206,12 @@ def compare(left: list[np.ndarray], right: list[np.ndarray], threshold: tuple[in
     column = np.cumsum(new) - 1
     often = np.bincount(column)[column] > 1  # a shingle of one text alone is in no intersection
     column, owner = np.unique(column[often], return_inverse=True)[1], owner[often]
-    common = np.zeros((len(left), len(right)), np.float32)
+    common = np.zeros((len(left), len(right)), np.int64)
     for at in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
         some = (column >= at) & (column < at + 4096)
         m = np.zeros((len(left) + len(right), 4096), np.float32)
         m[owner[some], column[some] - at] = 1
-        common += m[: len(left)] @ m[len(left) :].T
+        common += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
     return common * (num + den) >= num * (n[0][:, None] + n[1][None, :])
 
 
@@ -241,21 +303,55 @@ def texts_of(docs: DataFrame, text_col: str, members: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["text_hash", "text"]).join(members, "text_hash")
 
 
+def verified_classes(members: DataFrame, texts: DataFrame, *, size: int, threshold: tuple[int, int], shortest: int, trees: int) -> DataFrame:
+    """node, class: what verified links between the forest's candidates connect. members: node, n, stop, prefixes."""
+    classes = members.select("node", F.col("node").alias("class"))
+    leaves = {r.stop for r in members.select("stop").distinct().collect()}  # DEEP at most
+
+    def joined(tasks: DataFrame, classes: DataFrame) -> DataFrame:
+        rows = tasks.join(texts, "node").select("group", "i", "j", "node", "k1", "block", "copies", "text")
+        links = rows.groupBy("group", "i", "j").applyInArrow(compare_blocks(size, threshold), "node long, links long, root long")
+        links = stored(links.select("node", "root").distinct(), "verified")
+        if links.isEmpty():
+            discard(links)
+            return classes
+        edges = classes.where("node <> class").select("node", F.col("class").alias("root")).unionByName(links)
+        found = connected_components(edges, "node", "root")
+        out = stored(members.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class")), "classes")
+        discard(links)
+        return out
+
+    for depth in range(DEEP, shortest - 1, -1):
+        rows = lambda c, d=depth: trie_rows(members.join(c, "node"), d, shortest, trees)
+        classes = joined(star_tasks(rows(classes)), classes)
+        if depth in leaves:
+            classes = joined(cross_tasks(rows(classes), depth), classes)
+    return classes
+
+
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL) -> DataFrame:
     """One row per document: id, class_id (smallest id of its class), n_links (other documents it is linked with)."""
     ship(docs.sparkSession)
     depth = stop_depth(threshold, trees, recall)
+    leave = stop_depths(threshold, trees, recall)
     signed = stored(signatures(docs, id_col, text_col, size, depth, trees), "signatures")
     sets = signed.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id_").alias("id_"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("text_hash").alias("text_hash"), F.first("prefixes").alias("prefixes"))
     # numbers given when the table is written stand for the sets from here on
-    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    groups = connected_components(candidate_links(sets)).withColumnsRenamed({"component": "group"})
-    members = stored(groups.join(sets, "node").select("node", "k1", "text_hash", "group", "copies", "n"), "members")
-    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")).drop("n")
-    with_text = texts_of(docs, text_col, dealt)
+    stop = F.coalesce(F.get(F.array(*(F.lit(100 if d is None else d) for d in leave)), F.col("n")), F.lit(depth))
+    sets = stored(sets.withColumns({"node": F.monotonically_increasing_id(), "stop": stop}), "sets")
+    # at the last depth most texts are alone in their trie nodes: only the others go on, and short ones, which leave before
+    rows = trie_rows(sets.select("node", "stop", "prefixes"), depth, depth, trees)
+    several = rows.groupBy("prefix").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("prefix")
+    short = max((n * threshold[1] // threshold[0] for n, d in enumerate(leave) if d is not None and d > depth), default=0)
+    some = rows.join(several, "prefix").select("node").unionByName(sets.where((F.col("stop") <= DEEP) & (F.col("n") <= short)).select("node")).distinct()
+    members = stored(sets.join(some, "node").select("node", "k1", "text_hash", "copies", "n", "stop", "prefixes"), "members")
+    texts = stored(texts_of(docs, text_col, members.select("node", "k1", "text_hash", "copies")).select("node", "k1", "copies", "text"), "texts")
+    groups = verified_classes(members.select("node", "n", "stop", "prefixes"), texts, size=size, threshold=threshold, shortest=depth, trees=trees)
+    groups = groups.join(members.select("node", "n"), "node").withColumnRenamed("class", "group")
+    sizes = groups.groupBy("group").agg(F.count("*").alias("m"), pieces(F.count("*"), F.sum("n")).alias("blocks")).where("m > 1").drop("m")
+    dealt = groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = with_text.select("*", other.alias("other")).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "k1", "block", "copies", "text")
+    pairs = texts.join(dealt, "node").select("*", other.alias("other")).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "k1", "block", "copies", "text")
     found = stored(pairs.groupBy("group", "i", "j").applyInArrow(compare_blocks(size, threshold), "node long, links long, root long"), "links")
     classes = connected_components(found, "node", "root").withColumnsRenamed({"component": "class"})
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -86,6 +86,35 @@ def test_recall_bound():
     assert d < j.DEEP and 1 - (1 - 0.8**d) ** j.TREES >= j.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** j.TREES
 
 
+def test_lowest_similarity_of_a_different_set():
+    for n in range(1, 30):
+        all_ = [c / (n + m - c) for m in range(1, 60) for c in range(min(n, m) + 1) if not c == n == m and 5 * c >= 4 * (n + m - c)]
+        assert j.lowest_similarity(n) == (min(all_) if all_ else None)
+    leave = j.stop_depths(j.THRESHOLD, j.TREES, j.TARGET_RECALL)
+    assert leave[:4] == [None] * 4 and leave[7] > j.stop_depth() == leave[4] == leave[64]
+
+
+def test_short_texts_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(j, "BLOCK_TEXTS", 4)
+    rng = random.Random(8)
+    base = [[f"w{i}x{k}" for k in range(rng.randint(5, 16))] for i in range(25)]
+    rows = []
+    for w in base:
+        for _ in range(rng.randint(1, 12)):
+            cut = rng.randint(0, 2)
+            rows.append((len(rows), " ".join(w[: len(w) - cut] if rng.random() < 0.5 else w + [f"e{rng.randint(0, 2)}"] * cut)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(j.ngram_join(df)) == brute(rows)
+
+
+def test_a_chain_of_candidates_is_no_class(spark):
+    """Texts that share much with the next one, but less than the threshold: candidates in plenty, hardly a class."""
+    words = [f"w{k}" for k in range(2_000)]
+    rows = [(i, " ".join(words[14 * i : 14 * i + 60])) for i in range(130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(j.ngram_join(df)) == brute(rows) and all(x[3] == 0 for x in found(j.ngram_join(df)))
+
+
 def test_compare_is_exact():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(40)]
