@@ -4,8 +4,9 @@ Each source's documents are dealt into blocks of ``block_docs``; a slot takes on
 share of all weights, a rational number (of a float, its exact value). Its block k (from 0) is released at slot
 floor(k / w) and due at slot ceil((k + 1) / w). In every slot, earliest-deadline-first takes the released block that is
 due first. As the weights sum to 1, every block keeps its window: after t slots a source has had t * w of them to within
-less than one block, however many slots and sources there are. What a schedule needs to know is one block for each
-source, so a single task writes the blocks in their order to a table, in whole numbers; documents are joined with it.
+less than one block, however many slots and sources there are. What the sources have had by any slot follows from the
+windows about it (``Phase.had``), so tasks schedule stretches of slots apart from each other, with the result of one run,
+and write the blocks to a table; documents are joined with it.
 
 When a source runs out, a new phase begins: the others share the slots anew, in the proportion of their weights, and
 keep the bound within the phase. No document is dropped or repeated. Inside a source, documents come in an order made
@@ -35,6 +36,8 @@ PERIOD = 1024
 LEAST_GROUPS = 256
 #: The table of blocks is written in batches of so many.
 BATCH_BLOCKS = 100_000
+#: Slots of a stretch at least (short phases have shorter ones), and the most tasks that share the stretches.
+STRETCH_SLOTS, MOST_TASKS = 1 << 16, 10_000
 
 
 def whole(weights: dict) -> dict:
@@ -60,45 +63,121 @@ def shares(weights: dict, period: int) -> dict:
     return {s: Fraction(n * period, of) for s, n in part.items()}
 
 
-def schedule(sizes: dict, weights: dict, block_docs: int, period: int = PERIOD):
-    """Source, block (in its source), slot and first position of all blocks, slot by slot."""
+class Phase:
+    """Slots, counted from 0, in which no source runs out. part / of: exact shares; base: blocks each source had before;
+    slots, once known: how many until the first source runs out."""
+
+    def __init__(self, part: dict, of: int, base: dict, slot: int, position: int):
+        self.part, self.of, self.base, self.slot, self.position, self.slots = part, of, base, slot, position, 0
+
+    def release(self, s, k: int) -> int:
+        return k * self.of // self.part[s]
+
+    def due(self, s, k: int) -> int:
+        return -(-(k + 1) * self.of // self.part[s])
+
+    def run(self, start: int, had: dict, stop: int | None = None):
+        """slot, source, block of earliest-deadline-first from a slot on. had: the blocks had by then; it is kept up to date.
+        Slots in which nothing is released are left out."""
+        waiting = [(self.release(s, k), self.due(s, k), s) for s, k in had.items()]
+        heapq.heapify(waiting)
+        ready: list = []  # deadline, source
+        t = start
+        while stop is None or t < stop:
+            while waiting and waiting[0][0] <= t:
+                heapq.heappush(ready, heapq.heappop(waiting)[1:])
+            if ready:
+                due, s = heapq.heappop(ready)
+                if t >= due:
+                    raise AssertionError("a block missed its deadline")
+                k = had[s]
+                had[s] = k + 1
+                heapq.heappush(waiting, (self.release(s, k + 1), self.due(s, k + 1), s))
+                yield t, s, k
+            t += 1
+
+    def had(self, t: int) -> dict:
+        """Blocks that each source has had by slot t, without a run from the first slot.
+
+        All blocks due by t have been had, and of the open ones (released, due later; one a source at most) as many as slots
+        are left over, those of the earliest deadlines for which there are slots between their release and t. An open block
+        competes for these with blocks released no earlier than the first open one, so a run from there tells which:
+        it is no longer than one window of the smallest share."""
+        low = {s: t * p // self.of for s, p in self.part.items()}
+        open_ = {s: self.release(s, k) for s, k in low.items() if t * self.part[s] % self.of}
+        if not open_:
+            return low
+        first = min(open_.values())
+        had = {s: -(-first * p // self.of) for s, p in self.part.items()}
+        for _ in self.run(first, had, t):
+            pass
+        fit = sorted((self.due(s, low[s]), s) for s in open_ if had[s] > low[s])
+        return low | {s: low[s] + 1 for _, s in fit[: t - sum(low.values())]}
+
+
+def phases_of(sizes: dict, weights: dict, block_docs: int, period: int = PERIOD) -> list[Phase]:
+    """One phase for each source at most. What is run is no longer than two windows of the smallest share a phase."""
     left = {s: -(-n // block_docs) for s, n in sizes.items() if n}
     weights, period = whole({s: weights[s] for s in left}), max(period, len(left))
-    done, slot, position = dict.fromkeys(left, 0), 0, 0
+    done, slot, position, out = dict.fromkeys(left, 0), 0, 0, []
     while left:
-        part, of = parts({s: weights[s] for s in left}, period)
-        had = dict.fromkeys(left, 0)
-        ready = [(-(-of // part[s]), s) for s in left]  # deadline, source
-        heapq.heapify(ready)
-        release: list = []  # slot, deadline, source
-        for t in range(sum(left.values())):
-            while release and release[0][0] <= t:
-                heapq.heappush(ready, heapq.heappop(release)[1:])
-            due, s = heapq.heappop(ready)
-            if t >= due:
-                raise AssertionError("a block missed its deadline")
-            yield s, done[s] + had[s], slot + t, position
-            position += min(block_docs, sizes[s] - (done[s] + had[s]) * block_docs)
-            had[s] += 1
-            if had[s] == left[s]:
+        phase = Phase(*parts({s: weights[s] for s in left}, period), {s: done[s] for s in left}, slot, position)
+        # no source runs out before its last block is released
+        start = min(phase.release(s, n - 1) for s, n in left.items())
+        had = phase.had(start)
+        for t, s, k in phase.run(start, had):
+            if k + 1 == left[s]:
                 break
-            heapq.heappush(release, (had[s] * of // part[s], -(-(had[s] + 1) * of // part[s]), s))
-        slot += t + 1
-        done = {s: done[s] + had[s] for s in left}
-        left = {s: n - had[s] for s, n in left.items() if n > had[s]}
+        phase.slots = t + 1
+        out.append(phase)
+        slot += phase.slots
+        # all blocks are full but the last one of a source, which ends a phase
+        position += t * block_docs + min(block_docs, sizes[s] - (done[s] + k) * block_docs)
+        done |= {x: done[x] + n for x, n in had.items()}
+        left = {x: n - had[x] for x, n in left.items() if n > had[x]}
+    return out
+
+
+def stretches(phases: list[Phase], least: int = STRETCH_SLOTS) -> list[tuple[int, int, int]]:
+    """Phase, first slot and end of stretches of at least ``least`` slots and four windows of the smallest share, if the
+    phase has so many: to begin one costs a run of one window, so all of them cost a quarter more than one run."""
+    out = []
+    for i, p in enumerate(phases):
+        step = max(least, 4 * -(-p.of // min(p.part.values())))
+        out += [(i, t, min(t + step, p.slots)) for t in range(0, p.slots, step)]
+    return out
+
+
+def slots_between(phase: Phase, start: int, stop: int, block_docs: int):
+    """Source, block (in its source), slot and first position of the blocks of a stretch."""
+    for t, s, k in phase.run(start, phase.had(start), stop):
+        yield s, phase.base[s] + k, phase.slot + t, phase.position + t * block_docs
 
 
-def blocks_of(spark, sizes: dict, weights: dict, block_docs: int, period: int) -> DataFrame:
-    """key_, block, slot, first (position) of all blocks: one task, whose memory doesn't grow with their number."""
+def schedule(sizes: dict, weights: dict, block_docs: int, period: int = PERIOD):
+    """Source, block (in its source), slot and first position of all blocks, slot by slot."""
+    for phase in phases_of(sizes, weights, block_docs, period):
+        yield from slots_between(phase, 0, phase.slots, block_docs)
+
+
+def blocks_of(spark, sizes: dict, weights: dict, block_docs: int, period: int, stretch: int = STRETCH_SLOTS) -> DataFrame:
+    """key_, block, slot, first (position) of all blocks: tasks take stretches of slots, none waits for another."""
     ship(spark)
+    phases = phases_of(sizes, weights, block_docs, period)
+    cuts = stretches(phases, stretch)
+    sent = spark.sparkContext.broadcast((phases, cuts))  # a number for each source of each phase, three for a stretch
 
     def run(batches):
+        phases, cuts = sent.value
         for b in batches:
-            rows = schedule(sizes, weights, block_docs, period) if b.num_rows else iter(())
-            while batch := list(islice(rows, BATCH_BLOCKS)):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*batch), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["key_", "block_", "slot", "first"])
-
-    return stored(spark.range(0, 1, 1, 1).mapInArrow(run, "key_ string, block_ long, slot long, first long"), "blocks")
+            for n in b.column("id").to_pylist():
+                i, start, stop = cuts[n]
+                rows = slots_between(phases[i], start, stop, block_docs)
+                while batch := list(islice(rows, BATCH_BLOCKS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*batch), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["key_", "block_", "slot", "first"])
+
+    tasks = max(1, min(len(cuts), MOST_TASKS, sum(p.slots for p in phases) // stretch))
+    return stored(spark.range(0, len(cuts), 1, tasks).mapInArrow(run, "key_ string, block_ long, slot long, first long"), "blocks")
 
 
 def mix(docs: DataFrame, *, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 16, period: int = PERIOD, group_rows: int = 20_000) -> DataFrame:

@@ -79,3 +79,45 @@ def test_more_sources_than_slots_in_a_period(spark):
     for weights in (None, {"s1": 1}):
         got = m.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_docs=1).collect()
         assert sorted(r.position for r in got) == list(range(2300)) and {r.row.doc_id for r in got} == set(range(2300))
+
+
+def one_run(sizes, weights, block_docs, period):
+    """Every phase in one run from its first slot, ended when a source has no block left."""
+    left = {s: -(-n // block_docs) for s, n in sizes.items() if n}
+    weights, done, slot, position, out = m.whole({s: weights[s] for s in left}), dict.fromkeys(left, 0), 0, 0, []
+    while left:
+        phase = m.Phase(*m.parts({s: weights[s] for s in left}, max(period, len(left))), dict(done), slot, position)
+        had = dict.fromkeys(left, 0)
+        for t, s, k in phase.run(0, had):
+            out.append((s, done[s] + k, slot + t, position))
+            position += min(block_docs, sizes[s] - (done[s] + k) * block_docs)
+            if had[s] == left[s]:
+                break
+        slot += t + 1
+        done = {s: n + had.get(s, 0) for s, n in done.items()}
+        left = {s: n - had[s] for s, n in left.items() if n > had[s]}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_stretches_are_one_run(seed):
+    rng = random.Random(seed)
+    sources = [f"s{k}" for k in range(rng.choice([1, 2, 3, 5, 9, 30]))]
+    sizes = {s: rng.choice([0, 1, 7, 60, 400]) for s in sources}
+    kind = rng.choice(["root", "whole", "float", "skewed", "equal"])
+    weights = {s: {"root": sizes[s] ** 0.5, "whole": rng.randint(0, 9), "float": rng.random(), "skewed": 10.0 ** -rng.randint(0, 4), "equal": 1}[kind] for s in sources}
+    block, period = rng.choice([1, 3]), rng.choice([32, 1024])
+    want = one_run(sizes, weights, block, period)
+    phases = m.phases_of(sizes, weights, block, period)
+    assert list(m.schedule(sizes, weights, block, period)) == want
+    for step in (1, 2, 7, 50):
+        got = [x for p in phases for t in range(0, p.slots, step) for x in m.slots_between(p, t, min(t + step, p.slots), block)]
+        assert got == want
+
+
+def test_a_table_of_many_stretches(spark):
+    sizes, weights = {"a": 3000, "b": 900, "c": 41}, {"a": 0.7, "b": 0.2, "c": 0.1}
+    cuts = m.stretches(m.phases_of(sizes, weights, 1), 100)
+    assert len(cuts) > 20 and sum(b - a for _, a, b in cuts) == sum(sizes.values())
+    got = m.blocks_of(spark, sizes, weights, 1, m.PERIOD, 100)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == one_run(sizes, weights, 1, m.PERIOD)
