@@ -8,9 +8,9 @@
    forest at the first depth where this meets the target recall for the lowest similarity that a different set of its
    size can have to it, at or above the threshold; the shorter a text, the sooner (sets of 3 have no such partner). A
    pair thus meets at the depth where the first of the two leaves. No trie node is capped.
-3. At each depth, the members of a trie node that aren't yet in one class with its smallest member are compared with
-   that exactly; the links found join classes. So classes hold verified links only, and nodes whose members are of one
-   class need no more work. Where texts leave, members of different classes in a trie node are compared with each other
+3. With whole signatures, and again at the last depth, the members of a trie node that aren't yet in one class with its
+   smallest member are compared with that exactly; the links found join classes. So classes hold verified links only, and
+   nodes whose members are of one class need no more work. At every depth where texts leave, members of different classes in a trie node are compared with each other
    in blocks of bounded size, so that every pair that meets has been compared or is in one class.
 4. Classes are cut into blocks; each pair of blocks of a class is compared exactly in one task, by matrix products over
    shingles. A task returns, for each text, how many documents it is linked with, never the pairs. Links between all texts
@@ -323,7 +323,8 @@ def verified_classes(members: DataFrame, texts: DataFrame, *, size: int, thresho
 
     for depth in range(DEEP, shortest - 1, -1):
         rows = lambda c, d=depth: trie_rows(members.join(c, "node"), d, shortest, trees)
-        classes = joined(star_tasks(rows(classes)), classes)
+        if depth in (DEEP, shortest):
+            classes = joined(star_tasks(rows(classes)), classes)
         if depth in leaves:
             classes = joined(cross_tasks(rows(classes), depth), classes)
     return classes
@@ -353,7 +354,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.join(dealt, "node").select("*", other.alias("other")).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "k1", "block", "copies", "text")
     found = stored(pairs.groupBy("group", "i", "j").applyInArrow(compare_blocks(size, threshold), "node long, links long, root long"), "links")
-    classes = connected_components(found, "node", "root").withColumnsRenamed({"component": "class"})
+    # every link that made a class has been found again, so the classes are what these links connect
+    classes = groups.select("node", F.col("group").alias("class"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = classes.join(links, "node").join(sets.select("node", "id_"), "node")
     lowest = linked.groupBy("class").agg(F.min("id_").alias("class_id"))
