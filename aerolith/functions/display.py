@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import BREAKPOINTS, COUNTY_FIPS, PALETTE, SENTINEL_BANDS, VENDOR_SUFFIX
 from .aqi import aqi_to_value
+from .text import fixed
 
 GRAY = "#6b7280"
 
@@ -153,9 +154,7 @@ def spark_level(value: Column, least: Column, most: Column) -> Column:
 
 def tag_value(v: Column) -> Column:
     """Whole numbers without decimals, others one below 10 and none above."""
-    # the nearest tenth of what the double is, as a decimal of all its digits; halves go up
-    tenth = F.format_string("%.1f", v)
-    return F.when(v.isNull(), "").when(v == F.floor(v), v.cast("long").cast("string")).when(v < 10, tenth).otherwise(half_up(v).cast("string"))
+    return F.when(v.isNull(), "").when(v == F.floor(v), v.cast("long").cast("string")).when(v < 10, fixed(v, 1)).otherwise(half_up(v).cast("string"))
 
 
 def shown_time(text: Column) -> Column:

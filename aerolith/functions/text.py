@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,22 @@ def sanitised_sql(text: str) -> str:
     return out
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """The number with so many digits after the point, the nearest to what the double is exactly, halves to the even one as
+    printf has it. (format_string rounds the shortest text of the double, so that 40.4125, which is a little less, goes up.)
+    Null is null."""
+    scale, x = 10**digits, F.abs(v)
+    high = x * float(scale)
+    # what the product leaves out, exactly: the upper 26 bits of x times the scale need no rounding
+    upper = x * 134_217_729.0 - (x * 134_217_729.0 - x)
+    rest = (upper * float(scale) - high) + (x - upper) * float(scale)
+    near = F.rint(high)
+    whole = near + F.when((high - near == 0.5) & (rest > 0), 1.0).when((high - near == -0.5) & (rest < 0), -1.0).otherwise(0.0)
+    text = (whole.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(20,{digits})").cast("string")
+    text = F.when(x < 1e12, F.concat(F.when(v < 0, "-").otherwise(""), text)).otherwise(F.format_string(f"%.{digits}f", v))
+    return F.when(v.isNotNull(), text)
+
+
 def display_value(v: Column, width: int = 5) -> Column:
     """Fewer digits the larger the value, right-aligned (X2); halves go up; null is blank."""
     shown = F.when(v >= 100, F.format_string("%.0f", v)).when(v >= 10, F.format_string("%.1f", v)).otherwise(F.format_string("%.2f", v))

@@ -113,3 +113,15 @@ def test_snapping_by_direction_and_continuity(spark):
     assert not any(i >= 100 for i in got)
     moved = {r.reading_id: r for r in snap_directed(points, lines, "sensor_id", radius_m=120.0, longest_m=1200.0, offset_m=10.0).collect()}
     assert all(moved[i].lon > got[i].lon for i in range(8))
+
+
+def test_fixed_digits_are_those_of_the_double(spark):
+    """Python's formatting is exact, as printf is: 40.4125 and 3.05 are a little less or more than they look."""
+    from aerolith.functions import text as X
+
+    rng = random.Random(5)
+    values = [40.4125, 40.4285, -112.1845, 3.05, 0.25, 0.35, 2.5, 0.0005, 0.0004, 0.0, -0.0004, 999.9995, 1e11 + 0.125, 1e13, None]
+    values += [round(rng.uniform(-200, 500), 4) for _ in range(2000)] + [rng.randrange(-4000, 4000) / 16 for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", *(X.fixed(F.col("v"), k).alias(f"d{k}") for k in (1, 3)))
+    for r in df.collect():
+        assert (r.d1, r.d3) == ((None, None) if r.v is None else (f"{r.v:.1f}", f"{r.v:.3f}"))
