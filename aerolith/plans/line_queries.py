@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aqi as A
 from ..functions import display as D
+from ..functions import text as X
 from ..functions.geo import haversine_m, haversine_sql
 from ..functions.time import seconds
 from ..operators import lines as L
@@ -111,7 +112,7 @@ def json_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the view of a sensor shows of each series: value, count, the last five."""
     w = Window.partitionBy("sensor_id", "key")
     n = readings(spark, sf_dir).withColumns({"back": F.row_number().over(w.orderBy(F.desc("ts"), F.desc("reading_id"))), "history_count": F.count("*").over(w)}).where("back <= 5")
-    tail = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("b"), "value"))), lambda x: F.format_string("%.3f", x["value"])), " ")  # five at most
+    tail = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("b"), "value"))), lambda x: X.fixed(x["value"], 3)), " ")  # five at most
     return n.groupBy("sensor_id", "key").agg(F.max(F.when(F.col("back") == 1, F.col("value"))).alias("value"), F.first("history_count").alias("history_count"), tail.alias("history_tail"), F.when(F.col("key") == "ozone", "ppb").otherwise("µg/m³").alias("unit"), F.when(F.first("source") == "mobile", "MOBILE").otherwise("FIXED").alias("type"))
 
 
@@ -160,7 +161,7 @@ def listed_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = readings(spark, sf_dir).groupBy("sensor_id").agg(F.any_value("source").alias("source"), F.max_by("lat", at).alias("lat"), F.max_by("lon", at).alias("lon"), F.max("ts").alias("seen"))  # noqa: E741
     inside = F.col("lat").between(40.4, 41.0) & F.col("lon").between(-112.25, -111.8)
     k = l.where((F.col("source") != "purpleair") & (F.col("sensor_id") != "S7") & ((F.col("source") == "mobile") | inside))
-    return k.select("sensor_id", "source", (F.col("seen") < F.lit("2024-01-29").cast("timestamp_ntz")).alias("ghosted"), F.format_string("%-6s %.3f %.3f", "sensor_id", "lat", "lon").alias("line"))
+    return k.select("sensor_id", "source", (F.col("seen") < F.lit("2024-01-29").cast("timestamp_ntz")).alias("ghosted"), F.format_string("%-6s %s %s", "sensor_id", X.fixed(F.col("lat"), 3), X.fixed(F.col("lon"), 3)).alias("line"))
 
 
 @query(f"""{_MOBILE}, t AS (SELECT sensor_id, count(*) AS points, min(ts) AS lo, max(ts) AS hi, {haversine_sql('min(lat)', 'min(lon)', 'max(lat)', 'max(lon)')} AS box_m FROM m GROUP BY ALL), f AS (SELECT min(ts) AS lo, max(ts) AS hi FROM readings WHERE source = 'fixed')
