@@ -86,7 +86,10 @@ def along(points: DataFrame, probes: DataFrame, *by: str) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("ts", "_p", F.col("lat").asc_nulls_last(), F.col("lon").asc_nulls_last())
     here = F.when(F.col("_p") == 0, F.struct("ts", "lat", "lon"))
     before = F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(here, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # the next point is the last one so far in the opposite order: a frame that ends at the trail's end would be gone
+    # through again for each row
+    back = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("_p"), F.col("lat").desc_nulls_first(), F.col("lon").desc_nulls_first())
+    after = F.last(here, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     p = a.unionByName(b).withColumns({"x": before, "y": after}).where("_p = 1")
     t = (seconds(F.col("ts")) - seconds(F.col("x.ts"))) / (seconds(F.col("y.ts")) - seconds(F.col("x.ts")))
     at = lambda c: F.when(F.col("x").isNull(), F.col(f"y.{c}")).when(F.col("y").isNull(), F.col(f"x.{c}")).otherwise(F.col(f"x.{c}") + (F.col(f"y.{c}") - F.col(f"x.{c}")) * t).alias(c)

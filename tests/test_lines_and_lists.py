@@ -125,3 +125,14 @@ def test_fixed_digits_are_those_of_the_double(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", *(X.fixed(F.col("v"), k).alias(f"d{k}") for k in (1, 3)))
     for r in df.collect():
         assert (r.d1, r.d3) == ((None, None) if r.v is None else (f"{r.v:.1f}", f"{r.v:.3f}"))
+
+
+def test_places_along_a_long_trail_in_one_pass(spark):
+    n = 20_000
+    points = spark.range(n).select(F.lit("s").alias("k"), F.timestamp_seconds(F.col("id") * 100).cast("timestamp_ntz").alias("ts"), (F.col("id") / 1000).alias("lat"), (-F.col("id") / 500).alias("lon"))
+    probes = spark.range(-1, n + 1).select(F.lit("s").alias("k"), F.col("id").alias("probe_id"), F.timestamp_seconds(F.col("id") * 100 + 25).cast("timestamp_ntz").alias("ts"))
+    out = L.along(points, probes, "k")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()  # such a frame is gone through for each row
+    for r in out.collect():
+        x = min(max(r.probe_id + 0.25, 0), n - 1)
+        assert abs(r.lat - x / 1000) < 1e-9 and abs(r.lon + x / 500) < 1e-9
