@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import truncated_cell
 from ..functions.time import seconds
-from .spatial import kernel_field, near_pairs
+from .spatial import kernel_field, near_pairs, nearest_k
 
 
 def probe(sensors: DataFrame, seed: int, size: float = 0.05) -> DataFrame:
@@ -80,8 +80,7 @@ def bilinear(points: DataFrame, grid: DataFrame, height: int, width: int, value:
 
 def nearest_field(cells: DataFrame, sensors: DataFrame, radius_m: float, k: int = 8, two_sigma_sq: float = 8e6) -> DataFrame:
     """cell_id, c, fade: by the k nearest sensors, with weights that fall to 0 at the radius (V3)."""
-    p = near_pairs(cells, sensors, radius_m).select(F.col("a.cell_id").alias("cell_id"), F.col("b.sensor_id").alias("sensor_id"), F.col("b.value").alias("v"), "dist_m")
-    p = p.withColumn("rank", F.row_number().over(Window.partitionBy("cell_id").orderBy("dist_m", "sensor_id"))).where(F.col("rank") <= k)
+    p = nearest_k(cells, sensors.withColumnRenamed("value", "v"), "cell_id", "sensor_id", k, radius_m, values=("v",))
     d2 = F.col("dist_m") * F.col("dist_m")
     t = 1.0 - d2 / (radius_m * radius_m)
     p = p.withColumns({"w": t * t / (d2 + 1.0), "g": F.exp(-d2 / two_sigma_sq)})

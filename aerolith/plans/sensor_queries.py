@@ -286,9 +286,8 @@ SELECT sensor_id, other, round(d, 3) AS dist_m, rank FROM (SELECT *, row_number(
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 8 nearest sensors within 20 km."""
     l = latest(readings(spark, sf_dir).where("pollutant = 'PM25'"), "sensor_id").select("sensor_id", "lat", "lon")  # noqa: E741
-    p = S.near_pairs(l, l, 20_000.0).select(F.col("a.sensor_id").alias("sensor_id"), F.col("b.sensor_id").alias("other"), "dist_m").where("sensor_id <> other")
-    rank = F.row_number().over(Window.partitionBy("sensor_id").orderBy("dist_m", "other"))
-    return p.withColumn("rank", rank).where("rank <= 8").select("sensor_id", "other", F.round("dist_m", 3).alias("dist_m"), F.col("rank").cast("long").alias("rank"))
+    p = S.nearest_k(l, l.withColumnRenamed("sensor_id", "other"), "sensor_id", "other", 8, 20_000.0, but_itself=True)
+    return p.select("sensor_id", "other", F.round("dist_m", 3).alias("dist_m"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""{READINGS_SQL}, s AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM readings WHERE source = 'mobile' WINDOW w AS (PARTITION BY sensor_id ORDER BY ts, reading_id)),
