@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import truncated_cell
 from ..functions.time import seconds
-from .spatial import kernel_field, near_pairs, nearest_k
+from ..session import stored
+from .spatial import M_PER_DEG, kernel_field, near_pairs, nearest_k
 
 
 def probe(sensors: DataFrame, seed: int, size: float = 0.05) -> DataFrame:
@@ -33,18 +34,31 @@ def frontier(centres: DataFrame, sensors: DataFrame, *, spokes: int = 8, r_min:
     """centre, sensor_id, rays: the sensor nearest to the tip of each ray of a centre, other than it (M2). Tips without a
     sensor in one reach are looked up in the next."""
     k = F.explode(F.sequence(F.lit(0), F.lit(spokes - 1))).alias("i")
-    t = centres.select(F.col("sensor_id").alias("centre"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), k)
+    # centres of one place have the same tips, of which two sensors are enough: the second is for the first itself
+    places = stored(centres.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon").distinct(), "places")
+    two = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("sensor_id"))
+    few = stored(sensors.where("lat IS NOT NULL AND lon IS NOT NULL").select("sensor_id", "lat", "lon").withColumn("n", two).where("n <= 2").drop("n"), "few")
     r = F.lit(r_min) + F.lit(r_max - r_min) * F.col("i") / float(max(1, spokes - 1))
     turn = F.lit(2 * math.pi) * F.col("i") / spokes
-    tips = t.select("centre", "i", F.cos(F.radians("clat")).alias("k"), (F.col("clat") + r * F.sin(turn)).alias("lat"), (F.col("clon") + r * F.cos(turn) / F.cos(F.radians("clat"))).alias("lon"))
+    t = places.select(F.col("lat").alias("clat"), F.col("lon").alias("clon"), k)
+    tips = t.select("clat", "clon", "i", F.cos(F.radians("clat")).alias("k"), (F.col("clat") + r * F.sin(turn)).alias("lat"), (F.col("clon") + r * F.cos(turn) / F.cos(F.radians("clat"))).alias("lon"))
+    # short reaches first: what they find stands if it is nearer than anything beyond can be on the tip's plane
+    reaches = [x for x in (reach_m[0] / 64, reach_m[0] / 16, reach_m[0] / 4) if x >= 50] + list(reach_m)
     found = None
-    for reach in reach_m:
-        p = near_pairs(tips, sensors.select("sensor_id", "lat", "lon"), reach).where("a.centre <> b.sensor_id")
+    for reach in reaches:
+        p = near_pairs(tips, few, reach)
         dy, dx = F.col("b.lat") - F.col("a.lat"), (F.col("b.lon") - F.col("a.lon")) * F.col("a.k")
-        near = p.groupBy("a.centre", "a.i").agg(F.min_by("b.sensor_id", F.struct(F.round(dy * dy + dx * dx, 12), "b.sensor_id")).alias("sensor_id"))
-        tips = tips.join(near, ["centre", "i"], "left_anti")
-        found = near if found is None else found.unionByName(near)
-    return found.groupBy("centre", "sensor_id").agg(F.count("*").alias("rays"))
+        p = p.select("a.clat", "a.clon", "a.i", F.round(dy * dy + dx * dx, 12).alias("d2"), F.col("b.sensor_id").alias("sensor_id"))
+        w = Window.partitionBy("clat", "clon", "i")
+        near = p.withColumn("rank", F.row_number().over(w.orderBy("d2", "sensor_id"))).where("rank <= 2").withColumns({"n": F.count("*").over(w), "most": F.max("d2").over(w)})
+        sure = (F.col("n") == 2) & (F.col("most") < (0.9 * reach / M_PER_DEG) ** 2)
+        near = stored(near.where(sure if reach < reach_m[0] else F.lit(True)).drop("most"), "tips")
+        # from the given reaches on, a single sensor counts; it is searched further for the one centre that it is itself
+        tips = tips.join(near.where("n = 2").select("clat", "clon", "i"), ["clat", "clon", "i"], "left_anti")
+        found = near.withColumn("reach", F.lit(float(reach))) if found is None else found.unionByName(near.withColumn("reach", F.lit(float(reach))))
+    c = centres.select(F.col("sensor_id").alias("centre"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    best = c.join(found, ["clat", "clon"]).where("centre <> sensor_id").groupBy("centre", "i").agg(F.min_by("sensor_id", F.struct("reach", "rank")).alias("sensor_id"))
+    return best.groupBy("centre", "sensor_id").agg(F.count("*").alias("rays"))
 
 
 def blended_fields(asked: DataFrame, fields: DataFrame, key: str) -> DataFrame:
