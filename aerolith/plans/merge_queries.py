@@ -139,9 +139,7 @@ def _sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
  c(node, root) AS (SELECT sensor_id, sensor_id FROM s UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node) SELECT node, min(root) AS component FROM c GROUP BY ALL""")
 def sensor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of sensors that are within 2.5 km of each other."""
-    s = _sensors(spark, sf_dir)
-    e = near_pairs(s, s, 2500.0).select(F.col("a.sensor_id").alias("src"), F.col("b.sensor_id").alias("dst")).where("src < dst")
-    return G.components(s.select(F.col("sensor_id").alias("node")), e)
+    return G.near_groups(_sensors(spark, sf_dir).withColumnRenamed("sensor_id", "node"), 2500.0)
 
 
 @query(_SENSORS + f""", o AS (SELECT o_orderkey AS point_id, 40.4::DOUBLE + (o_custkey % 500)::DOUBLE / 1e3::DOUBLE AS lat, -112.2::DOUBLE + (o_orderkey % 500)::DOUBLE / 1e3::DOUBLE AS lon FROM orders),
