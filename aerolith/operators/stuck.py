@@ -49,11 +49,18 @@ def stuck_sensors(latest: DataFrame, *, least_s: float = 3_600.0, ladder_km: tup
         p = p.select(F.col("a.sensor_id").alias("sensor_id"), F.col("a.value").alias("own"), F.col("b.sensor_id").alias("other"), F.col("b.value").alias("v"), within.alias("ring"), sure.alias("sure"))
         w = Window.partitionBy("sensor_id")
         p = p.withColumn("enough", F.count_if("sure").over(w) >= min_neighbors)
+        # whatever becomes of the others, the neighbourhood has those of the first ring by which all are enough: if enough of
+        # them are sure and as high, the sensor isn't stuck and waits for nobody; one row stands for it
+        p = p.withColumn("so_far", F.count("*").over(w.orderBy("ring").rangeBetween(Window.unboundedPreceding, 0)))
+        p = p.withColumn("first", F.min(F.when(F.col("so_far") >= min_neighbors, F.col("ring"))).over(w))
+        as_high = F.col("sure") & (F.col("ring") <= F.col("first")) & (F.col("v") >= F.greatest(F.lit(floor), F.col("own") / share))
+        p = p.withColumns({"not_stuck": F.col("enough") & (F.count_if(as_high).over(w) >= agree), "n": F.row_number().over(w.orderBy("ring"))})
+        p = p.where("NOT not_stuck OR n = 1").drop("so_far", "first", "n")
         p = stored(p.where("enough") if ring < len(ladder_km) - 1 else p, "neighbours")
         left = left.join(p.where("enough").select("sensor_id").distinct(), "sensor_id", "left_anti")
         pairs = p if pairs is None else pairs.unionByName(p)
-    pairs = stored(pairs.drop("enough"), "neighbours")
-    open_, flagged = stored(rows.where("candidate").select("sensor_id"), "unsettled"), None
+    pairs = stored(pairs.where("NOT not_stuck").drop("enough", "not_stuck"), "neighbours")
+    open_, flagged = stored(pairs.select("sensor_id").distinct(), "unsettled"), None
     while not open_.isEmpty():
         waits = pairs.where("NOT sure").join(open_.withColumnRenamed("sensor_id", "other"), "other", "left_semi").select("sensor_id").distinct()
         ready = stored(open_.join(waits, "sensor_id", "left_anti"), "ready")

@@ -63,3 +63,13 @@ def test_standing_since(spark):
 
 def test_no_sensors(spark):
     assert S.stuck_sensors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_few_rounds_among_many(spark, monkeypatch):
+    """600 sensors, each near all others, half of them as high: no verdict depends on another, so none waits for one."""
+    rng, tables = random.Random(3), []
+    rows = [(f"s{i}", i, 40 + rng.random() / 100, -111.0, rng.choice([5.0, 400.0]), False, T0, T0 + timedelta(hours=2), 9) for i in range(600)]
+    stored = S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: (tables.append(name), stored(df, name))[1])
+    got = {r.sensor_id: r.stuck for r in S.stuck_sensors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == plain(rows) and len(tables) < 30
