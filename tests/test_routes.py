@@ -238,3 +238,17 @@ def test_densified_steps_without_length(spark):
     got = R.densified(spark.createDataFrame(rows, "p string, seq int, lat double, lon double"), "p", max_points=7).orderBy("seq").collect()
     want = plain_dense([(40.0 + i * 0.001, -111.0) for i in range(4)], 25.0, 7)
     assert [(round(r.lat, 9), r.lon) for r in got] == [(round(a, 9), b) for a, b in want] and {r.n for r in got} == {len(want)}
+
+
+def test_long_steps_make_no_more_points_than_stay(spark):
+    """A step of 20,000 km has 800,000 spacings; 20 points stay, so no more are made."""
+    from aerolith.operators.routes import densified
+
+    paths = spark.createDataFrame([(k, s, 0.0, float(x)) for k in range(200) for s, x in enumerate((0.0, 0.001, 0.001, 170.0))], "path int, seq int, lat double, lon double")
+    got = {}
+    for r in densified(paths, "path").collect():
+        got.setdefault(r.path, []).append((r.seq, r.n, round(r.lon, 6)))
+    assert len(got) == 200
+    for rows in got.values():
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(20)) and {r[1] for r in rows} == {20} and rows[0][2] == 0 and rows[-1][2] == 170.0 and rows[5][2] == 0.001
