@@ -144,9 +144,7 @@ SELECT l.sensor_id, count(p.d) FILTER (d <= 5000) AS within_5km, count(p.d) FILT
 def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours by distance, the nearest, and those that are high as well."""
     l = latest(readings(spark, sf_dir).where("pollutant = 'PM25'"), "sensor_id").select("sensor_id", "lat", "lon", "value")  # noqa: E741
-    p = S.near_pairs(l, l, 10_000.0).where("a.sensor_id <> b.sensor_id")
-    near, high = F.col("dist_m") <= 5000, F.col("b.value") >= F.greatest(F.lit(15), F.col("a.value") / 5)
-    n = p.groupBy(F.col("a.sensor_id").alias("sensor_id")).agg(F.count_if(near).alias("within_5km"), F.count("*").alias("within_10km"), F.round(F.min("dist_m"), 3).alias("nearest_m"), F.count_if(near & high).alias("high_within_5km"))
+    n = S.neighbour_counts(l).select("sensor_id", F.col("near").alias("within_5km"), F.col("far").alias("within_10km"), F.round("nearest_m", 3).alias("nearest_m"), F.col("high").alias("high_within_5km"))
     return l.select("sensor_id").join(n, "sensor_id", "left").na.fill(0, ["within_5km", "within_10km", "high_within_5km"])
 
 
