@@ -40,7 +40,8 @@ def _folder(spark: SparkSession, path: str):
 def write_version(rows: DataFrame, path: str) -> str:
     """Writes rows (date, key, kind, lat, lon, u, v) as a version that nobody reads yet, and gives its name."""
     version = uuid.uuid4().hex
-    rows.write.partitionBy("date", "key").parquet(f"{path}/rows/version={version}")
+    # each task gets rows of few folders, and of a large one a part, whatever the input's files are: it sorts what it writes
+    rows.hint("rebalance", "date", "key").write.partitionBy("date", "key").parquet(f"{path}/rows/version={version}")
     return version
 
 
@@ -68,8 +69,9 @@ def saved_snapshots(spark: SparkSession, path: str, date: str | None = None) ->
     rows = spark.read.schema(f"{ROWS}, version string, date date, key string").parquet(f"{path}/rows")
     if date is not None:
         rows = rows.where(F.col("date") == F.lit(date).cast("date"))  # other days' folders aren't read
-    rows = rows.join(done, "version")
+    rows = rows.join(F.broadcast(done), "version")  # two versions would be two tasks
     snapshot = rows.groupBy("date", "key", "number").agg(F.max((F.col("kind") == "grid").cast("int")).alias("has_grid"))
     newest = F.row_number().over(Window.partitionBy("date", "key").orderBy(F.desc("number")))
     snapshot = snapshot.withColumn("n", newest).where("n = 1").drop("n")
+    snapshot = F.broadcast(snapshot)  # a row for each folder, which the driver has listed
     return rows.join(snapshot, ["date", "key", "number"]).where("has_grid = 0 OR kind = 'grid'").select("date", "key", "kind", "lat", "lon", "u", "v")

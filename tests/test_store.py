@@ -146,3 +146,14 @@ def test_wind_draws_a_field_out(spark):
             want[i] = (sum_ / total, total)
     assert got.keys() == want.keys()
     assert all(got[i] == pytest.approx(want[i], rel=2e-3) for i in want)
+
+
+def test_snapshots_are_read_without_moving_rows_by_version(spark, tmp_path):
+    """Two versions would be two tasks that hold all rows."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "winds")
+    df = spark.createDataFrame([("2026-01-01", "0000", "points", 40.0, -111.0, 1.0, 2.0)], "date string, key string, kind string, lat double, lon double, u double, v double")
+    winds.save_snapshots(df.withColumn("date", F.to_date("date")), path)
+    out = winds.saved_snapshots(spark, path)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 1
