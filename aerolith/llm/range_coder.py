@@ -23,7 +23,7 @@ SLOT_BITS = 9
 #: Bits of a mix's shares, of their adapted values, and of order-0 frequencies.
 MIX_BITS, FINE_BITS, ID_BITS = 12, 16, 18
 #: How fast mixes adapt, and what a share gets for every hit, so that two shares of a mix stay below the whole.
-RATE, GAIN = 4, np.array([0, 4080], U)
+RATE, GAIN = 4, 4080
 #: Confidences (0, 1, 3) have 2 bits; a mix is kept for each pair of them and agreement.
 MIXES = 32
 SHIFT32, LEAST, LOW32, ZERO = U(32), U(1 << 32), U((1 << 32) - 1), U(0)
@@ -47,60 +47,92 @@ def order_0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return known.astype(W), freq.astype(W)
 
 
-def first_mixes() -> tuple[np.ndarray, np.ndarray]:
-    """Shares of order 2 and order 1 that a block begins with, by the two confidences and agreement."""
+def first_mixes() -> np.ndarray:
+    """Shares of order 2 (high half) and order 1 (low half) that a block begins with, by the two confidences and agreement."""
     at = np.arange(MIXES)
     p2 = np.array([p for p, _ in PRIOR])[at >> 3]
     p1 = np.where(at & 1, 0, np.array([p for _, p in PRIOR])[(at >> 1) & 3])
-    return p2.astype(U), np.minimum(p1, (64_000 - p2) // 2).astype(U)
+    return (p2 << FINE_BITS | np.minimum(p1, (64_000 - p2) // 2)).astype(W)
 
 
 class Mixer:
-    """What the orders remember and the mixes, for each block in its own row. Before a context is met it predicts id 0."""
+    """What the orders remember and the mixes, for each block in its own row. Before a context is met it predicts id 0.
+
+    Both shares of a mix are halves of one number, so that they are looked up and adapted together; places are 64-bit
+    numbers and results go to arrays that are there already, as NumPy takes longest over conversions and new memory."""
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes, dtype=W) << W(SLOT_BITS)
-        self.mix_row = np.arange(lanes, dtype=W) * W(MIXES)
-        self.seen = np.zeros((2, lanes << SLOT_BITS), W)  # id << 2 | confidence, of order 2 and order 1
-        self.mix = [np.tile(p, lanes) for p in first_mixes()]
-        self.hash, self.before = np.zeros((2, lanes), W)
-
-    def predict(self, k: int):
-        """For the first k blocks: the ids of order 2 and 1, and their shares of the range."""
-        h1 = self.hash[:k]
-        h2 = (h1 ^ (self.before[:k] >> W(3))) * W(0xC2B2AE35)
-        self.at2, self.at1 = self.row[:k] + (h2 >> W(32 - SLOT_BITS)), self.row[:k] + (h1 >> W(32 - SLOT_BITS))
-        self.v2, self.v1 = v2, v1 = self.seen[0].take(self.at2), self.seen[1].take(self.at1)
-        self.g2, self.g1 = g2, g1 = v2 >> W(2), v1 >> W(2)
+        self.seen2, self.seen1 = np.zeros((2, lanes << SLOT_BITS), W)  # id << 2 | confidence
+        self.mix = np.tile(first_mixes(), lanes)
+        self.all64 = [np.arange(lanes) << SLOT_BITS, np.arange(lanes) * MIXES, *np.zeros((3, lanes), np.int64)]
+        self.all32 = list(np.zeros((11, lanes), W))
+        self.narrow(lanes)
+
+    def narrow(self, k: int) -> None:
+        """From now on only the first k blocks go on."""
+        self.all64, self.all32 = [x[:k] for x in self.all64], [x[:k] for x in self.all32]
+
+    def predict(self):
+        """The ids of order 2 and 1, and their shares of the range."""
+        row, mix_row, at2, at1, pat = self.all64
+        hash1, before, v2, v1, g2, g1, mix, w2, w1, x, y = self.all32
+        np.right_shift(before, W(3), out=x)
+        np.bitwise_xor(x, hash1, out=x)
+        np.multiply(x, W(0xC2B2AE35), out=x)
+        np.right_shift(x, W(32 - SLOT_BITS), out=x)
+        np.add(row, x, out=at2)
+        np.right_shift(hash1, W(32 - SLOT_BITS), out=x)
+        np.add(row, x, out=at1)
+        self.seen2.take(at2, out=v2, mode="clip")
+        self.seen1.take(at1, out=v1, mode="clip")
+        np.right_shift(v2, W(2), out=g2)
+        np.right_shift(v1, W(2), out=g1)
         # where both predict one id, order 1 is never hit, and its share goes to 0
-        self.pat = ((v2 & W(3)) << W(3)) + ((v1 & W(3)) << W(1)) + (g2 == g1).view(np.uint8) + self.mix_row[:k]
-        self.p2, self.p1 = self.mix[0].take(self.pat), self.mix[1].take(self.pat)
-        shift = U(FINE_BITS - MIX_BITS)
-        return g2, g1, (self.p2 >> shift) + U(1), (self.p1 >> shift) + U(1)
+        np.bitwise_and(v2, W(3), out=x)
+        np.left_shift(x, W(2), out=x)
+        np.bitwise_and(v1, W(3), out=y)
+        np.bitwise_or(x, y, out=x)
+        np.left_shift(x, W(1), out=x)
+        np.add(x, (g2 == g1).view(np.uint8), out=x)
+        np.add(mix_row, x, out=pat)
+        self.mix.take(pat, out=mix, mode="clip")
+        np.right_shift(mix, W(2 * FINE_BITS - MIX_BITS), out=w2)
+        np.add(w2, W(1), out=w2)
+        np.right_shift(mix, W(FINE_BITS - MIX_BITS), out=w1)
+        np.bitwise_and(w1, W((1 << MIX_BITS) - 1), out=w1)
+        np.add(w1, W(1), out=w1)
+        return g2, g1, w2, w1
 
-    def update(self, ids: np.ndarray, k: int, hit2: np.ndarray, hit1: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """hit1: the id of order 1 and not that of order 2."""
-        self.mix[0][self.pat] = self.p2 - (self.p2 >> U(RATE)) + GAIN.take(hit2.view(np.uint8))
-        self.mix[1][self.pat] = self.p1 - (self.p1 >> U(RATE)) + GAIN.take(hit1.view(np.uint8))
-        fresh = (ids << W(2)) | W(1)
-        self.seen[0][self.at2] = np.where(hit2, self.v2 | W(3), fresh)
-        self.seen[1][self.at1] = np.where(self.g1 == ids, self.v1 | W(3), fresh)
-        self.before[:k] = self.hash[:k]
-        np.multiply(ids + W(1), W(0x9E3779B1), out=self.hash[:k])
+        _, _, at2, at1, pat = self.all64
+        hash1, before, v2, v1, g2, g1, mix, _, _, x, y = self.all32
+        np.right_shift(mix, W(RATE), out=x)
+        np.bitwise_and(x, W(((1 << FINE_BITS - RATE) - 1) * ((1 << FINE_BITS) + 1)), out=x)
+        np.subtract(mix, x, out=mix)
+        np.add(mix, np.multiply(hit2, W(GAIN << FINE_BITS), out=x), out=mix)
+        np.add(mix, np.multiply(hit1, W(GAIN), out=x), out=mix)
+        self.mix[pat] = mix
+        np.left_shift(ids, W(2), out=y)
+        np.bitwise_or(y, W(1), out=y)
+        # a confidence of 3 where the id is met again
+        self.seen2[at2] = np.add(y, hit2.view(np.uint8) << np.uint8(1), out=x)
+        self.seen1[at1] = np.add(y, (g1 == ids).view(np.uint8) << np.uint8(1), out=x)
+        self.all32[:2] = before, hash1
+        np.add(ids, W(1), out=before)
+        np.multiply(before, W(0x9E3779B1), out=before)
 
 
 def _lengths(n: int, block: int) -> np.ndarray:
     return np.array([block] * (n // block) + [n % block] * (n % block > 0), np.int64)
 
 
-def carry(out: np.ndarray, pos: np.ndarray, lanes: np.ndarray) -> None:
-    """Adds one to what these lanes have written."""
-    for i in lanes.tolist():
-        q = int(pos[i]) - 1
-        while out[i, q] == 0xFFFFFFFF:
-            out[i, q] = 0
-            q -= 1
-        out[i, q] += 1
+def carry(out: np.ndarray, ends: np.ndarray) -> None:
+    """Adds one to what is written before these places, each of another block."""
+    while len(ends):
+        ends = ends - 1
+        out[ends] += W(1)
+        ends = ends[out[ends] == 0]
 
 
 def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
@@ -123,53 +155,59 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     if known[-1] < 1 << 22:  # start and frequency of an id, by itself
         by_id = np.zeros(int(known[-1]) + 1, U)
         by_id[known] = place
-        place_of = by_id.take
+        place_of = lambda x: by_id.take(x.astype(np.int64), mode="clip")
     else:
         place_of = lambda x: place.take(np.searchsorted(known, x))
-    out = np.zeros((lanes, block + 4), W)
-    pos = np.zeros(lanes, np.int64)
-    low_all, span_all = np.zeros(lanes, U), np.full(lanes, U(2**64 - 1), U)
-    mixer, whole = Mixer(lanes), U(1 << MIX_BITS)
+    out = np.zeros(lanes * (block + 4), W)
+    begin = np.arange(lanes) * (block + 4)
+    pos, low_all, span_all = begin.copy(), np.zeros(lanes, U), np.full(lanes, U(2**64 - 1), U)
+    mixer, whole, k = Mixer(lanes), W(1 << MIX_BITS), lanes
+    low, span = low_all, span_all
     for t in range(block):
-        k = lanes if t < length[-1] else full
+        if k == lanes and t == length[-1]:
+            k = full
+            mixer.narrow(k)
+            low, span = low_all[:k], span_all[:k]
         if not k:
             break
-        low, span = low_all[:k], span_all[:k]
         x = grid[t, :k]
-        g2, g1, w2, w1 = mixer.predict(k)
+        g2, g1, w2, w1 = mixer.predict()
         hit2 = g2 == x
         hit1 = (g1 == x) > hit2
-        miss = ~(hit2 | hit1)
+        hit = hit2 | hit1
         r = span >> U(MIX_BITS)
         both = w2 + w1
-        new = low + np.where(hit2, ZERO, np.where(hit1, w2, both)) * r
-        wide = np.where(hit2, w2, np.where(hit1, w1, whole - both)) * r
+        new = np.where(hit, w2 * hit1, both) * r
+        new += low
+        np.multiply(np.where(hit, np.where(hit2, w2, w1), whole - both), r, out=span)
         other = place_of(x)
-        r = wide >> U(ID_BITS)
-        new += np.where(miss, (other >> SHIFT32) * r, ZERO)
-        span[:] = np.where(miss, (other & LOW32) * r, wide)
+        np.right_shift(span, U(ID_BITS), out=r)
+        new += np.where(hit, ZERO, (other >> SHIFT32) * r)
+        other &= LOW32
+        other *= r
+        span[:] = np.where(hit, span, other)
         over = new < low
         if over.any():
-            carry(out, pos, np.flatnonzero(over))
+            carry(out, pos[np.flatnonzero(over)])
         low[:] = new
         j = np.flatnonzero(span < LEAST)
         if len(j):
             at = pos[j]
             lo = low[j]
-            out[j, at] = lo >> SHIFT32
+            out[at] = lo >> SHIFT32
             pos[j] = at + 1
             low[j] = lo << SHIFT32
-            span[j] <<= SHIFT32
-        mixer.update(x, k, hit2, hit1)
+            span[j] = span[j] << SHIFT32
+        mixer.update(x, hit2, hit1)
     # of the numbers in the last range one has only zeros after its first 32 bits
     last = low_all + (LEAST - U(1))
-    carry(out, pos, np.flatnonzero(last < low_all))
-    out[np.arange(lanes), pos] = last >> SHIFT32
+    carry(out, pos[np.flatnonzero(last < low_all)])
+    out[pos] = last >> SHIFT32
     pos += 1
     blocks, first = [], np.cumsum(length) - length
     for i in range(lanes):
         crc = zlib.crc32(ids[first[i] : first[i] + length[i]].astype("<u4", copy=False).tobytes())
-        blocks.append(crc.to_bytes(4, "little") + out[i, : pos[i]].astype("<u4", copy=False).tobytes())
+        blocks.append(crc.to_bytes(4, "little") + out[begin[i] : pos[i]].astype("<u4", copy=False).tobytes())
     return header, blocks
 
 
@@ -190,43 +228,47 @@ def decode(header: bytes, blocks: list[bytes], only: list[int] | None = None) ->
     code = np.zeros((lanes, max(map(len, words)) + 4), W)
     for i, w in enumerate(words):
         code[i, : len(w)] = w
-    start0, freq0 = (np.cumsum(freq) - freq).astype(U), freq.astype(U)
-    symbol = np.repeat(np.arange(n_known, dtype=np.int32), freq)
+    place = ((np.cumsum(freq) - freq).astype(U) << SHIFT32) | freq.astype(U)
+    symbol = np.repeat(np.arange(n_known, dtype=np.uint16 if n_known <= 1 << 16 else np.int32), freq)  # small, to stay near the CPU
     #: What is left of the code above the range's lower end.
     rest_all, span_all = (code[:, 0].astype(U) << SHIFT32) | code[:, 1].astype(U), np.full(lanes, U(2**64 - 1), U)
-    pos, end = np.full(lanes, 2, np.int64), code.shape[1] - 1
+    width = code.shape[1]
+    code = code.reshape(-1)
+    pos, end = np.arange(lanes) * width + 2, np.arange(1, lanes + 1) * width - 1
     grid = np.zeros((block, lanes), W)
-    mixer, whole = Mixer(lanes), U(1 << MIX_BITS)
-    k = lanes
+    mixer, whole, k = Mixer(lanes), W(1 << MIX_BITS), lanes
+    rest, span = rest_all, span_all
     for t in range(int(sorted_length[0])):
-        while sorted_length[k - 1] <= t:
-            k -= 1
-        rest, span = rest_all[:k], span_all[:k]
-        g2, g1, w2, w1 = mixer.predict(k)
+        if sorted_length[k - 1] <= t:
+            k = int(np.searchsorted(-sorted_length, -t))
+            mixer.narrow(k)
+            rest, span = rest_all[:k], span_all[:k]
+        g2, g1, w2, w1 = mixer.predict()
         r = span >> U(MIX_BITS)
-        a, b = w2 * r, (w2 + w1) * r
-        hit2 = rest < a
-        miss = rest >= b
-        hit1 = ~(hit2 | miss)
-        rest -= np.where(miss, b, np.where(hit1, a, ZERO))
-        np.multiply(np.where(hit2, w2, np.where(hit1, w1, whole - w2 - w1)), r, out=span)
-        x = np.where(hit2, g2, g1)
-        m = np.flatnonzero(miss)
-        if len(m):
-            q = rest[m]
-            r = span[m] >> U(ID_BITS)
-            s = symbol.take(np.minimum(q // r, U((1 << ID_BITS) - 1)).astype(np.int64))
-            rest[m] = q - start0.take(s) * r
-            span[m] = freq0.take(s) * r
-            x[m] = known.take(s)
+        both = w2 + w1
+        a, b = w2 * r, both * r
+        hit2, miss = rest < a, rest >= b
+        hit = ~miss
+        hit1 = hit > hit2
+        rest -= np.where(hit, a * hit1, b)
+        np.multiply(np.where(hit, np.where(hit2, w2, w1), whole - both), r, out=span)
+        # order 0, of all blocks, as most ids come from it
+        np.right_shift(span, U(ID_BITS), out=r)
+        s = symbol.take((rest // r).view(np.int64), mode="clip").astype(np.int64)
+        other = place.take(s, mode="clip")
+        x = np.where(hit2, g2, np.where(hit, g1, known.take(s, mode="clip")))
+        rest -= np.where(hit, ZERO, (other >> SHIFT32) * r)
+        other &= LOW32
+        other *= r
+        span[:] = np.where(hit, span, other)
         j = np.flatnonzero(span < LEAST)
         if len(j):
             at = pos[j]
-            rest[j] = (rest[j] << SHIFT32) | code[j, at]
-            pos[j] = np.minimum(at + 1, end)
-            span[j] <<= SHIFT32
+            rest[j] = (rest[j] << SHIFT32) | code[at]
+            pos[j] = np.minimum(at + 1, end[j])
+            span[j] = span[j] << SHIFT32
         grid[t, :k] = x
-        mixer.update(x, k, hit2, hit1)
+        mixer.update(x, hit2, hit1)
     parts: list = [None] * lanes
     for lane, i in enumerate(order):
         parts[i] = np.ascontiguousarray(grid[: sorted_length[lane], lane])

@@ -18,7 +18,6 @@ order of their texts. Columns other than id, text and the order are ignored.
 from __future__ import annotations
 
 import zlib
-from array import array
 from itertools import chain, repeat
 
 import numpy as np
@@ -71,6 +70,10 @@ LETTERS = byte_letters()
 SPACE_LETTER = LETTERS[32]
 
 
+def in_letters(text: str) -> str:
+    return text.encode().decode("latin-1").translate(LETTERS)
+
+
 def grown(x: np.ndarray, size: int) -> np.ndarray:
     return x if size <= len(x) else np.concatenate([x, np.zeros(max(len(x), size - len(x)), x.dtype)])
 
@@ -80,8 +83,15 @@ class Pieces:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same merges over words in the vocabulary's letters, parted by a line break's letter
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = CharDelimiterSplit(LETTERS[10])
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[0] == SPACE_LETTER]] = True
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
         if len(self.line_break) != 1:
             raise ValueError("a line break must be a token")
@@ -93,12 +103,23 @@ class Pieces:
         self.index: dict[str, int] = {}
         self.chars = 0
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.count, self.start, self.kind = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int8)
+        self.count, self.start, self.kind, self.uses = (np.zeros(1 << 16, x) for x in (np.int64, np.int64, np.int8, np.int32))
+
+    def forget(self) -> None:
+        """Only pieces of two batches or more stay, with one of these to their credit; none if these are many themselves."""
+        pieces = list(self.index)
+        keep = np.flatnonzero(self.uses[: len(pieces)] > 1)
+        ids, n, kinds = self.gather(keep), self.count[keep], self.kind[keep]
+        pieces = [pieces[i] for i in keep.tolist()]
+        self.clear()
+        if 2 * len(pieces) <= REMEMBERED and 2 * sum(map(len, pieces)) <= REMEMBERED_CHARS:
+            self.put(pieces, kinds, ids, n)
+            self.uses[: len(pieces)] = 1
 
     def put(self, pieces: list[str], kinds, ids: np.ndarray, n: np.ndarray) -> None:
         k = len(self.index)
         self.flat = grown(self.flat, self.used + len(ids))
-        self.count, self.start, self.kind = (grown(x, k + len(n)) for x in (self.count, self.start, self.kind))
+        self.count, self.start, self.kind, self.uses = (grown(x, k + len(n)) for x in (self.count, self.start, self.kind, self.uses))
         self.flat[self.used : self.used + len(ids)] = ids
         self.count[k : k + len(n)] = n
         self.start[k : k + len(n)] = self.used + np.cumsum(n) - n
@@ -108,24 +129,27 @@ class Pieces:
         self.index.update(zip(pieces, range(k, k + len(n))))
 
     def merge(self, pieces: list[str]) -> None:
-        """New pieces through the library. A word of letters is one pre-token, so its merges are all that is needed; other
-        pieces are lines of one text, as a line break between two of them is a token; blanks and the like go by themselves."""
-        words, kinds, lines, odd, merges = [], [], [], [], self.tokenizer.model.tokenize
-        flat, n = array("I"), array("q")
+        """New pieces through the library. A word of letters is one pre-token, so its merges are all that is needed, and those
+        with a space before go together, as only a word's first token begins with the space's letter; other pieces are lines
+        of one text, as a line break between two of them is a token; blanks and the like go by themselves."""
+        plain, accented, bare, lines, odd, merges = [], [], [], [], [], self.tokenizer.model.tokenize
         for p in pieces:
-            spaced = p[0] == " "
-            x = p[1:] if spaced else p
+            x = p[1:] if p[0] == " " else p
             if x.isalpha() and (x.isascii() or max(x) < "\u0530"):
-                if not x.isascii():
-                    x = x.encode().decode("latin-1").translate(LETTERS)
-                ids = [t.id for t in merges(SPACE_LETTER + x if spaced else x)]
-                words.append(p)
-                kinds.append(SPACED if spaced else PLAIN)
-                flat.extend(ids)
-                n.append(len(ids))
+                (bare if x is p else plain if x.isascii() else accented).append(p)
             else:
                 (lines if kind_of(p) < BLANK else odd).append(p)
-        self.put(words, kinds, np.array(flat, np.uint32), np.array(n, np.int64))
+        for words in (plain, accented):
+            for i in range(0, len(words), 20_000):
+                some = words[i : i + 20_000]
+                text = LETTERS[10].join(some).replace(" ", SPACE_LETTER) if words is plain else in_letters("\n".join(some))
+                ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                first = np.flatnonzero(self.begins[ids])
+                if len(first) != len(some):
+                    raise ValueError("the tokenizer doesn't begin each word with its space")
+                self.put(some, SPACED, ids, np.diff(first, append=len(ids)))
+        ids = [[t.id for t in merges(in_letters(x))] for x in bare]
+        self.put(bare, PLAIN, np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
         for i in range(0, len(lines), 20_000):
             some = lines[i : i + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
@@ -150,7 +174,7 @@ class Pieces:
             new = [pieces[i] for i in gone.tolist()]
             ended, whole = [], dict.fromkeys(m for m in END_MARKS if m not in known)
             for p in new:
-                if marked(p):
+                if p[-1] in END_MARKS and marked(p):
                     ended.append(p)
                     if p[:-1] not in known:
                         whole[p[:-1]] = None
@@ -161,12 +185,13 @@ class Pieces:
             parts = np.fromiter((known[x] for p in ended for x in (p[:-1], p[-1])), np.int64, 2 * len(ended))
             self.put(ended, self.kind[parts[::2]], self.gather(parts), self.count[parts].reshape(-1, 2).sum(1))
             at[gone] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
+        self.uses[at] += 1
         return at
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has."""
         if len(self.index) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.clear()
+            self.forget()
         odd = pc.match_substring(texts, "\0")
         cut = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\0 "), "\n", "\0\n\0")
         lists = pc.split_pattern(cut, "\0")

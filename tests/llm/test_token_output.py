@@ -9,7 +9,7 @@ P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
 from aerolith.llm import token_output as o  # noqa: E402
-from aerolith.llm.range_coder import CorruptBlock, decode, encode  # noqa: E402
+from aerolith.llm.range_coder import CorruptBlock, carry, decode, encode  # noqa: E402
 
 PATH = P.path("byte_bpe_50k.json")
 TEXTS = ["plain words here", None, "", " ", "a", "a  b", " lead", "trail ", "x\ny z", "\n\n a", "tab\t b", "it's we'll 'd", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>", "nul\0 byte", "é ü 日本語 テ", "🙂 🙂", "nbsp  x y", "　 wide",
@@ -61,6 +61,37 @@ def test_memory_starts_afresh(monkeypatch):
         assert ids.tolist() == [i for t in texts for i in [*library.encode(t, add_special_tokens=False).ids, 0]] and len(n) == len(texts)
 
 
+def test_pieces_of_two_batches_stay_when_memory_is_full(monkeypatch):
+    monkeypatch.setattr(o, "REMEMBERED", 20)
+    pieces, library = o.Pieces(PATH), tokenizers.Tokenizer.from_file(PATH)
+    for texts in (["often one two three four five six", "seven eight nine ten"], ["often übermäßig again. " * 3] + [f"x{i} y" for i in range(10)], ["z often"]):
+        ids, _ = pieces.encode(pa.array(texts, pa.string()), 0)
+        assert ids.tolist() == [i for t in texts for i in [*library.encode(t, add_special_tokens=False).ids, 0]]
+    assert "often" in pieces.index and " seven" not in pieces.index
+    merged = []
+    monkeypatch.setattr(pieces, "merge", merged.append)
+    pieces.find(["often"])
+    assert not merged
+
+
+def test_many_words_are_merged_in_one_call(monkeypatch):
+    pieces, library = o.Pieces(PATH), tokenizers.Tokenizer.from_file(PATH)
+    rng = random.Random(5)
+    words = [" " + "".join(rng.choice("abcdeéßñöжя") for _ in range(rng.randint(1, 9))) for _ in range(30_000)]
+    words = list(dict.fromkeys(words + [" " + w[1:3] for w in words] + [w[1:] for w in words[:50]]))
+    calls = []
+    monkeypatch.setattr(pieces, "words", type("Counted", (), {"encode_batch_fast": lambda self, x, words=pieces.words, **k: calls.append(1) or words.encode_batch_fast(x, **k)})())
+    at = pieces.find(words)
+    want = [x.ids for x in library.encode_batch(words, add_special_tokens=False)]
+    assert 0 < len(calls) < 10 and pieces.count[at].tolist() == [len(x) for x in want] and pieces.gather(at).tolist() == [i for x in want for i in x]
+
+
+def test_carries_of_many_blocks():
+    out = np.array([5, 0xFFFFFFFF, 0xFFFFFFFF, 7, 1, 2, 0xFFFFFFFF, 9], np.uint32)
+    carry(out, np.array([3, 6]))
+    assert out.tolist() == [6, 0, 0, 7, 1, 3, 0xFFFFFFFF, 9]
+
+
 def test_odd_texts_like_the_library():
     rng = random.Random(3)
     bits = ["a", "word", "Ab", "9", "42", ".", ",", "!", "'s", " ", " ", "\n", "\t", "\r\n", "é", "日本", "\u00a0", "\u3000", "²", "🙂", "<|endoftext|>", "\0", "-", "\u0301"]
