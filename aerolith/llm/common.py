@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,23 @@ def small_batches(batches, column: str, limit: int):
             at = end
 
 
+_KEPT: dict = {}
+
+
+def kept_in_process(key, make):
+    """What a worker process keeps for the next tasks of an operator; what another operator's tasks have left there goes."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Drops what operators have kept in this process, as workers live on from one stage of a pipeline to the next."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -> DataFrame:
     """rows with the columns of table (one row a key, with its number of rows in ``count``), null being a key like any other.
 

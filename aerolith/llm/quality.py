@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_to_empty, ship, small_batches, stored
+from .common import let_go, null_to_empty, ship, small_batches, stored
 
 ORDER, BITS = 3, 12
 #: A key has 16 bits for its language; 0 is for null and the rarest, the last one for all languages.
@@ -45,8 +45,8 @@ RUN, FOREIGN = 32, 0.1
 ENOUGH = 30
 #: A text has fewer than 2 ** 31 bytes.
 MAX_OCTAVE = 31
-#: Texts are worked on in parts of about so many bytes.
-BATCH_BYTES = 1_500_000
+#: Texts are worked on in parts of about so many bytes; a byte takes some 150 while it is worked on.
+BATCH_BYTES = 400_000
 SPACE = b" \t\n\r\x0b\x0c"
 MARKS = b"#*$%&|<>"
 
@@ -108,6 +108,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
             keys, at = np.unique(keys, return_inverse=True)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, n).astype(np.int64))], ["key", "n"])
 
+        let_go()
         for b in small_batches(batches, "text_", BATCH_BYTES):
             g, n = grams(b.column("text_").to_pylist())
             if len(g):
@@ -262,6 +263,7 @@ def measure(rows: DataFrame, head: HashArrays) -> DataFrame:
     open_type = pa.list_(pa.struct([("length", pa.int32()), ("own", pa.float64()), ("every", pa.float64()), ("own_keys", pa.list_(pa.int64())), ("every_keys", pa.list_(pa.int64()))]))
 
     def run(batches):
+        let_go()
         for b in small_batches(batches, "text_", BATCH_BYTES):
             texts, slot = b.column("text_").to_pylist(), b.column("slot").to_numpy()
             base = base_counts(texts)

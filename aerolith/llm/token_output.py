@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_to_empty, shared_dir, ship, small_batches
+from .common import kept_in_process, let_go, null_to_empty, shared_dir, ship, small_batches
 from .range_coder import CorruptBlock, decode, encode
 
 #: Ids in a segment, at least, unless a task's documents end; ids in a block; pieces remembered by a process.
@@ -87,7 +87,7 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         # the same merges over words in the vocabulary's letters, parted by a line break's letter
-        self.words = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = CharDelimiterSplit(LETTERS[10])
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -228,15 +228,6 @@ class Pieces:
         return out, by_text + 1
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
-def loaded(path: str) -> Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
-
-
 def list_check(doc_ids: list, n_tokens: np.ndarray) -> int:
     """Checksum of a segment's documents and numbers of tokens."""
     return zlib.crc32("\0".join(map(str, doc_ids)).encode("utf-8", "surrogatepass"), zlib.crc32(n_tokens.astype("<i8").tobytes()))
@@ -255,20 +246,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col
     def run(batches):
         from pyspark import TaskContext
 
-        from aerolith.llm.token_output import BLOCK_IDS, SEGMENT_IDS, encode, list_check, loaded
+        from aerolith.llm.token_output import BLOCK_IDS, SEGMENT_IDS, Pieces, encode, list_check
 
         part, segment, first = TaskContext.get().partitionId(), 0, 0
-        pieces = loaded(tokenizer_path)
+        pieces = kept_in_process(("pieces", tokenizer_path), lambda: Pieces(tokenizer_path))
         held: list[tuple] = []
 
         def flush():
             nonlocal segment, first
             ids = np.concatenate([x[1] for x in held])
-            header, blocks = encode(ids, BLOCK_IDS)
             doc_ids, n_tokens = list(chain.from_iterable(x[0] for x in held)), np.concatenate([x[2] for x in held])
+            held.clear()
+            header, blocks = encode(ids, BLOCK_IDS)
             row = {"part": [part], "segment": [segment], "first": [first], "doc_ids": [doc_ids], "n_tokens": [n_tokens], "list_check": [list_check(doc_ids, n_tokens)], "header": [header], "blocks": [blocks]}
             segment, first = segment + 1, first + len(ids)
-            held.clear()
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(id_type)), ("n_tokens", pa.list_(pa.int64())), ("list_check", pa.int64()), ("header", pa.binary()), ("blocks", pa.list_(pa.binary()))]))
 
         for b in small_batches(batches, "text_", 4_000_000):
@@ -292,6 +283,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     base = spark.sparkContext.broadcast(before)
 
     def run(batches):
+        let_go()  # all has been encoded
         for b in batches:
             for r in b.to_pylist():
                 ids = decode(r["header"], r["blocks"]).astype("<u4", copy=False)

@@ -100,6 +100,23 @@ def test_model_like_its_definition(spark):
     assert all(got[k][0] == v[0] and math.isclose(got[k][1], v[1], rel_tol=1e-5, abs_tol=1e-6) for k, v in want.items())
 
 
+def test_a_part_of_texts_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from aerolith.llm.common import small_batches
+
+    texts = pa.RecordBatch.from_pydict({"text_": ["some plain words " * 50] * 4000})
+    part = next(small_batches([texts], "text_", q.BATCH_BYTES)).column("text_").to_pylist()
+    tracemalloc.start()
+    g, n = q.grams(part)
+    _ = [q.HashArrays(np.unique(g), np.zeros(len(np.unique(g)))).find(k) for k in (g, g | q.language_key(q.ALL))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+
+
 def test_hash_arrays():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(2**63), 2**63, 5000))

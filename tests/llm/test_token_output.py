@@ -86,6 +86,17 @@ def test_many_words_are_merged_in_one_call(monkeypatch):
     assert 0 < len(calls) < 10 and pieces.count[at].tolist() == [len(x) for x in want] and pieces.gather(at).tolist() == [i for x in want for i in x]
 
 
+def test_a_process_keeps_what_one_operator_needs():
+    """Workers live on from stage to stage: what encoding remembers isn't there beside another stage's memory."""
+    from aerolith.llm import common
+
+    first = common.kept_in_process("a", lambda: [1])
+    assert common.kept_in_process("a", lambda: [2]) is first
+    assert common.kept_in_process("b", lambda: [3]) == [3] and list(common._KEPT) == ["b"]
+    common.let_go()
+    assert not common._KEPT
+
+
 def test_carries_of_many_blocks():
     out = np.array([5, 0xFFFFFFFF, 0xFFFFFFFF, 7, 1, 2, 0xFFFFFFFF, 9], np.uint32)
     carry(out, np.array([3, 6]))
