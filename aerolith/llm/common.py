@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,7 +56,14 @@ def kept_in_process(key, make):
 def let_go() -> None:
     """Drops what operators have kept in this process, as workers live on from one stage of a pipeline to the next."""
     _KEPT.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library hold for later goes back to the system: it would stay beside what comes next."""
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries don't have it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -> DataFrame:

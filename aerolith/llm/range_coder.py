@@ -1,7 +1,8 @@
 """Adaptive context-mixing range coder for token ids, over many blocks at a time.
 
 A segment of ids is cut into blocks; every block starts from the same state, so each can be decoded without the others.
-Blocks advance in step: one NumPy operation serves the same place of all blocks.
+Blocks advance in step: one NumPy operation serves the same place of ``LANES`` blocks, so that what the coder needs besides
+ids and code doesn't grow with the segment.
 
 Each id is predicted by three orders. Order 2 and order 1 remember, for the last two ids and the last id, which id came
 next and how often that held. Their confidences, and whether they agree, choose a mix: how much of the coding range goes
@@ -18,6 +19,8 @@ import zlib
 import numpy as np
 
 U, W = np.uint64, np.uint32
+#: Blocks that advance in step; places for which their ids are laid out at a time.
+LANES, STRIP = 8192, 64
 #: Contexts are hashed to this many places in each block (a power of 2).
 SLOT_BITS = 9
 #: Bits of a mix's shares, of their adapted values, and of order-0 frequencies.
@@ -144,13 +147,6 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     header = zlib.compress(np.array([len(ids), block, len(known)], W).tobytes() + np.diff(known, prepend=W(0)).tobytes() + freq.tobytes(), 6)
     if not len(ids):
         return header, []
-    length = _lengths(len(ids), block)
-    lanes = len(length)
-    grid = np.zeros((block, lanes), W)
-    full = len(ids) // block
-    grid[:, :full] = ids[: full * block].reshape(full, block).T
-    if full < lanes:
-        grid[: length[-1], -1] = ids[full * block :]
     place = ((np.cumsum(freq) - freq).astype(U) << SHIFT32) | freq.astype(U)
     if known[-1] < 1 << 22:  # start and frequency of an id, by itself
         by_id = np.zeros(int(known[-1]) + 1, U)
@@ -158,6 +154,18 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
         place_of = lambda x: by_id.take(x.astype(np.int64), mode="clip")
     else:
         place_of = lambda x: place.take(np.searchsorted(known, x))
+    blocks: list[bytes] = []
+    for at in range(0, len(ids), LANES * block):
+        blocks += _encode_lanes(ids[at : at + LANES * block], block, place_of)
+    return header, blocks
+
+
+def _encode_lanes(ids: np.ndarray, block: int, place_of) -> list[bytes]:
+    """Blocks of ids that advance in step. place_of: start and frequency of each id, in one number."""
+    length = _lengths(len(ids), block)
+    lanes = len(length)
+    full = len(ids) // block
+    whole_blocks, tail, strip = ids[: full * block].reshape(full, block), ids[full * block :], np.zeros((STRIP, lanes), W)
     out = np.zeros(lanes * (block + 4), W)
     begin = np.arange(lanes) * (block + 4)
     pos, low_all, span_all = begin.copy(), np.zeros(lanes, U), np.full(lanes, U(2**64 - 1), U)
@@ -170,7 +178,11 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
             low, span = low_all[:k], span_all[:k]
         if not k:
             break
-        x = grid[t, :k]
+        at = t % STRIP
+        if not at:
+            strip[: block - t, :full] = whole_blocks[:, t : t + STRIP].T
+            strip[: len(tail[t : t + STRIP]), full:] = tail[t : t + STRIP, None]
+        x = strip[at, :k]
         g2, g1, w2, w1 = mixer.predict()
         hit2 = g2 == x
         hit1 = (g1 == x) > hit2
@@ -208,7 +220,7 @@ def encode(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     for i in range(lanes):
         crc = zlib.crc32(ids[first[i] : first[i] + length[i]].astype("<u4", copy=False).tobytes())
         blocks.append(crc.to_bytes(4, "little") + out[begin[i] : pos[i]].astype("<u4", copy=False).tobytes())
-    return header, blocks
+    return blocks
 
 
 def decode(header: bytes, blocks: list[bytes], only: list[int] | None = None) -> np.ndarray:
@@ -222,14 +234,24 @@ def decode(header: bytes, blocks: list[bytes], only: list[int] | None = None) ->
     length = _lengths(n, block)
     if only is not None:
         blocks, length = [blocks[i] for i in only], length[only]
+    place = ((np.cumsum(freq) - freq).astype(U) << SHIFT32) | freq.astype(U)
+    symbol = np.repeat(np.arange(n_known, dtype=np.uint16 if n_known <= 1 << 16 else np.int32), freq)  # small, to stay near the CPU
+    out, at = np.zeros(int(length.sum()), W), 0
+    for i in range(0, len(length), LANES):
+        n = int(length[i : i + LANES].sum())
+        out[at : at + n] = _decode_lanes(blocks[i : i + LANES], length[i : i + LANES], i, block, known, place, symbol)
+        at += n
+    return out
+
+
+def _decode_lanes(blocks: list[bytes], length: np.ndarray, number: int, block: int, known: np.ndarray, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The ids of blocks that advance in step; number: the first one's."""
     order = np.argsort(-length, kind="stable")
     sorted_length, lanes = length[order], len(order)
     words = [np.frombuffer(blocks[i], "<u4")[1:] for i in order]
     code = np.zeros((lanes, max(map(len, words)) + 4), W)
     for i, w in enumerate(words):
         code[i, : len(w)] = w
-    place = ((np.cumsum(freq) - freq).astype(U) << SHIFT32) | freq.astype(U)
-    symbol = np.repeat(np.arange(n_known, dtype=np.uint16 if n_known <= 1 << 16 else np.int32), freq)  # small, to stay near the CPU
     #: What is left of the code above the range's lower end.
     rest_all, span_all = (code[:, 0].astype(U) << SHIFT32) | code[:, 1].astype(U), np.full(lanes, U(2**64 - 1), U)
     width = code.shape[1]
@@ -269,9 +291,10 @@ def decode(header: bytes, blocks: list[bytes], only: list[int] | None = None) ->
             span[j] = span[j] << SHIFT32
         grid[t, :k] = x
         mixer.update(x, hit2, hit1)
-    parts: list = [None] * lanes
+    out, first = np.zeros(int(length.sum()), W), np.cumsum(length) - length
     for lane, i in enumerate(order):
-        parts[i] = np.ascontiguousarray(grid[: sorted_length[lane], lane])
-        if zlib.crc32(parts[i].astype("<u4", copy=False).tobytes()) != int.from_bytes(blocks[i][:4], "little"):
-            raise CorruptBlock(f"block {i} of {lanes}")
-    return np.concatenate(parts)
+        mine = out[first[i] : first[i] + length[i]]
+        mine[:] = grid[: length[i], lane]
+        if zlib.crc32(mine.astype("<u4", copy=False).tobytes()) != int.from_bytes(blocks[i][:4], "little"):
+            raise CorruptBlock(f"block {number + i}")
+    return out

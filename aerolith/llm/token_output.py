@@ -26,14 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_in_process, let_go, null_to_empty, shared_dir, ship, small_batches
+from .common import give_back, kept_in_process, let_go, null_to_empty, shared_dir, ship, small_batches
 from .range_coder import CorruptBlock, decode, encode
 
 #: Ids in a segment, at least, unless a task's documents end; ids in a block; pieces remembered by a process.
 SEGMENT_IDS = 6_000_000
 BLOCK_IDS = 1024
 #: ... and their characters, whatever their number.
-REMEMBERED, REMEMBERED_CHARS = 700_000, 16_000_000
+REMEMBERED, REMEMBERED_CHARS = 500_000, 16_000_000
+#: Pieces whose ids are put together at once.
+GATHERED = 1 << 16
 
 SEGMENT = "part int, segment int, first long, doc_ids array<{}>, n_tokens array<long>, list_check long, header binary, blocks array<binary>"
 
@@ -103,7 +105,7 @@ class Pieces:
         self.index: dict[str, int] = {}
         self.chars = 0
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.count, self.start, self.kind, self.uses = (np.zeros(1 << 16, x) for x in (np.int64, np.int64, np.int8, np.int32))
+        self.count, self.start, self.kind, self.uses = (np.zeros(1 << 16, x) for x in (np.int32, np.int64, np.int8, np.int32))
 
     def forget(self) -> None:
         """Only pieces of two batches or more stay, with one of these to their credit; none if these are many themselves."""
@@ -162,8 +164,14 @@ class Pieces:
         self.put(odd, list(map(kind_of, odd)), np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
 
     def gather(self, at: np.ndarray) -> np.ndarray:
-        n = self.count[at]
-        return self.flat[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        """Their ids, joined; what that needs besides doesn't grow with the pieces."""
+        out, done = np.zeros(int(self.count[at].sum(dtype=np.int64)), np.uint32), 0
+        for i in range(0, len(at), GATHERED):
+            n = self.count[at[i : i + GATHERED]].astype(np.int64)
+            end = np.cumsum(n)
+            out[done : done + end[-1]] = self.flat[np.repeat(self.start[at[i : i + GATHERED]] - (end - n), n) + np.arange(end[-1])]
+            done += end[-1]
+        return out
 
     def find(self, pieces: list[str]) -> np.ndarray:
         """Numbers of different pieces."""
@@ -198,6 +206,7 @@ class Pieces:
         flat = lists.flatten().dictionary_encode()
         own = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         words, place = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
+        del cut, lists, flat
         if "" in words:  # no piece
             none = words.index("")
             words[none] = " "
@@ -217,8 +226,8 @@ class Pieces:
         if tied.any():  # these go to the library whole
             parts = np.split(ids, np.cumsum(by_text)[:-1])
             whole = np.flatnonzero(tied)
-            for i, x in zip(whole.tolist(), self.tokenizer.encode_batch_fast([texts[i].as_py() for i in whole.tolist()], add_special_tokens=False)):
-                parts[i] = np.array(x.ids, np.uint32)
+            for i in whole.tolist():  # one by one, as the library's result has some hundred bytes a token
+                parts[i] = np.array(self.tokenizer.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0].ids, np.uint32)
                 by_text[i] = len(parts[i])
             ids = np.concatenate(parts)
         out = np.full(len(ids) + len(texts), end_id, np.uint32)
@@ -254,12 +263,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col
 
         def flush():
             nonlocal segment, first
-            ids = np.concatenate([x[1] for x in held])
             doc_ids, n_tokens = list(chain.from_iterable(x[0] for x in held)), np.concatenate([x[2] for x in held])
-            held.clear()
+            ids, at = np.empty(int(n_tokens.sum()), np.uint32), 0
+            held.reverse()
+            while held:  # each part goes as soon as it is copied
+                one = held.pop()[1]
+                ids[at : at + len(one)] = one
+                at += len(one)
+            give_back()
             header, blocks = encode(ids, BLOCK_IDS)
             row = {"part": [part], "segment": [segment], "first": [first], "doc_ids": [doc_ids], "n_tokens": [n_tokens], "list_check": [list_check(doc_ids, n_tokens)], "header": [header], "blocks": [blocks]}
             segment, first = segment + 1, first + len(ids)
+            del ids, one
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(id_type)), ("n_tokens", pa.list_(pa.int64())), ("list_check", pa.int64()), ("header", pa.binary()), ("blocks", pa.list_(pa.binary()))]))
 
         for b in small_batches(batches, "text_", 4_000_000):
@@ -285,7 +300,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         let_go()  # all has been encoded
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):  # one by one, as a segment has millions of ids
+                r = b.slice(i, 1).to_pylist()[0]
                 ids = decode(r["header"], r["blocks"]).astype("<u4", copy=False)
                 n = np.array(r["n_tokens"], np.int64)
                 if list_check(r["doc_ids"], n) != r["list_check"] or int(n.sum()) != len(ids):

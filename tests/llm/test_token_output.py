@@ -125,3 +125,37 @@ def test_lists_are_checked(spark, tmp_path):
 
 def test_empty_table(spark):
     assert o.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def most_traced(f):
+    """What f returns, and the most bytes that it had at a time."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_coder_needs_little_beside_ids_and_code():
+    ids = np.minimum(np.random.default_rng(4).zipf(1.2, 2_000_000), 50_256).astype(np.uint32)
+    (header, blocks), most = most_traced(lambda: encode(ids, 1024))
+    assert most < 12 * len(ids) and np.array_equal(decode(header, blocks), ids)
+
+
+def test_many_blocks_go_in_groups(monkeypatch):
+    from aerolith.llm import range_coder
+
+    ids = np.minimum(np.random.default_rng(4).zipf(1.2, 10_000), 50_256).astype(np.uint32)
+    want = encode(ids, 130)
+    monkeypatch.setattr(range_coder, "LANES", 7)
+    assert encode(ids, 130) == want and np.array_equal(decode(*want), ids)
+    assert np.array_equal(decode(*want, list(range(len(want[1])))[::-1])[-130:], ids[:130])
+
+
+def test_ids_of_many_pieces_are_joined_in_little_memory():
+    pieces = o.Pieces(PATH)
+    at = np.resize(pieces.find([" word", " another", "日本語"]), 1_000_000)
+    got, most = most_traced(lambda: pieces.gather(at))
+    assert most < got.nbytes + 12 * len(at) and np.array_equal(got[: len(got) // 3], pieces.gather(at[: len(at) // 3])[: len(got) // 3])
