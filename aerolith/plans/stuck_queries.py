@@ -27,9 +27,7 @@ _D2 = f"((y.lat - x.lat) * {_KM[0]}::DOUBLE) ** 2 + ((y.lon - x.lon) * {_KM[1]}:
 SELECT sensor_id, since AS stuck, round(value, 3) AS value FROM s WHERE k IN (SELECT unnest(gone) FROM (SELECT gone FROM rec ORDER BY k DESC LIMIT 1))""")
 def stuck_community(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensors that have stood still above their neighbours for an hour, the verdicts in the order of the sensors."""
-    r = readings(spark, sf_dir)
-    at = F.struct("ts", "reading_id")
-    latest = r.groupBy("sensor_id").agg(*(F.max_by(c, at).alias(c) for c in ("lat", "lon", "value")))
-    still = standing_since(r.withColumn("class", F.floor(F.col("value") / 100)), "sensor_id", value="class")
-    s = latest.join(still, "sensor_id").select("*", F.col("sensor_id").alias("place"), F.lit(False).alias("outlier"))
-    return stuck_sensors(s, ratio=1.2, share=1.5, agree=3).join(latest.select("sensor_id", F.round("value", 3).alias("value")), "sensor_id")
+    r = readings(spark, sf_dir).withColumn("class", F.floor(F.col("value") / 100))
+    s = standing_since(r, "sensor_id", value="class", latest=("lat", "lon", "value")).where("sensor_id IS NOT NULL")
+    s = s.withColumns({"place": F.col("sensor_id"), "outlier": F.lit(False)})
+    return stuck_sensors(s, ratio=1.2, share=1.5, agree=3).withColumn("value", F.round("value", 3))

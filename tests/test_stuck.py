@@ -73,3 +73,40 @@ def test_few_rounds_among_many(spark, monkeypatch):
     monkeypatch.setattr(S, "stored", lambda df, name: (tables.append(name), stored(df, name))[1])
     got = {r.sensor_id: r.stuck for r in S.stuck_sensors(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == plain(rows) and len(tables) < 30
+
+
+def test_neighbours_are_counted_not_stored(spark, monkeypatch):
+    """60 sensors, each near all others, all too low to speak for one: no table has a row for each pair."""
+    rng, tables = random.Random(4), []
+    rows = [(f"s{i}", i, 40 + rng.random() / 100, -111.0, rng.choice([1.0, 1.5, 2.0, 13.0, 14.0]), False, T0, T0 + timedelta(hours=2), 9) for i in range(60)]
+    stored = S.stored
+
+    def counting(df, name):
+        out = stored(df, name)
+        tables.append(out.count())
+        assert tables[-1] <= 4 * 60
+        return out
+
+    monkeypatch.setattr(S, "stored", counting)
+    got = {r.sensor_id: r.stuck for r in S.stuck_sensors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == plain(rows) and len(got) > 2 and tables
+
+
+def test_far_neighbours_at_the_equator(spark):
+    """Within 40 km on the plane, farther on the sphere."""
+    rows = [(f"s{i}", i, 0.0, lon, v, False, T0, T0 + timedelta(hours=2), 9) for i, (lon, v) in enumerate([(10.0, 90.0), (10.45, 2.0), (10.45, 3.0), (10.45, 4.0)])]
+    assert plain(rows).keys() == {"s0"}
+    assert [r.sensor_id for r in S.stuck_sensors(spark.createDataFrame(rows, SCHEMA)).collect()] == ["s0"]
+
+
+def test_cells_in_parts(spark):
+    rng = random.Random(5)
+    rows = [(f"s{i}", i, 40 + i % 12 + rng.random() / 50, -111.0, rng.choice([1.0, 2.0, 3.0, 4.0, 30.0, 200.0]) if i % 5 else 2.0, False, T0, T0 + timedelta(minutes=rng.choice([30, 90, 90])), 9) for i in range(200)]
+    got = {r.sensor_id: r.value for r in S.stuck_sensors(spark.createDataFrame(rows, SCHEMA), most=30).collect()}
+    assert got.keys() == plain(rows).keys() and got and all(got[r[0]] == r[4] for r in rows if r[0] in got)
+
+
+def test_standing_since_with_the_latest(spark):
+    rows = [("a", 1, T0, 5.0, 1.0), ("a", 2, T0, 5.0, 3.0), ("b", 4, T0 + timedelta(hours=5), None, 2.0), ("b", 3, T0, 1.0, 9.0)]
+    got = S.standing_since(spark.createDataFrame(rows, "sensor_id string, reading_id long, ts timestamp_ntz, value double, lat double"), "sensor_id", latest=("value", "lat"))
+    assert {tuple(r) for r in got.collect()} == {("a", T0, T0, 2, 5.0, 3.0), ("b", None, T0 + timedelta(hours=5), 2, None, 2.0)}
