@@ -79,12 +79,13 @@ def stuck_sensors(latest: DataFrame, *, least_s: float = 3_600.0, ladder_km: tup
     there = (F.abs("lat") < float("inf")) & (F.abs("lon") < float("inf"))  # neither null nor NaN
     rows = stored(rows.where(~F.col("outlier") & there & F.col("value").isNotNull()), "sensors")
     side_km = ladder_km[0] / 2**0.5 * 0.999999  # no two places of a cell are farther from each other than the first radius
-    open_ = stored(_unsettled(rows.drop("since"), side_km, floor, share, agree, most).drop("candidate"), "unsettled")
+    own, d2 = F.col("value"), F.col("d2")
+    above = lambda v: (own - v >= diff) & ((v < 1) | (own >= v * ratio))  # noqa: E731  # holds for all values up to some one, so for the median if for more than half
+    lowest = F.lit(rows.agg(F.min("value")).first()[0])
+    open_ = stored(_unsettled(rows.drop("since"), side_km, floor, share, agree, most).where(above(lowest)).drop("candidate"), "unsettled")
     others = rows.select("sensor_id", "place", "lat", "lon", "value").join(open_.select("sensor_id", F.lit(True).alias("waits")), "sensor_id", "left")
 
-    own, v, d2 = F.col("value"), F.col("o_value"), F.col("d2")
-    low = (own - v >= diff) & ((v < 1) | (own >= v * ratio))  # holds for all values up to some one, so for the median if for more than half
-    high = v >= F.greatest(F.lit(floor), own / share)
+    low, high = above(F.col("o_value")), F.col("o_value") >= F.greatest(F.lit(floor), own / share)
     ring = F.lit(1)
     for r in ladder_km[:-1]:
         ring = ring + (d2 > r * r).cast("int")

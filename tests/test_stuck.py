@@ -110,3 +110,19 @@ def test_standing_since_with_the_latest(spark):
     rows = [("a", 1, T0, 5.0, 1.0), ("a", 2, T0, 5.0, 3.0), ("b", 4, T0 + timedelta(hours=5), None, 2.0), ("b", 3, T0, 1.0, 9.0)]
     got = S.standing_since(spark.createDataFrame(rows, "sensor_id string, reading_id long, ts timestamp_ntz, value double, lat double"), "sensor_id", latest=("value", "lat"))
     assert {tuple(r) for r in got.collect()} == {("a", T0, T0, 2, 5.0, 3.0), ("b", None, T0 + timedelta(hours=5), 2, None, 2.0)}
+
+
+def test_nobody_is_counted_for_a_low_sensor(spark, monkeypatch):
+    """Only the last is 10 above any other."""
+    counted, stored = [], S.stored
+
+    def noted(df, name):
+        out = stored(df, name)
+        if name == "counts":
+            counted.append({r.sensor_id for r in out.collect()})
+        return out
+
+    rows = [(f"s{i}", i, 40 + i / 10000, -111.0, v, False, T0, T0 + timedelta(hours=2), 9) for i, v in enumerate([2.0, 3.0, 9.0, 11.0, 11.9, 12.5])]
+    monkeypatch.setattr(S, "stored", noted)
+    assert {r.sensor_id: r.stuck for r in S.stuck_sensors(spark.createDataFrame(rows, SCHEMA)).collect()} == plain(rows)
+    assert counted and all(c == {"s5"} for c in counted)
